@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelwright.llm.licenses import op3_licenses
+from panelwright.llm.quality import op8_quality
 from panelwright.llm.simhash import op9_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_licenses": op3_licenses,
+    "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
 }
 
