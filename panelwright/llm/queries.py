@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelwright.llm.bpe import op10_bpe
 from panelwright.llm.licenses import op3_licenses
 from panelwright.llm.quality import op8_quality
 from panelwright.llm.simhash import op9_simhash
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
