@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.llm.bpe import op10_bpe
 from panelwright.llm.licenses import op3_licenses
+from panelwright.llm.media import op2_media
 from panelwright.llm.quality import op8_quality
 from panelwright.llm.simhash import op9_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media": op2_media,
     "op3_licenses": op3_licenses,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
