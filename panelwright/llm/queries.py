@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.llm.bpe import op10_bpe
+from panelwright.llm.langid import op4_langid
 from panelwright.llm.licenses import op3_licenses
 from panelwright.llm.media import op2_media
 from panelwright.llm.quality import op8_quality
@@ -15,6 +16,7 @@ from panelwright.llm.simhash import op9_simhash
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_licenses": op3_licenses,
+    "op4_langid": op4_langid,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
