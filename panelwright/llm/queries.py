@@ -12,11 +12,13 @@ from panelwright.llm.licenses import op3_licenses
 from panelwright.llm.media import op2_media
 from panelwright.llm.quality import op8_quality
 from panelwright.llm.simhash import op9_simhash
+from panelwright.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_licenses": op3_licenses,
     "op4_langid": op4_langid,
+    "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
