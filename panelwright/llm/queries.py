@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.llm.bpe import op10_bpe
+from panelwright.llm.html_text import op6_html
 from panelwright.llm.langid import op4_langid
 from panelwright.llm.licenses import op3_licenses
 from panelwright.llm.media import op2_media
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_licenses": op3_licenses,
     "op4_langid": op4_langid,
+    "op6_html": op6_html,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
