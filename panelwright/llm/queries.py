@@ -11,6 +11,7 @@ from panelwright.llm.html_text import op6_html
 from panelwright.llm.langid import op4_langid
 from panelwright.llm.licenses import op3_licenses
 from panelwright.llm.media import op2_media
+from panelwright.llm.packing import op5_packing
 from panelwright.llm.quality import op8_quality
 from panelwright.llm.simhash import op9_simhash
 from panelwright.llm.toxicity import op7_toxicity
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_licenses": op3_licenses,
     "op4_langid": op4_langid,
+    "op5_packing": op5_packing,
     "op6_html": op6_html,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
