@@ -14,9 +14,11 @@ from panelwright.llm.media import op2_media
 from panelwright.llm.packing import op5_packing
 from panelwright.llm.quality import op8_quality
 from panelwright.llm.simhash import op9_simhash
+from panelwright.llm.suffix_dedup import op1_suffix_array
 from panelwright.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_media": op2_media,
     "op3_licenses": op3_licenses,
     "op4_langid": op4_langid,
