@@ -66,21 +66,26 @@ def text_counts(text: bytes | None) -> tuple[int, ...]:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``lang``, ``source`` and the COUNTS (long) of every whole text; null texts count as empty."""
+    """``doc_id``, ``part`` (the text's hash), ``lang``, ``source`` and the COUNTS (long) of every whole text.
+
+    Null texts count as empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array(
-                [text_counts(t.as_py()) for t in batch.column(3).cast(pa.binary())], np.int64
+                [text_counts(t.as_py()) for t in batch.column(4).cast(pa.binary())], np.int64
             ).reshape(-1, len(COUNTS))
             yield pa.record_batch(
-                [*batch.columns[:3], *(pa.array(found[:, i]) for i in range(len(COUNTS)))],
-                ["doc_id", "lang", "source", *COUNTS],
+                [*batch.columns[:4], *(pa.array(found[:, i]) for i in range(len(COUNTS)))],
+                ["doc_id", "part", "lang", "source", *COUNTS],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), "text").mapInArrow(
-        run, f"doc_id {kind}, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS)
+    return docs.select(
+        "doc_id", F.hash("text").alias("part"), F.col("lang").cast("string"), F.col("source").cast("string"), "text"
+    ).mapInArrow(
+        run, f"doc_id {kind}, part int, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS)
     )
 
 
@@ -132,7 +137,7 @@ def verdicts(counted: DataFrame) -> DataFrame:
         )
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & ~bad)
-        .select("doc_id", *COUNTS[:5], "base_failed", "kept")
+        .select("doc_id", "part", *COUNTS[:5], "base_failed", "kept")
     )
 
 
@@ -141,13 +146,16 @@ def quality(docs: DataFrame) -> DataFrame:
 
     Null or empty texts have no words and fail. Null languages and sources form groups of their own.
     """
-    return verdicts(stored(counts(docs), "counts"))
+    return verdicts(stored(counts(docs), "counts")).drop("part")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is kept, with their columns as they were."""
-    good = quality(docs).where("kept").select("doc_id")
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that are kept, with their columns as they were; a null id is matched by its text's hash."""
+    good = verdicts(stored(counts(docs), "counts")).where("kept").select(
+        F.col("doc_id").alias("of_id"), F.col("part").alias("of_part")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.hash("text") == F.col("of_part"))
+    return docs.join(good, same, "left_semi").select(*docs.columns)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
