@@ -71,6 +71,12 @@ def buckets(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield part(group)
 
 
+def distinct(text: bytes) -> np.ndarray:
+    """The hashed n-grams of one text, each once."""
+    found = [b for _, b in buckets([text])]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int32)
+
+
 def presence(texts: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (text, feature), each once; ``index`` maps a hash to a feature or -1."""
     n = int(index.max()) + 1 if len(index) else 0
@@ -115,11 +121,10 @@ def select(every: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.sort(best[score[best] > 3])
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with a ridge, by accelerated gradient steps."""
+def fit(x1: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with a ridge, by accelerated gradient steps; the last column of ``x1`` is 1."""
     n = max(1, len(y))
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    top = float((x1 * x1).sum(axis=1).mean()) / 4 + PENALTY
+    top = float(np.einsum("ij,ij->", x1, x1)) / n / 4 + PENALTY
     w = v = np.zeros(x1.shape[1], np.float32)
     ridge = np.full(len(w), PENALTY, np.float32)
     ridge[-1] = 0
@@ -137,10 +142,13 @@ def train(texts: list[str], labels: np.ndarray, categories: tuple[str, ...] = CA
     Without rows, or without both classes, that category's probability is the smoothed rate of its label.
     """
     normed = [normal(t[:TRAIN_CHARS]) for t in texts]
-    every = []
-    for text in normed:
-        found = [b for _, b in buckets([text])]
-        every.append(np.unique(np.concatenate(found)) if found else np.empty(0, np.int32))
+    every = [distinct(text) for text in normed]
+    del normed
+    seen = np.zeros(1 << BITS, np.int32)
+    for found in every:
+        seen[found] += 1
+    for i, found in enumerate(every):  # rarer hashes can't be chosen in any fold: without them there is more room
+        every[i] = found[seen[found] >= LEAST_SUPPORT]
     n, k = len(texts), len(categories)
     fold = np.random.default_rng(7).permutation(n) % FOLDS
     chosen, fitted = [], []
@@ -155,10 +163,11 @@ def train(texts: list[str], labels: np.ndarray, categories: tuple[str, ...] = CA
             continue
 
         def matrix(picked: np.ndarray, c: int = c) -> np.ndarray:
-            x = np.zeros((n, len(picked) + c), np.float32)
+            x = np.zeros((n, len(picked) + c + 1), np.float32)
+            x[:, -1] = 1
             for i, found in enumerate(every):
                 x[i, np.searchsorted(picked, found[np.isin(found, picked, assume_unique=True)])] = 1
-            x[:, len(picked) :] = earlier[:, :c] / 4
+            x[:, len(picked) : -1] = earlier[:, :c] / 4
             return x
 
         for f in range(FOLDS):
@@ -166,7 +175,8 @@ def train(texts: list[str], labels: np.ndarray, categories: tuple[str, ...] = CA
             picked = select([e for e, r in zip(every, rows) if r], y[rows])
             x = matrix(picked)
             w, b = fit(x[rows], y[rows])
-            earlier[~rows, c] = x[~rows] @ w + b
+            earlier[~rows, c] = x[~rows, :-1] @ w + b
+            del x
         picked = select(every, y)
         chosen.append(picked)
         fitted.append(fit(matrix(picked), y))
