@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.numeric import clamp, floor_mod, larger, py_round
+from panelwright.functions.plan import settled
 from panelwright.settings import DEFAULT, Settings
 
 LEAST_LATITUDE_FACTOR = 0.1
@@ -79,7 +80,11 @@ PHYSICS_COLUMNS: Sequence[str] = tuple(name for name, _ in STEPS)
 
 
 def with_physics(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Adds PHYSICS_COLUMNS to observations; works on batch and streaming frames."""
+    """Adds PHYSICS_COLUMNS to observations; works on batch and streaming frames.
+
+    The input is settled, as constant columns would else be written into every later step.
+    """
+    df = settled(df, "observations")
     for name, make in STEPS:
         df = df.withColumn(name, make(s))
     return df
