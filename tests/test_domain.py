@@ -242,7 +242,7 @@ def test_readiness(spark, tmp_path):
 
 def config():
     return {
-        "weather": {"base_url": "u", "timeout_seconds": 10, "default_city": "C", "units": "metric", "defaults": dict(settings.WEATHER_DEFAULTS)},
+        "weather": {"base_url": "u", "timeout_seconds": 10, "default_city": "Chennai", "units": "metric", "defaults": dict(settings.WEATHER_DEFAULTS)},
         "models": {"yolo": {"weights": "w", "confidence_threshold": 0.45, "iou_threshold": 0.5, "image_size": 640}, "mobilenet": {"weights": "w", "num_classes": 6, "input_size": 224}, "xgboost": {"weights": "w"}},
         "classification": {"labels": list(settings.LABELS)},
         "physics": {"max_irradiance_wm2": 1000.0, "irradiance_cloud_factor": 0.75, "noct_celsius": 45.0, "noct_irradiance_ref": 800.0, "noct_ambient_ref": 20.0, "wind_cooling_coefficient": 1.5, "temp_coefficient_pmax": -0.004, "stc_temperature": 25.0, "soiling_ratios": dict(settings.SOILING), "panel_rated_power_wp": 400.0},
