@@ -246,18 +246,21 @@ def _compare_by_shuffle(pieces: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     """``doc_id``, ``part`` and ``spans``: the start and end bytes of repeated strings, for texts that have any."""
     found = _segments(docs)
-    grams = (
+    # written first: a join whose sides are both shuffled for it can split a gram that holds many rows
+    grams = stored(
         found.groupBy("gram")
         .agg(F.count("*").alias("c"), F.min("seg").alias("lo"), F.max("seg").alias("hi"))
         .where("c > 1")
-        .select("gram", (F.col("lo") != F.col("hi")).alias("mixed"))
+        .select("gram", (F.col("lo") != F.col("hi")).alias("mixed")),
+        "grams",
     )
     hits = stored(found.join(grams, "gram"), "hits")
     whole = F.col("at") + F.col("n") + (LENGTH - 1)
     sure = hits.where("not mixed").select("doc_id", "part", F.col("at").alias("a"), whole.alias("b"))
     mixed = hits.where("mixed")
-    names = mixed.groupBy("gram", "seg").agg(
-        F.count("*").alias("c"), F.min(F.struct("doc_id", "part", "at", "n")).alias("first")
+    names = stored(
+        mixed.groupBy("gram", "seg").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "part", "at", "n")).alias("first")),
+        "names",
     )
     twice = mixed.join(names.where("c > 1").select("gram", "seg"), ["gram", "seg"], "left_semi")
     of_gram = names.groupBy("gram").agg(F.count("*").alias("kinds"))
