@@ -15,7 +15,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
     Only where the setting is absent (tests on one machine) a local folder stands in.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_WORK_DIR
+    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
