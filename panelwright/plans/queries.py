@@ -325,7 +325,7 @@ def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
 
     from panelwright.streaming.replay import run_available, stream_of
 
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints").rstrip("/")
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
     out = f"{base}/stream-{uuid.uuid4().hex}"
     nation = adapters.table(spark, d, "nation")
     events = stream_of(spark, f"{d}/event[s].parquet", adapters.table(spark, d, "events"))
