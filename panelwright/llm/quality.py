@@ -151,11 +151,9 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns as they were; a null id is matched by its text's hash."""
-    good = verdicts(stored(counts(docs), "counts")).where("kept").select(
-        F.col("doc_id").alias("of_id"), F.col("part").alias("of_part")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.hash("text") == F.col("of_part"))
-    return docs.join(good, same, "left_semi").select(*docs.columns)
+    good = verdicts(stored(counts(docs), "counts")).where("kept").select("doc_id", "part").alias("good")
+    same = F.col("docs.doc_id").eqNullSafe(F.col("good.doc_id")) & (F.hash("docs.text") == F.col("good.part"))
+    return docs.alias("docs").join(good, same, "left_semi")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,4 +30,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Of the others, SQL lacks the hash, the image format, the tokenizer, the parser, the sketch or the learnt model.
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array": """
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+),
+s AS (
+  SELECT r, p, md5_number(b[p + 1 : p + 200]) AS h
+  FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199)) AS p FROM d)
+),
+twice AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT s.r, s.p FROM s SEMI JOIN twice USING (h)),
+edge AS (
+  SELECT r, p, p > coalesce(lag(p) OVER w, -201) + 200 AS fresh FROM hit WINDOW w AS (PARTITION BY r ORDER BY p)
+),
+run AS (SELECT r, p, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS k FROM edge),
+cut AS (SELECT r, k, min(p) AS a, max(p) + 200 AS z FROM run GROUP BY r, k),
+gap AS (
+  SELECT r, coalesce(lag(z) OVER w, 0) AS a, a AS z FROM cut WINDOW w AS (PARTITION BY r ORDER BY a)
+  UNION ALL
+  SELECT d.r, coalesce(max(cut.z), 0), any_value(octet_length(d.b)) FROM d LEFT JOIN cut USING (r) GROUP BY d.r
+),
+kept AS (
+  SELECT gap.r, unhex(string_agg(hex(d.b[gap.a + 1 : gap.z]), '' ORDER BY gap.a)) AS b
+  FROM gap JOIN d USING (r) GROUP BY gap.r
+),
+sums AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM cut GROUP BY r)
+SELECT d.doc_id, octet_length(d.b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(kept.b) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN sums USING (r)
+""",
+}

@@ -56,6 +56,28 @@ def test_registered_query_on_the_table(spark, sf_dir):
     assert got == brute(rows)
 
 
+def test_sql_of_the_registered_query(spark, sf_dir):
+    import duckdb
+    from panelwright.llm.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.sql(ORACLE_SQL["op1_suffix_array"])
+    df = S.op1_suffix_array(spark, sf_dir)
+    assert df.columns == want.columns
+    assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_sql_of_edge_cases():
+    import duckdb
+    from panelwright.llm.queries import ORACLE_SQL
+
+    con, rows = duckdb.connect(), corpus()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(con.sql(ORACLE_SQL["op1_suffix_array"]).fetchall(), key=repr) == brute(rows)
+
+
 def test_extra_columns_pass_and_empty_texts_go(spark):
     rows = [(1, "x" * 300, "k", 7), (2, "short é", None, 8), (3, None, "z", 9), (4, "", "e", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, part string, z int")

@@ -117,6 +117,14 @@ def test_thresholds_follow_the_source(spark):
     assert left.columns == [*df.columns, "n"] and left.count() == sum(kept.values())
 
 
+def test_quality_filter_with_clashing_columns(spark):
+    rows = [(i, f"one two three four five six seven eight nine ten eleven {i}", "en", "s") for i in range(20)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    wide = df.selectExpr("*", *(f"1 as {c}" for c in ("part", "kept", "good", "docs", "of_id", "n_words", "base_failed")))
+    left = quality.keep_good(wide)
+    assert left.columns == wide.columns and sorted(r.doc_id for r in left.collect()) == list(range(20))
+
+
 def test_quality_of_an_empty_table(spark):
     assert quality.quality(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
