@@ -2,9 +2,10 @@
 
 Every document gets word, symbol, line and repetition counts. For each language and source a KLL
 quantile sketch of every ratio is built with Spark's mergeable sketch aggregates; a source with few
-rows takes the merged sketch of its language, a language with few rows the fixed floors. A ratio is
-bad if it lies far outside the spread between the median and the quartile, and beyond a floor that
-protects uniform sources. The cut-offs are then joined to the counts.
+rows takes the merged sketch of its language, a language with few rows that of all languages, and a
+corpus with few rows the fixed cut-offs, so every document with words is judged. A ratio is bad if it
+lies far outside the spread between the median and the quartile, and beyond a floor that protects
+uniform sources. The cut-offs are then joined to the counts.
 
 KLL sketches compact at random, so over groups of more than a few hundred rows the cut-offs vary by
 about one per cent of rank between runs.
@@ -39,6 +40,11 @@ RATIOS = {
     "upper": ("n_upper", "word_chars", 0.3, None),
     "word_length": ("word_chars", "n_words", 6.0, 2.5),
 }
+#: Medians of plain prose; with the least allowances they give the fixed cut-offs.
+PLAIN = {"symbols": 0.0, "dup_lines": 0.0, "upper": 0.05, "word_length": 5.0}
+FIXED = {f"{r}_high": PLAIN[r] + above for r, (_, _, above, _) in RATIOS.items()} | {
+    f"{r}_low": PLAIN[r] - below for r, (_, _, _, below) in RATIOS.items() if below is not None
+}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
 
@@ -111,14 +117,13 @@ def cutoffs(counted: DataFrame) -> DataFrame:
     groups = counted.where("n_words > 0").groupBy("lang", "source").agg(
         F.count("*").alias("n"), *[F.kll_sketch_agg_double(_ratio(r)).alias(f"s_{r}") for r in RATIOS]
     )
-    langs = groups.groupBy("lang").agg(
-        F.sum("n").alias("n"), *[F.kll_merge_agg_double(f"s_{r}").alias(f"s_{r}") for r in RATIOS]
-    )
-    names = [f"{r}_{side}" for r, x in RATIOS.items() for side in (("high", "low") if x[3] is not None else ("high",))]
+    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(f"s_{r}").alias(f"s_{r}") for r in RATIOS]]
+    langs = groups.groupBy("lang").agg(*merged)
     own = groups.select("lang", "source", *_bounds("n", "s_"))
-    wide = langs.select(F.col("lang").alias("of"), *_bounds("n", "s_")).withColumnsRenamed({c: f"wide_{c}" for c in names})
-    return own.join(wide, F.col("lang").eqNullSafe(F.col("of")), "left").select(
-        "lang", "source", *[F.coalesce(c, f"wide_{c}").alias(c) for c in names]
+    wide = langs.select(F.col("lang").alias("of"), *_bounds("n", "s_")).withColumnsRenamed({c: f"wide_{c}" for c in FIXED})
+    every = langs.agg(*merged).select(*_bounds("n", "s_")).withColumnsRenamed({c: f"every_{c}" for c in FIXED})  # one row
+    return own.join(wide, F.col("lang").eqNullSafe(F.col("of")), "left").join(F.broadcast(every)).select(
+        "lang", "source", *[F.coalesce(c, f"wide_{c}", f"every_{c}", F.lit(x)).alias(c) for c, x in FIXED.items()]
     )
 
 

@@ -125,6 +125,23 @@ def test_quality_filter_with_clashing_columns(spark):
     assert left.columns == wide.columns and sorted(r.doc_id for r in left.collect()) == list(range(20))
 
 
+@pytest.mark.parametrize("others", [0, 150, 199, 200, 400])
+def test_quality_judges_a_rare_language(spark, others):
+    """Each kind of junk is bad in a language of five rows and in one of none, whatever the size of the rest."""
+    plain = "these are quiet words in a line of plain text number {} without signs"
+    junk = {
+        1: "# words | with & signs * all # over < this > one % and $ more #", 2: "same line of words\n" * 2 + "a b c d e f g h i\n" + "x y\n" * 3,
+        3: "SOME LOUD WORDS IN A LINE OF TEXT THAT NEVER STOPS SHOUTING", 4: " ".join(f"averyveryverylongword{i}" for i in range(12)),
+        5: "a b c d e f g h i j k l m",
+    }
+    rows = [(100 + i, plain.format(i), "en", f"s{i % 2}") for i in range(others)]
+    rows += [(k + 10 * at, t, lang, "s0") for k, t in junk.items() for at, lang in enumerate(("xx", None))] + [(90, plain.format("x"), "xx", "s0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.quality(df).collect()}
+    assert not any(got[k + at].kept for k in junk for at in (0, 10)) and not any(got[k].base_failed for k in (1, 3, 4, 5))
+    assert got[90].kept and all(got[100 + i].kept for i in range(others))
+
+
 def test_quality_of_an_empty_table(spark):
     assert quality.quality(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
