@@ -193,6 +193,17 @@ def test_packing_covers_every_word_once(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_near_copies_never_share_a_bin(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*words[:at], "other", *words[at + 1 :]]) for at in range(10, 90, 8)]
+    rows = [(i, t, f"s{i % 5}") for i, t in enumerate(texts)] + [(None, texts[3].upper() + "!", "t")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by_shard = {}
+    for r in got:
+        by_shard.setdefault(r.bin_id, []).append(r.doc_id)
+    assert len(got) == len(rows) and all(len(x) == 1 for x in by_shard.values())
+
+
 def test_pipeline_stages(spark, sf_dir):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
