@@ -349,6 +349,10 @@ ORACLE: dict[str, str] = {
         "coalesce(n.n_nationkey*7e0, 0e0) AS longitude, n.n_nationkey IS NOT NULL AS fetch_successful "
         "FROM @ o LEFT JOIN nation n ON n.n_name = o.city AND n.n_nationkey % 2 = 0"
     ),
+    "weather_join_all": observed().sql(
+        "SELECT o.run_id, o.city, coalesce(n.n_nationkey*1.5e0, 25e0) AS ambient_temp_c, coalesce(n.n_nationkey + 1000e0, 1013.25e0) AS pressure_hpa, "
+        "coalesce(n.n_nationkey*7e0, 0e0) AS longitude, n.n_nationkey IS NOT NULL AS fetch_successful FROM @ o LEFT JOIN nation n ON n.n_name = o.city"
+    ),
     "detection_flatten": With("b", BOXES).sql(
         "SELECT run_id, (row_number() OVER (PARTITION BY run_id ORDER BY ord, l_quantity, l_extendedprice, confidence, class_id) - 1)::INT AS ord, l_quantity AS x2, confidence, class_id FROM @"
     ),
@@ -356,6 +360,10 @@ ORACLE: dict[str, str] = {
         "SELECT o_orderkey AS run_id, count(b.ord) AS panel_count, coalesce(max(b.confidence), 0e0) AS best_confidence, count(b.ord) > 0 AS detection_successful "
         "FROM orders LEFT JOIN @ b ON b.run_id = o_orderkey AND b.ord <= 3 AND b.confidence < 0.05e0 GROUP BY 1"
     ),
+    "detection_summary_all": With("b", BOXES).sql(
+        "SELECT o_orderkey AS run_id, count(b.ord) AS panel_count, coalesce(max(b.confidence), 0e0) AS best_confidence, count(b.ord) > 0 AS detection_successful "
+        "FROM orders LEFT JOIN @ b ON b.run_id = o_orderkey GROUP BY 1"
+    ),
     "detection_validate": With("b", BOXES)
     .swap(confidence="CASE WHEN run_id % 13 = 0 THEN confidence + 1 WHEN run_id % 29 = 0 THEN 'NaN'::DOUBLE ELSE confidence END")
     .sql(

@@ -150,9 +150,7 @@ def weather_fallback(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def weather_join(spark: SparkSession, d: str) -> DataFrame:
-    """Only half the cities have weather."""
-    cities = adapters.table(spark, d, "nation").where("n_nationkey % 2 = 0")
+def _joined_weather(spark: SparkSession, d: str, cities: DataFrame) -> DataFrame:
     n = F.col("n_nationkey")
     found = cities.select(
         F.col("n_name").alias("city"), (n * 1.5).alias("ambient_temp_c"), (n * 3.0).alias("humidity_pct"), (n * 0.25).alias("wind_speed_ms"),
@@ -162,6 +160,15 @@ def weather_join(spark: SparkSession, d: str) -> DataFrame:
     return weather.attached(runs, found).select("run_id", "city", "ambient_temp_c", "pressure_hpa", "longitude", "fetch_successful")
 
 
+def weather_join(spark: SparkSession, d: str) -> DataFrame:
+    """Only half the cities have weather."""
+    return _joined_weather(spark, d, adapters.table(spark, d, "nation").where("n_nationkey % 2 = 0"))
+
+
+def weather_join_all(spark: SparkSession, d: str) -> DataFrame:
+    return _joined_weather(spark, d, adapters.table(spark, d, "nation"))
+
+
 def detection_flatten(spark: SparkSession, d: str) -> DataFrame:
     """Boxes gathered per image, then flattened again."""
     gathered = adapters.boxes(spark, d).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ord", "box", "confidence", "class_id"))).alias("b"))
@@ -174,6 +181,11 @@ def detection_summary(spark: SparkSession, d: str) -> DataFrame:
     return vision.detection_summary(runs, adapters.boxes(spark, d).where("ord <= 3 and confidence < 0.05"))
 
 
+def detection_summary_all(spark: SparkSession, d: str) -> DataFrame:
+    runs = adapters.table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"))
+    return vision.detection_summary(runs, adapters.boxes(spark, d))
+
+
 def detection_validate(spark: SparkSession, d: str) -> DataFrame:
     b = adapters.boxes(spark, d).withColumn(
         "confidence", F.when(F.col("run_id") % 13 == 0, F.col("confidence") + 1).when(F.col("run_id") % 29 == 0, F.lit(float("nan"))).otherwise(F.col("confidence"))
@@ -360,8 +372,10 @@ QUERIES: dict[str, Query] = {
     "weather_parse": weather_parse,
     "weather_fallback": weather_fallback,
     "weather_join": weather_join,
+    "weather_join_all": weather_join_all,
     "detection_flatten": detection_flatten,
     "detection_summary": detection_summary,
+    "detection_summary_all": detection_summary_all,
     "detection_validate": detection_validate,
     "softmax": softmax_query,
     "argmax_label": argmax_label,
