@@ -5,9 +5,13 @@ with it in the training rows are kept. The categories are predicted in order, an
 reads the probabilities of the earlier categories. In training these come out of fold, so a later
 model never sees how well an earlier one has learnt its own rows by heart.
 
-The label table has two columns to learn from, so the chain is (low quality, toxic); any list of
-0/1 columns will do. Training reads a bounded sample of labelled rows, see MOST_POSITIVE,
-MOST_NEGATIVE and TRAIN_CHARS; scoring reads whole texts.
+The label table has two columns to learn from, so the chain is (low quality, toxic). Training reads a
+bounded sample of labelled rows, see MOST_POSITIVE and MOST_NEGATIVE, with their whole texts. The
+texts stay in Spark tasks: these count n-grams, choose features, and fit each fold. The driver only
+sees the chosen features, a bit for each feature and row, and the weights.
+
+Scoring reads whole texts in windows of WINDOW bytes, as presence says less the longer a text is; the
+highest probability of any window counts.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelwright.llm.common import table
+from panelwright.llm.common import stored, table
 from panelwright.llm.rolling import MOST, Rolling
 
 WIDTHS = (5, 8)
@@ -35,15 +39,19 @@ PENALTY = 1e-3
 #: Rows of the sample with and without the last category, at most.
 MOST_POSITIVE = 2500
 MOST_NEGATIVE = 5000
-#: Characters of a training text that are read at most.
-TRAIN_CHARS = 50_000
+#: Tasks that count and fit.
+TASKS = 12
+#: Parts that the n-grams' counts are merged in.
+BLOCKS = 64
+#: Bytes that are scored together.
+WINDOW = 1 << 16
 CATEGORIES = ("low_quality", "toxic")
 NON_LETTERS = re.compile("[\x00-`{-\x7f]+")
 
 
-def normal(text: str | None) -> bytes:
+def normal(text: bytes | None) -> bytes:
     """Lower case, every run of ASCII non-letters one space, a space at both ends."""
-    return f" {NON_LETTERS.sub(' ', (text or '').lower())} ".encode()
+    return f" {NON_LETTERS.sub(' ', (text or b'').decode('utf-8', 'replace').lower())} ".encode()
 
 
 def buckets(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -105,20 +113,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * np.clip(x, -60, 60)) + 0.5
 
 
-def select(every: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The hashes whose presence says most about ``y`` (signed root of the likelihood ratio's normal form)."""
-    size = 1 << BITS
-    counts = np.zeros((2, size), np.int32)
-    for found, label in zip(every, y):
-        counts[int(label), found] += 1
-    totals = np.bincount(y.astype(int), minlength=2).astype(float)
+def association(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """How much a hash's presence says about a label: the difference of its rates over its standard error.
+
+    ``counts`` (2, hashes) are the rows with the hash, ``totals`` (2,) all rows, without and with the label.
+    """
     rate = (counts + 0.5) / (totals[:, None] + 1)
     pooled = (counts.sum(axis=0) + 1) / (totals.sum() + 2)
     spread = np.sqrt(pooled * (1 - pooled) * (1 / (totals[0] + 1) + 1 / (totals[1] + 1)))
-    score = np.abs(rate[1] - rate[0]) / spread
-    score[counts.sum(axis=0) < LEAST_SUPPORT] = 0
-    best = np.argsort(-score, kind="stable")[:FEATURES]
-    return np.sort(best[score[best] > 3])
+    return np.where(counts.sum(axis=0) < LEAST_SUPPORT, 0.0, np.abs(rate[1] - rate[0]) / spread)
 
 
 def fit(x1: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -136,61 +139,6 @@ def fit(x1: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def train(texts: list[str], labels: np.ndarray, categories: tuple[str, ...] = CATEGORIES) -> Chain:
-    """Fits the chain; the threshold of the last category maximises F1 out of fold.
-
-    Without rows, or without both classes, that category's probability is the smoothed rate of its label.
-    """
-    normed = [normal(t[:TRAIN_CHARS]) for t in texts]
-    every = [distinct(text) for text in normed]
-    del normed
-    seen = np.zeros(1 << BITS, np.int32)
-    for found in every:
-        seen[found] += 1
-    for i, found in enumerate(every):  # rarer hashes can't be chosen in any fold: without them there is more room
-        every[i] = found[seen[found] >= LEAST_SUPPORT]
-    n, k = len(texts), len(categories)
-    fold = np.random.default_rng(7).permutation(n) % FOLDS
-    chosen, fitted = [], []
-    earlier = np.zeros((n, k), np.float32)  # logits, out of fold
-    for c in range(k):
-        y = labels[:, c].astype(np.float32) if n else np.zeros(0, np.float32)
-        if len(np.unique(y)) < 2:
-            rate = (y.sum() + 0.5) / (n + 1)
-            chosen.append(np.empty(0, np.int64))
-            fitted.append((np.zeros(c, np.float32), float(np.log(rate / (1 - rate)))))
-            earlier[:, c] = fitted[-1][1]
-            continue
-
-        def matrix(picked: np.ndarray, c: int = c) -> np.ndarray:
-            x = np.zeros((n, len(picked) + c + 1), np.float32)
-            x[:, -1] = 1
-            for i, found in enumerate(every):
-                x[i, np.searchsorted(picked, found[np.isin(found, picked, assume_unique=True)])] = 1
-            x[:, len(picked) : -1] = earlier[:, :c] / 4
-            return x
-
-        for f in range(FOLDS):
-            rows = fold != f
-            picked = select([e for e, r in zip(every, rows) if r], y[rows])
-            x = matrix(picked)
-            w, b = fit(x[rows], y[rows])
-            earlier[~rows, c] = x[~rows, :-1] @ w + b
-            del x
-        picked = select(every, y)
-        chosen.append(picked)
-        fitted.append(fit(matrix(picked), y))
-    hashes = np.unique(np.concatenate([np.empty(0, np.int64), *chosen])).astype(np.int64)
-    index = np.full(1 << BITS, -1, np.int32)
-    index[hashes] = np.arange(len(hashes))
-    weights, links, bias = np.zeros((len(hashes), k)), np.zeros((k, k)), np.zeros(k)
-    for c, (picked, (w, b)) in enumerate(zip(chosen, fitted)):
-        weights[index[picked], c] = w[: len(picked)]
-        links[c, :c] = w[len(picked) :] / 4
-        bias[c] = b
-    return Chain(categories, index, weights, links, bias, best_threshold(earlier[:, -1], labels[:, -1] if n else np.zeros(0)))
-
-
 def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
     """The probability with the best F1 over these rows; halfway to the next lower one."""
     if not (y > 0).any():
@@ -203,47 +151,199 @@ def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
     return float((p[k] + p[min(k + 1, len(p) - 1)]) / 2)
 
 
-def score(chain: Chain, texts: list[str | None]) -> np.ndarray:
-    """Probabilities (texts, categories) of whole texts."""
-    logits = np.tile(chain.bias, (len(texts), 1))
+def score(chain: Chain, texts: list[bytes | None]) -> np.ndarray:
+    """Probabilities (texts, categories) of whole texts, each the highest of any of the text's windows."""
+    owner, pieces = [], []
+    for i, text in enumerate(map(normal, texts)):
+        for start in range(0, len(text), WINDOW):
+            owner.append(i)
+            pieces.append(text[start : start + WINDOW + max(WIDTHS) - 1])
+    logits = np.tile(chain.bias, (len(pieces), 1))
     if len(chain.weights):
-        owner, feature = presence([normal(t) for t in texts], chain.index)
-        np.add.at(logits, owner, chain.weights[feature])
+        place, feature = presence(pieces, chain.index)
+        np.add.at(logits, place, chain.weights[feature])
     for c in range(len(chain.categories)):
         logits[:, c] += logits[:, :c] @ chain.links[c, :c]
-    return sigmoid(logits)
+    out = np.zeros((len(texts), len(chain.categories)))
+    np.maximum.at(out, np.array(owner, int), sigmoid(logits))
+    return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The sample: labelled rows of the smallest hashed ids, as many of each class as the limits say."""
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = (
-        labels.where(F.col("toxic").isNotNull())
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The sample, stored: ``doc_id``, ``text``, ``fold`` and ``code`` (a bit for each category) of labelled documents.
+
+    Those of the smallest hashed ids, as many toxic and other ones as the limits say. Rows without an id or
+    a toxic label aren't learnt from; of rows that repeat an id the smallest text is.
+    """
+    known = (
+        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-        .withColumn("place", place)
-        .where(F.col("place") <= F.when(F.col("toxic") > 0, MOST_POSITIVE).otherwise(MOST_NEGATIVE))
-        .select("doc_id", (F.coalesce("quality", F.lit(1)) == 0).cast("int").alias("low_quality"), "toxic")
+        .select("doc_id", (F.col("toxic") > 0).alias("toxic"), (F.coalesce("quality", F.lit(1)) == 0).alias("low_quality"))
+    )
+    by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
+    picked = (
+        known.where("toxic").orderBy(*by_hash).limit(MOST_POSITIVE)
+        .union(known.where("not toxic").orderBy(*by_hash).limit(MOST_NEGATIVE))
+        .select("doc_id", F.expr(" + ".join(f"if({c}, {1 << i}, 0)" for i, c in enumerate(CATEGORIES))).alias("code"))
+    )
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return stored(
+        rows.join(F.broadcast(picked), "doc_id")  # at most MOST_POSITIVE + MOST_NEGATIVE rows
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.first("code").alias("code"))
+        .withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int"))
+        .repartition(TASKS),
+        "toxicity-sample",
     )
-    rows = (
-        docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, TRAIN_CHARS).alias("text"))
-        .join(F.broadcast(picked), "doc_id")  # at most MOST_POSITIVE + MOST_NEGATIVE rows
-        .select("doc_id", "text", "low_quality", "toxic")
+
+
+def _cells() -> int:
+    return FOLDS << len(CATEGORIES)
+
+
+def chosen_features(rows: DataFrame, totals: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """(fold, category): hashes to learn from, chosen in the rows outside of the fold; fold FOLDS stands for all rows.
+
+    Tasks count the rows with each hash for each fold and code, in tables of a fixed size that are merged
+    block by block.
+    """
+    from zstandard import ZstdCompressor, ZstdDecompressor
+
+    width = (1 << BITS) // BLOCKS
+    codes = np.arange(_cells()) % (1 << len(CATEGORIES))
+    folds = np.arange(_cells()) >> len(CATEGORIES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((_cells(), 1 << BITS), np.uint16)  # the sample has fewer rows than 2**16
+        for batch in batches:
+            for text, fold, code in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                table[fold << len(CATEGORIES) | code, distinct(normal(text.as_py()))] += 1
+        squeeze = ZstdCompressor(level=1).compress
+        z = [squeeze(np.ascontiguousarray(table[:, b * width : (b + 1) * width]).data) for b in range(BLOCKS)]
+        yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array(z, pa.binary())], ["block", "z"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, z in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(ZstdDecompressor().decompress(z.as_py()), np.uint16).reshape(_cells(), width)
+                sums[block] = sums.get(block, 0) + part.astype(np.int32)
+        for block, counts in sums.items():
+            for fold in range(FOLDS + 1):
+                for c in range(len(CATEGORIES)):
+                    sides = [(folds != fold) & (codes >> c & 1 == side) for side in (0, 1)]
+                    found = association(np.stack([counts[s].sum(axis=0) for s in sides]), np.array([totals[s].sum() for s in sides], float))
+                    best = np.argsort(-found, kind="stable")[:FEATURES]
+                    best = best[found[best] > 3]
+                    same = [np.full(len(best), x, np.int32) for x in (fold, c)]
+                    yield pa.record_batch(
+                        [*map(pa.array, same), pa.array((best + block * width).astype(np.int32)), pa.array(found[best])],
+                        ["of_fold", "category", "hash", "score"],
+                    )
+
+    place = F.row_number().over(Window.partitionBy("of_fold", "category").orderBy(F.desc("score"), "hash"))
+    best = (
+        rows.select("text", "fold", "code")
+        .mapInArrow(count, "block int, z binary")
+        .repartition("block")
+        .mapInArrow(choose, "of_fold int, category int, hash int, score double")
+        .withColumn("place", place)  # at most FEATURES rows a block, fold and category
+        .where(F.col("place") <= FEATURES)
+        .select("of_fold", "category", "hash")
         .collect()
     )
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return [r.text for r in rows], np.array([[r.low_quality, int(r.toxic > 0)] for r in rows], np.int64).reshape(-1, 2)
+    out: dict[tuple[int, int], list[int]] = {(f, c): [] for f in range(FOLDS + 1) for c in range(len(CATEGORIES))}
+    for r in best:
+        out[r.of_fold, r.category].append(r.hash)
+    return {k: np.array(sorted(v), np.int64) for k, v in out.items()}
+
+
+def feature_bits(rows: DataFrame, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed bits (rows, hashes / 8), folds and codes of the sample's rows: what the driver sees of them."""
+    index = np.full(1 << BITS, -1, np.int32)
+    index[hashes] = np.arange(len(hashes))
+    shared = rows.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(3).cast(pa.binary()):
+                bits = np.zeros(len(hashes), bool)
+                at = shared.value[distinct(normal(text.as_py()))]
+                bits[at[at >= 0]] = True
+                out.append(np.packbits(bits).tobytes())
+            yield pa.record_batch([*batch.columns[:3], pa.array(out, pa.binary())], ["doc_id", "fold", "code", "bits"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = rows.select("doc_id", "fold", "code", "text").mapInArrow(run, f"doc_id {kind}, fold int, code int, bits binary").orderBy("doc_id").collect()
+    bits = np.frombuffer(b"".join(bytes(r.bits) for r in found), np.uint8).reshape(len(found), -(-len(hashes) // 8))
+    return bits, np.array([r.fold for r in found], np.int64), np.array([r.code for r in found], np.int64)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Chain:
-    return train(*training_rows(docs, labels))
+    """Fits the chain; the threshold of the last category maximises F1 out of fold.
+
+    Without rows, or without both classes, a category's probability is the smoothed rate of its label.
+    Folds are fitted side by side, category after category.
+    """
+    spark, k = docs.sparkSession, len(CATEGORIES)
+    rows = training_rows(docs, labels)
+    totals = np.zeros(_cells(), np.int64)
+    for r in rows.groupBy("fold", "code").count().collect():
+        totals[r.fold << k | r.code] = r["count"]
+    chosen = chosen_features(rows, totals)
+    hashes = np.unique(np.concatenate(list(chosen.values())))
+    bits, folds, codes = feature_bits(rows, hashes)
+    n = len(bits)
+    labelled = np.stack([codes >> c & 1 for c in range(k)], axis=1).astype(np.float32)
+    earlier = np.zeros((n, k), np.float32)  # logits, out of fold
+    index = np.full(1 << BITS, -1, np.int32)
+    index[hashes] = np.arange(len(hashes))
+    weights, links, bias = np.zeros((len(hashes), k)), np.zeros((k, k)), np.zeros(k)
+    for c in range(k):
+        y = labelled[:, c]
+        if len(np.unique(y)) < 2:
+            rate = (y.sum() + 0.5) / (n + 1)
+            earlier[:, c] = bias[c] = np.log(rate / (1 - rate))
+            continue
+        for f, (w, b, logits) in enumerate(_folds(spark, bits, folds, y, earlier[:, :c], [index[chosen[f, c]] for f in range(FOLDS + 1)])):
+            if f < FOLDS:
+                earlier[folds == f, c] = logits
+            else:
+                at = index[chosen[f, c]]
+                weights[at, c], links[c, :c], bias[c] = w[: len(at)], w[len(at) :] / 4, b
+    return Chain(CATEGORIES, index, weights, links, bias, best_threshold(earlier[:, -1], labelled[:, -1]))
+
+
+def _folds(spark: SparkSession, bits: np.ndarray, folds: np.ndarray, y: np.ndarray, earlier: np.ndarray, columns: list[np.ndarray]):
+    """For each fold, and for all rows: weights and bias fitted outside of it, and the logits of its own rows."""
+    shared = spark.sparkContext.broadcast((bits, folds, y, earlier, columns))  # bits: the sample's rows by the chosen hashes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, folds, y, earlier, columns = shared.value
+        for batch in batches:
+            for f in batch.column(0).to_pylist():
+                x = np.ones((len(bits), len(columns[f]) + earlier.shape[1] + 1), np.float32)
+                for at in range(0, len(bits), 512):
+                    x[at : at + 512, : len(columns[f])] = np.unpackbits(bits[at : at + 512], axis=1)[:, columns[f]]
+                x[:, len(columns[f]) : -1] = earlier / 4
+                w, b = fit(x[folds != f], y[folds != f])
+                logits = x[folds == f, :-1] @ w + np.float32(b)
+                yield pa.record_batch(
+                    [pa.array([f]), pa.array([w.tobytes()], pa.binary()), pa.array([b]), pa.array([logits.astype(np.float32).tobytes()], pa.binary())],
+                    ["fold", "w", "b", "logits"],
+                )
+
+    found = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "fold long, w binary, b double, logits binary").collect()
+    return [(np.frombuffer(r.w, np.float32), r.b, np.frombuffer(r.logits, np.float32)) for r in sorted(found, key=lambda r: r.fold)]
 
 
 def _scores(chain: Chain, column: pa.Array) -> np.ndarray:
     out, group, size = [np.empty((0, len(chain.categories)))], [], 0
-    for t in column:
+    for t in column.cast(pa.binary()):
         group.append(t.as_py())
-        size += len(group[-1] or "")
+        size += len(group[-1] or b"")
         if size > MOST:
             out.append(score(chain, group))
             group, size = [], 0
@@ -253,7 +353,8 @@ def _scores(chain: Chain, column: pa.Array) -> np.ndarray:
 def toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
     """``doc_id``, a probability per category, ``toxic`` and ``kept`` for every row; no shuffle.
 
-    Null and empty texts get the probabilities of a text without any feature.
+    Null and empty texts get the probabilities of a text without any feature. Rows that repeat an id or
+    have none are judged one by one; other columns don't matter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # about 4 MB, whatever the input
 
@@ -285,5 +386,6 @@ def keep_clean(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``p_low_quality``, ``p_toxic``, ``toxic``, ``kept`` of every document."""
     docs = table(spark, sf_dir, "documents")
     return toxicity(docs, fitted(docs, table(spark, sf_dir, "labels")))
