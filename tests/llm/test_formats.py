@@ -46,13 +46,34 @@ def test_chunks_are_encoded_once_and_forgotten_in_bounds(monkeypatch):
     rng = random.Random(1)
     text = " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 9))) for _ in range(4000)).encode()
     coder = bpe.Coder(bpe.default_vocabulary())
-    coder.code([text])
+    coder.code(text)
     first = coder.encoded
-    coder.code([text, b"other start " + text])
+    coder.code(text)
+    coder.code(b"other start " + text)
     assert coder.encoded - first < 0.1 * first  # all but the moved start is known
     monkeypatch.setattr(bpe, "HELD", 1000)
-    again = coder.code([text])
-    assert again == bpe.Coder(bpe.default_vocabulary()).code([text])
+    again = coder.code(text)
+    assert again == bpe.Coder(bpe.default_vocabulary()).code(text)
+
+
+@pytest.mark.parametrize("edge", [None, rb"(?<=[\x00-\x7f])(?=[\x00-\x7f])"])
+def test_joins_agree_with_the_whole_text(monkeypatch, edge):
+    """Tiny chunks, so that joins are everywhere; also with word ends where none are, so that joins disagree."""
+    monkeypatch.setattr(bpe, "LEAST_CHUNK", 24)
+    monkeypatch.setattr(bpe, "MASK", bpe.np.uint64(7))
+    if edge:
+        monkeypatch.setattr(bpe, "EDGE", bpe.re.compile(edge))
+    coder = bpe.Coder(bpe.default_vocabulary())
+    for text in filter(None, TEXTS):
+        text = text[:4000]
+        got = coder.code(text.encode())
+        assert (got.n, got.decimals[:-1]) == (len(ids := coder.tok.encode(text, add_special_tokens=False).ids), ",".join(map(str, ids)))
+        assert got.decoded.decode() == coder.tok.decode(ids, skip_special_tokens=False)
+
+
+def test_bytes_that_are_not_utf8(spark):
+    df = spark.sql("select 1L doc_id, cast(X'61FF62' as string) text")
+    assert bpe.encode(df).first().ids_sha256 == library("a\ufffdb")[1]
 
 
 def test_cuts_are_content_defined():
