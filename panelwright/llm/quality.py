@@ -1,25 +1,25 @@
 """Quality rules whose cut-offs follow the corpus.
 
-Every document gets word, symbol, line and repetition counts. For each language and source a KLL
-quantile sketch of every ratio is built with Spark's mergeable sketch aggregates; a source with few
-rows takes the merged sketch of its language, a language with few rows that of all languages, and a
-corpus with few rows the fixed cut-offs, so every document with words is judged. A ratio is bad if it
-lies far outside the spread between the median and the quartile, and beyond a floor that protects
-uniform sources. The cut-offs are then joined to the counts.
-
-KLL sketches compact at random, so over groups of more than a few hundred rows the cut-offs vary by
-about one per cent of rank between runs.
+Every document gets word, symbol, line and repetition counts. For each language and source a quantile
+sketch of every ratio is built: counts of logarithmic buckets, so a quantile is off by a hundredth of
+its value at most, sketches merge by adding up, and every run gives the same. A source's quantiles
+are averaged with those of its language, these with those of all rows, and these with fixed ones of
+plain prose, with the numbers of rows as weights against PRIOR: small groups lean on the larger ones, and
+no size switches a rule on or off. A ratio is bad if it lies far outside the spread between the median
+and the quartile, and beyond a floor that protects uniform sources. The cut-offs are then joined to
+the counts.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelwright.llm.common import stored, table
 
@@ -29,8 +29,13 @@ SPACES = b" \t\n\x0b\x0c\r"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Rows from which on a group's own sketch counts.
-MIN_GROUP = 200
+#: Rows that the wider group's quantiles count for beside those of a source, of a language, and of all rows.
+PRIOR = (20, 200, 2000)
+#: Quotient of the bounds of a sketch's bucket: its middle is off by one per cent at most.
+GAMMA = 1.01 / 0.99
+QUANTILES = (0.25, 0.5, 0.75)
+#: The bucket of zeros, below all others.
+EMPTY = -(1 << 30)
 #: Times the distance from median to quartile that a ratio may lie beyond the median.
 SPREAD = 6.0
 #: name: (numerator, denominator, least allowance above the median, least allowance below it or None).
@@ -40,14 +45,33 @@ RATIOS = {
     "upper": ("n_upper", "word_chars", 0.3, None),
     "word_length": ("word_chars", "n_words", 6.0, 2.5),
 }
-#: Medians of plain prose; with the least allowances they give the fixed cut-offs.
-PLAIN = {"symbols": 0.0, "dup_lines": 0.0, "upper": 0.05, "word_length": 5.0}
-FIXED = {f"{r}_high": PLAIN[r] + above for r, (_, _, above, _) in RATIOS.items()} | {
-    f"{r}_low": PLAIN[r] - below for r, (_, _, _, below) in RATIOS.items() if below is not None
-}
+#: Quantiles of plain prose.
+PLAIN = {"symbols": (0.0, 0.0, 0.0), "dup_lines": (0.0, 0.0, 0.0), "upper": (0.05, 0.05, 0.05), "word_length": (5.0, 5.0, 5.0)}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
 
+def repeated_words(words: list[bytes]) -> int:
+    """Words in WINDOW-word windows that occur twice or more, the first one included."""
+    n = len(words)
+    if n <= WINDOW:
+        return 0
+    known: dict[bytes, int] = {}
+    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, n)
+    if len(known) == n:
+        return 0
+    names = ids
+    for step in range(1, WINDOW):  # windows of one word more get exact names from those of one less
+        pairs = names[:-1] * n + ids[step:]
+        _, names, seen = np.unique(pairs, return_inverse=True, return_counts=True)
+        if len(seen) == len(pairs):
+            return 0
+    steps = np.zeros(n + 1, np.int64)
+    at = np.flatnonzero(seen[names] > 1)
+    steps[at] += 1
+    steps[at + WINDOW] -= 1
+    return int((np.cumsum(steps)[:n] > 0).sum())
+
+
 def text_counts(text: bytes | None) -> tuple[int, ...]:
     """The COUNTS of one text; words are separated by space and bytes 9 to 13."""
     text = text or b""
@@ -58,41 +82,29 @@ def text_counts(text: bytes | None) -> tuple[int, ...]:
     n_symbols = len(text) - len(text.translate(None, SYMBOLS))
     n_upper = len(text) - len(text.translate(None, UPPER))
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
-    repeated = 0
-    if n > WINDOW:
-        windows = list(zip(*(words[i:] for i in range(WINDOW))))
-        if len(set(windows)) < len(windows):
-            seen = Counter(windows)
-            steps = np.zeros(n + 1, np.int64)
-            at = np.fromiter((i for i, w in enumerate(windows) if seen[w] > 1), np.int64)
-            np.add.at(steps, at, 1)
-            np.add.at(steps, at + WINDOW, -1)
-            repeated = int((np.cumsum(steps)[:n] > 0).sum())
+    repeated = repeated_words(words)
     return n, word_chars, n_symbols, len(lines) - len(set(lines)), repeated, len(lines), n_upper
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``part`` (the text's hash), ``lang``, ``source`` and the COUNTS (long) of every whole text.
+def counts(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``row`` (a struct of the columns ``kept``), ``lang``, ``source`` and the COUNTS (long) of every whole text.
 
     Null texts count as empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array(
-                [text_counts(t.as_py()) for t in batch.column(4).cast(pa.binary())], np.int64
-            ).reshape(-1, len(COUNTS))
+            text = batch.column(3).cast(pa.binary())
+            found = np.array([text_counts(t.as_py()) for t in text], np.int64).reshape(-1, len(COUNTS))
             yield pa.record_batch(
-                [*batch.columns[:4], *(pa.array(found[:, i]) for i in range(len(COUNTS)))],
-                ["doc_id", "part", "lang", "source", *COUNTS],
+                [*batch.columns[:3], *(pa.array(found[:, i]) for i in range(len(COUNTS)))], ["row", "lang", "source", *COUNTS]
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(
-        "doc_id", F.hash("text").alias("part"), F.col("lang").cast("string"), F.col("source").cast("string"), "text"
-    ).mapInArrow(
-        run, f"doc_id {kind}, part int, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS)
+    rows = docs.select(
+        F.struct(*kept).alias("row"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string")
     )
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(run, f"row {kind}, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _ratio(name: str) -> Column:
@@ -100,41 +112,61 @@ def _ratio(name: str) -> Column:
     return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom))
 
 
-def _bounds(n: str, prefix: str) -> list[Column]:
-    """Upper and lower cut-off of each ratio from its sketch; null below MIN_GROUP rows."""
+def sketches(counted: DataFrame) -> DataFrame:
+    """``lang``, ``source``, ``ratio``, ``bucket``, ``n``: the rows in each logarithmic bucket; 0 has a bucket of its own."""
+    named = F.explode(F.create_map(*[x for r in RATIOS for x in (F.lit(r), _ratio(r))]))
+    bucket = F.when(F.col("x") > 0, F.ceil(F.log("x") / F.lit(math.log(GAMMA))).cast("int"))
+    return (
+        counted.where("n_words > 0")
+        .select("lang", "source", named.alias("ratio", "x"))
+        .where("x is not null")
+        .groupBy("lang", "source", "ratio", F.coalesce(bucket, F.lit(EMPTY)).alias("bucket"))
+        .agg(F.count("*").alias("n"))
+    )
+
+
+def quantiles(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``keys``, ``ratio``, ``n`` and ``q`` (the QUANTILES) of the merged sketches of each group."""
+    merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*keys, "ratio")  # as many rows as buckets: some thousand
+    ranked = merged.withColumns({"up_to": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group)})
+    value = F.when(F.col("bucket") == EMPTY, 0.0).otherwise(F.lit(2 / (GAMMA + 1)) * F.pow(F.lit(GAMMA), F.col("bucket")))
+    least = [F.min(F.when(F.col("up_to") >= F.lit(p) * F.col("total"), value)) for p in QUANTILES]
+    return ranked.groupBy(*keys, "ratio").agg(F.max("total").alias("n"), F.array(*least).alias("q"))
+
+
+def _leaning(level: int, own: str, wide: Column) -> Column:
+    """Quantiles of ``n`` rows averaged with those of the wider group."""
+    n, prior = F.col("n"), F.lit(PRIOR[level])
+    return F.zip_with(own, wide, lambda a, b: (a * n + b * prior) / (n + prior))
+
+
+def cutoffs(sketch: DataFrame) -> DataFrame:
+    """``lang``, ``source`` and the cut-offs of each ratio that hold there: one row per pair that occurs."""
+    plain = F.create_map(*[x for r, q in PLAIN.items() for x in (F.lit(r), F.array(*map(F.lit, q)))])
+    every = quantiles(sketch, ()).select(F.col("ratio").alias("r0"), _leaning(2, "q", plain[F.col("ratio")]).alias("q0"))
+    langs = quantiles(sketch, ("lang",)).join(every, F.col("ratio") == F.col("r0"))
+    langs = langs.select(F.col("lang").alias("of"), F.col("ratio").alias("r1"), _leaning(1, "q", F.col("q0")).alias("q1"))
+    own = quantiles(sketch, ("lang", "source")).join(langs, F.col("lang").eqNullSafe(F.col("of")) & (F.col("ratio") == F.col("r1")))
+    q = _leaning(0, "q", F.col("q1"))
     found = []
     for name, (_, _, above, below) in RATIOS.items():
-        q = lambda p, c=f"{prefix}{name}": F.kll_sketch_get_quantile_double(F.col(c), F.lit(p))
-        enough = F.col(n) >= MIN_GROUP
-        found.append(F.when(enough, q(0.5) + F.greatest(F.lit(above), (q(0.75) - q(0.5)) * SPREAD)).alias(f"{name}_high"))
+        high = q[1] + F.greatest(F.lit(above), (q[2] - q[1]) * SPREAD)
+        found.append(F.max(F.when(F.col("ratio") == name, high)).alias(f"{name}_high"))
         if below is not None:
-            found.append(F.when(enough, q(0.5) - F.greatest(F.lit(below), (q(0.5) - q(0.25)) * SPREAD)).alias(f"{name}_low"))
-    return found
-
-
-def cutoffs(counted: DataFrame) -> DataFrame:
-    """``lang``, ``source`` and the cut-offs that hold there: one row per pair that occurs."""
-    groups = counted.where("n_words > 0").groupBy("lang", "source").agg(
-        F.count("*").alias("n"), *[F.kll_sketch_agg_double(_ratio(r)).alias(f"s_{r}") for r in RATIOS]
-    )
-    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(f"s_{r}").alias(f"s_{r}") for r in RATIOS]]
-    langs = groups.groupBy("lang").agg(*merged)
-    own = groups.select("lang", "source", *_bounds("n", "s_"))
-    wide = langs.select(F.col("lang").alias("of"), *_bounds("n", "s_")).withColumnsRenamed({c: f"wide_{c}" for c in FIXED})
-    every = langs.agg(*merged).select(*_bounds("n", "s_")).withColumnsRenamed({c: f"every_{c}" for c in FIXED})  # one row
-    return own.join(wide, F.col("lang").eqNullSafe(F.col("of")), "left").join(F.broadcast(every)).select(
-        "lang", "source", *[F.coalesce(c, f"wide_{c}", f"every_{c}", F.lit(x)).alias(c) for c, x in FIXED.items()]
-    )
+            low = q[1] - F.greatest(F.lit(below), (q[1] - q[0]) * SPREAD)
+            found.append(F.max(F.when(F.col("ratio") == name, low)).alias(f"{name}_low"))
+    return own.groupBy("lang", "source").agg(*found)
 
 
-def verdicts(counted: DataFrame) -> DataFrame:
-    """``counted`` with ``base_failed`` and ``kept``."""
+def verdicts(counted: DataFrame, limits: DataFrame) -> DataFrame:
+    """``counted`` with ``base_failed`` and ``kept``. Rows without words have no ratio and fail the base rule."""
     bad = F.lit(False)
     for name, (_, _, _, below) in RATIOS.items():
         bad = bad | F.coalesce(_ratio(name) > F.col(f"{name}_high"), F.lit(False))
         if below is not None:
             bad = bad | F.coalesce(_ratio(name) < F.col(f"{name}_low"), F.lit(False))
-    limits = cutoffs(counted).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    limits = limits.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     return (
         counted.join(
@@ -142,24 +174,27 @@ def verdicts(counted: DataFrame) -> DataFrame:
         )
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & ~bad)
-        .select("doc_id", "part", *COUNTS[:5], "base_failed", "kept")
+        .select("row", *COUNTS[:5], "base_failed", "kept")
     )
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """One verdict per row of ``docs`` (``doc_id``, ``text``, ``lang``, ``source``).
 
-    Null or empty texts have no words and fail. Null languages and sources form groups of their own.
+    Null or empty texts have no words and fail. Null languages and sources form groups of their own. Rows that
+    repeat an id or have none are judged one by one; other columns don't matter.
     """
-    return verdicts(stored(counts(docs), "counts")).drop("part")
+    counted = stored(counts(docs), "counts")
+    limits = stored(cutoffs(sketches(counted)), "cutoffs")
+    return verdicts(counted, limits).select("row.doc_id", *COUNTS[:5], "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns as they were; a null id is matched by its text's hash."""
-    good = verdicts(stored(counts(docs), "counts")).where("kept").select("doc_id", "part").alias("good")
-    same = F.col("docs.doc_id").eqNullSafe(F.col("good.doc_id")) & (F.hash("docs.text") == F.col("good.part"))
-    return docs.alias("docs").join(good, same, "left_semi")
+    """The rows of ``docs`` that are kept, with their columns as they were. Texts aren't shuffled for it: they are counted twice."""
+    limits = stored(cutoffs(sketches(counts(docs))), "cutoffs")
+    return verdicts(counts(docs, tuple(docs.columns)), limits).where("kept").select("row.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id``, the counts, ``base_failed`` and ``kept`` of every document."""
     return quality(table(spark, sf_dir, "documents"))
