@@ -181,36 +181,45 @@ def predict(model: Model, texts: list[bytes]) -> list[tuple[str, float]]:
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, bytes]]:
-    """At most SAMPLE_TEXTS texts of each language, and SAMPLE_WINDOWS windows of each, evenly spaced.
+    """At most SAMPLE_TEXTS texts of each language, and SAMPLE_WINDOWS windows of each, evenly spaced over the whole text.
 
-    The texts are those of the smallest hashed ids; each language's limit is applied before the shuffle.
+    The texts are those of the smallest hashed ids; each language's limit is applied before the shuffle, and
+    only windows leave the tasks. Rows without a language or text aren't learnt from.
     """
-    size = STEPS * SAMPLE_WINDOWS
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, found = [], []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                raw = text.as_py()
+                parts = -(-len(raw) // STEPS)
+                keep = sorted({int(i) for i in np.linspace(0, parts - 1, min(parts, SAMPLE_WINDOWS))})
+                langs += [lang] * len(keep)
+                found += [raw[i * STEPS : (i + 1) * STEPS] for i in keep]
+            yield pa.record_batch([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "window"])
+
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id"))
     picked = (
         docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-        .select("lang", "doc_id", F.substring("text", 1, 20 * size).alias("text"))
+        .select(F.col("lang").cast("string"), "doc_id", F.col("text").cast("string"))
         .withColumn("place", place)
         .where(F.col("place") <= SAMPLE_TEXTS)
         .select("lang", "text")
-        .collect()
+        .mapInArrow(cut, "lang string, window binary")
     )
-    out = []
-    for lang, text in sorted(map(tuple, picked)):
-        raw = text.encode()
-        parts = -(-len(raw) // STEPS)
-        keep = sorted({int(i) for i in np.linspace(0, parts - 1, min(parts, SAMPLE_WINDOWS))})
-        out += [(lang, raw[i * STEPS : (i + 1) * STEPS]) for i in keep]
-    return out
+    return sorted((r.lang, bytes(r.window)) for r in picked.collect())
 
 
 def held_out(column: str = "doc_id"):
-    """True for the quarter of ids that training never sees."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % 4 == HELD_OUT
+    """True for the quarter of ids that training never sees; false without an id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id``, ``held_out``, ``lang_pred``, ``score`` of every row; null and letterless texts are ``und``, 0."""
+    """``doc_id``, ``held_out``, ``lang_pred``, ``score`` of every row; null and letterless texts are ``und``, 0.
+
+    Rows that repeat an id or have none are judged one by one; other columns don't matter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few ten KB: UNITS and the languages bound it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,5 +244,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``held_out``, ``lang_pred``, ``score`` of every document."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(training_sample(docs.where(~held_out()))))

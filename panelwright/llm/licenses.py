@@ -1,7 +1,8 @@
 """Licence scan: Aho-Corasick over words for notice phrases and over raw text for identifier tags.
 
 The text after an identifier tag is read as a licence expression (``and``, ``or``, ``with``,
-parentheses) by a shunting-yard parser and evaluated to its labels and its permissiveness.
+parentheses) by a shunting-yard parser and evaluated to its labels and its permissiveness. An expression
+ends where a word is no identifier: these are of a known family, have a version, or begin with LicenseRef-.
 """
 
 from __future__ import annotations
@@ -44,13 +45,16 @@ TAGS = ("spdx-license-identifier:", "license-expression:", "licence-expression:"
 #: Permissiveness of a label's family; others get UNKNOWN.
 PERMISSIVE = {
     "public-domain": 1.0, "cc0": 1.0, "mit": 1.0, "isc": 1.0, "bsd": 1.0, "bsl": 1.0, "apache": 0.9, "cc-by": 0.8,
-    "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "gpl": 0.2, "agpl": 0.1, "proprietary": 0.0,
+    "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "gpl": 0.2, "agpl": 0.1, "proprietary": 0.0, "unlicense": 1.0, "zlib": 1.0,
 }
 UNKNOWN = 0.4
 #: What an exception (``with``) raises a licence to, at least.
 WITH_LEAST = 0.6
-#: Characters of an expression that are read at most after its tag: it ends with its line anyway.
 WORD = re.compile(r"[()]|[A-Za-z0-9.+:_-]+")
+#: Identifiers beyond known families: with a version at the end, or of the file's own.
+VERSIONED = re.compile(r"[a-z]+(-[a-z]+)*-v?[0-9]+(\.[0-9]+)*(-only|-or-later|\+)?|licenseref-.+")
+#: What follows ``with``.
+EXCEPTION = re.compile(r".*exception.*|.+-[0-9]+(\.[0-9]+)*|additionref-.+")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 #: A-Z become a-z, what separates words becomes a space, all else stays.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -120,31 +124,37 @@ def evaluate(tokens: list[str]) -> tuple[frozenset[str], float] | None:
     return stack[0]
 
 
+def identifies(token: str, after_with: bool) -> bool:
+    """Whether a word can be an identifier of a licence or, after ``with``, of an exception."""
+    low = token.lower()
+    return bool((EXCEPTION if after_with else VERSIONED).fullmatch(low)) or not after_with and family(low) in PERMISSIVE
+
+
 def expression_at(text: str, start: int) -> tuple[frozenset[str], float] | None:
-    """The longest expression that begins at ``start`` and ends on the same line."""
-    end = text.find("\n", start)
+    """The longest expression that begins at ``start`` and ends on the same line; one pass over it."""
     tokens: list[str] = []
-    at = start
-    line_end = len(text) if end < 0 else end
-    operand_next, depth = True, 0
-    while at < line_end:
-        while at < line_end and text[at] in " \t\r":
+    at, whole, depth, operand_next = start, 0, 0, True
+    while True:
+        while at < len(text) and text[at] in " \t\r":
             at += 1
-        m = WORD.match(text, at, line_end)
-        if not m:
+        if (m := WORD.match(text, at)) is None:
+            break
+        token = m[0].rstrip(".:") if len(m[0]) > 1 else m[0]
+        low = token.lower()
+        opens = token == "("
+        if operand_next != (opens or (token != ")" and low not in PRECEDENCE)):
             break
-        token = m[0]
-        if operand_next != (token == "(" or (token != ")" and token.lower() not in PRECEDENCE)):
+        if operand_next and not opens and not identifies(token, bool(tokens) and tokens[-1].lower() == "with"):
             break
-        depth += (token == "(") - (token == ")")
+        depth += opens - (token == ")")
         if depth < 0:
             break
-        tokens.append(token.rstrip(".:") if len(token) > 1 else token)
-        operand_next = token == "(" or token.lower() in PRECEDENCE
+        tokens.append(token)
+        operand_next = opens or low in PRECEDENCE
+        if not operand_next and depth == 0:
+            whole = len(tokens)
         at = m.end()
-    while tokens and evaluate(tokens) is None:
-        tokens.pop()
-    return evaluate(tokens) if tokens else None
+    return evaluate(tokens[:whole]) if whole else None
 
 
 class Scan(NamedTuple):
@@ -203,7 +213,8 @@ TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``): where notices stand, labels and score.
 
-    Null and empty texts have no words, empty labels and score 0. No shuffle: rows stay where they are.
+    Null and empty texts have no words, empty labels and score 0. Rows that repeat an id or have none are scanned
+    one by one; other columns don't matter. No shuffle: rows stay where they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,4 +230,5 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words, base places and labels, all labels, and score."""
     return license_scan(table(spark, sf_dir, "documents"))

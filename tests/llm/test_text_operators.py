@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -70,6 +71,32 @@ def test_expression_ends_with_its_line():
     assert licenses.scan(b"SPDX-License-Identifier: GPL-2.0 WITH x) rest").labels == "gpl"
 
 
+@pytest.mark.parametrize(
+    ("line", "labels"),
+    [("MIT and more text", "mit"), ("see the file", ""), ("MIT OR (GPL-2.0", "mit"), ("Artistic-2.0 OR Zlib.", "artistic-2.0,zlib"), ("LicenseRef-Own AND mit", "licenseref-own,mit")],
+)
+def test_prose_after_a_tag_is_no_expression(line, labels):
+    assert licenses.scan(f"SPDX-License-Identifier: {line}".encode()).labels == labels
+
+
+def test_long_expressions_take_one_pass():
+    deep = b"SPDX-License-Identifier: " + b"(" * 200_000
+    wide = b"SPDX-License-Identifier: MIT" + b" OR MIT" * 50_000
+    began = time.perf_counter()
+    assert licenses.scan(deep).labels == "" and licenses.scan(wide).labels == "mit"
+    assert licenses.scan(b"SPDX-License-Identifier: (" * 5_000).labels == ""
+    assert time.perf_counter() - began < 10
+
+
+def test_licences_and_languages_of_empty_tables_and_odd_columns(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    model = langid.train([("aa", b"aba abba baab " * 5), ("bb", b"xyx yxxy xyyx " * 5)] * 8)
+    assert licenses.license_scan(empty).count() == langid.identify(empty, model).count() == 0 and langid.training_sample(empty) == []
+    odd = spark.createDataFrame([(None, "mit license abba", 1, "q"), (None, None, 2, "q"), (7, "MIT license", 3, "q"), (7, "mit license", 3, "q")], "doc_id long, text string, n_words int, lang_pred string")
+    assert [r.n_base for r in licenses.license_scan(odd).collect()] == [1, 0, 1, 1]
+    assert [r.held_out for r in langid.identify(odd, model).collect()][:2] == [False, False]
+
+
 def brute_counts(text):
     words = re.findall("[^\\x20\\x09-\\x0D]+", text or "")
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
