@@ -1,8 +1,8 @@
 """Main text of web pages from streaming parser events.
 
 Events of the standard library's parser are gathered into lines, one a block element. Blocks of
-menus, forms, notices and the like are left out by element and by the words of their class and id.
-Of the others, the ratio of text to tags is smoothed with a Gaussian, and lines above the threshold
+menus, forms, notices and the like are left out by element and by names in their class and id that
+say nothing else. Of the others, the ratio of text to tags is smoothed with a Gaussian, and lines above the threshold
 (the smoothed ratios' standard deviation) mark content. The region of a marked line, which is the
 article or main element around it or else its parent element, is content as a whole, so that short
 paragraphs between long ones stay.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -39,6 +40,11 @@ WORDS_OUT = frozenset(
     "promoted related reply replies share sharing sidebar social sponsor sponsored subscribe toolbar widget "
     "complementary contentinfo search".split()
 )
+#: Words that say nothing of what a block is: a name of these and the ones above means the same as without them.
+NEUTRAL = frozenset(
+    "area bar block bottom box container content global group inner item items left list main outer page panel primary "
+    "right secondary section site text the top wrap wrapper".split()
+)
 #: Left out too, but only outside of an article.
 HEADERS = frozenset(("header", "masthead"))
 REGIONS = frozenset(("article", "main"))
@@ -55,6 +61,8 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int, int]] = []  # tag, left out, region, number
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by tag
+        self.scopes: list[int] = []
         self.lines: list[tuple[str, int, int]] = []
         self.text: list[str] = []
         self.tags = 0
@@ -76,23 +84,33 @@ class Lines(HTMLParser):
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
             if name in ("class", "id", "role") and value and tag not in ("html", "body", *REGIONS):
-                words = set(WORD.findall(value.lower()))
-                if words & WORDS_OUT or (words & HEADERS and not in_region):
-                    return True
+                out = WORDS_OUT if in_region else WORDS_OUT | HEADERS
+                for words in map(set, map(WORD.findall, value.lower().split())):
+                    if words & out and words <= out | NEUTRAL:
+                        return True
         return False
 
+    def push(self, tag: str, left_out: bool, region: int) -> None:
+        """Open elements are found by tag without a search: each costs the same however deep the page is."""
+        self.places[tag].append(len(self.stack))
+        if tag in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append((tag, left_out, region, self.count))
+
+    def close_from(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-            close = CLOSES.get(tag, {"p"})
-            for i in range(len(self.stack) - 1, -1, -1):
-                open_tag = self.stack[i][0]
-                if open_tag in close:
-                    del self.stack[i:]
-                    break
-                if open_tag in SCOPES:
-                    break
+            last = max((self.places[t][-1] for t in CLOSES.get(tag, {"p"}) if self.places[t]), default=-1)
+            if last >= (self.scopes[-1] if self.scopes else 0):
+                self.close_from(last)
         if tag == "br":
             self.text.append(" ")
         if tag in VOID:
@@ -104,21 +122,19 @@ class Lines(HTMLParser):
             region = -self.count  # negative: an article or main element
         elif tag in BLOCKS and not in_region:
             region = self.count if tag not in ("p", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6") else number
-        self.stack.append((tag, left_out or self.out(tag, attrs, in_region), region, self.count))
+        self.push(tag, left_out or self.out(tag, attrs, in_region), region)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.stack and self.stack[-1][0] == tag and tag in ("svg", "path", "iframe"):
-            self.stack.pop()
+            self.close_from(len(self.stack) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
+        if self.places[tag]:
+            self.close_from(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][1]:
@@ -135,8 +151,8 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach : reach + len(ratios)] / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
-def main_text(html: str | None) -> str:
-    """The article's blocks, joined by newlines; empty if there are none."""
+def read_lines(html: str | None) -> list[tuple[str, int, int]]:
+    """The blocks that aren't left out: text, tags, region."""
     parser = Lines()
     try:
         parser.feed(html or "")
@@ -146,11 +162,21 @@ def main_text(html: str | None) -> str:
         parser.feed((html or "").replace("<![", "&lt;!["))
         parser.close()
     parser.flush()
-    lines = parser.lines
+    return parser.lines
+
+
+def marked_lines(lines: list[tuple[str, int, int]]) -> np.ndarray:
+    """Which lines have a smoothed ratio of text to tags above the threshold."""
+    ratios = smoothed(np.array([len(t) / max(1, n) for t, n, _ in lines]))
+    return ratios >= min(float(ratios.std()), float(ratios.max()))
+
+
+def main_text(html: str | None) -> str:
+    """The article's blocks, joined by newlines; empty if there are none."""
+    lines = read_lines(html)
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(t) / max(1, n) for t, n, _ in lines]))
-    marked = ratios >= min(float(ratios.std()), float(ratios.max()))
+    marked = marked_lines(lines)
     regions = {r for (_, _, r), m in zip(lines, marked) if m}
     if any(r < 0 for r in regions):
         regions = {r for r in regions if r < 0}
@@ -158,11 +184,16 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``page_id``, ``url``, ``text``, ``n_chars`` of every page; null and empty pages have an empty text. No shuffle."""
+    """``page_id``, ``url``, ``text``, ``n_chars`` of every page; null and empty pages have an empty text. No shuffle.
+
+    Rows that repeat an id or have none are read one by one; other columns don't matter. Bytes that aren't UTF-8
+    become U+FFFD.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py()) for h in batch.column(2)]
+            raws = (h.as_py() or b"" for h in batch.column(2).cast(pa.binary()))
+            texts = [main_text(raw.decode("utf-8", "replace")) for raw in raws]
             yield pa.record_batch(
                 [*batch.columns[:2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
@@ -175,4 +206,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id``, ``url``, ``text``, ``n_chars`` of every page."""
     return extract(table(spark, sf_dir, "pages"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import tarfile
+import time
 import zlib
 from collections import Counter
 
@@ -152,6 +153,38 @@ def test_small_pages(html, text):
     assert html_text.main_text(html) == text
 
 
+def test_names_of_blocks():
+    """A class only drops a block if it says nothing but what is dropped."""
+    kept = "<article><div class='search-results'><p>one two</p></div><div class='notice-board wide'><p>three</p></div></article>"
+    assert html_text.main_text(kept) == "one two\nthree"
+    gone = "<div class='site-footer'>x</div><div class='ad-container big'>y</div><div id='comments-list'>z</div><article><p>text</p></article>"
+    assert html_text.main_text(gone) == "text"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "</span>" * 60_000 + "<p>end", "<p><div>" + "<b>" * 60_000 + "<hr>" * 60_000 + "end", "<article>" + "<i><p>x" * 60_000])
+def test_deep_pages_take_one_pass(page):
+    began = time.perf_counter()
+    assert html_text.main_text(page)
+    assert time.perf_counter() - began < 20
+
+
+def test_pages_that_are_not_utf8(spark):
+    df = spark.sql("select 1L page_id, 'u' url, cast(X'3C703E61FF' as string) html")
+    assert html_text.extract(df).first().text == "a\ufffd"
+
+
+def test_marked_lines_lie_within_the_text(spark, sf_dir):
+    """On the table every marked line is part of the text, and regions add the short ones."""
+    marked = every = 0
+    for (page,) in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect():
+        lines = html_text.read_lines(page)
+        text = html_text.main_text(page).split("\n")
+        found = [t for (t, _, _), m in zip(lines, html_text.marked_lines(lines)) if m]
+        assert set(found) <= set(text)
+        marked, every = marked + len(found), every + len(text)
+    assert marked < every
+
+
 def test_pages_table(spark, sf_dir):
     got = html_text.op6_html(spark, sf_dir)
     assert got.columns == ["page_id", "url", "text", "n_chars"]
