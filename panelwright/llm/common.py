@@ -13,9 +13,13 @@ LOCAL_WORK_DIR = "/tmp/checkpoints"
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is absent (tests on one machine) a local folder stands in.
+    Where the setting is absent, a local folder stands in if the master is local, as in tests; a cluster needs it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = LOCAL_WORK_DIR
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

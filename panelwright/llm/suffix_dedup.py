@@ -16,8 +16,8 @@ After the difference-cover construction of suffix arrays, but only as deep as LE
 The full suffix array isn't built: the names of all positions would be shuffled several times, which
 is more than twenty times the input. The README has figures.
 
-Names are hashes: grams of 64 bits only sieve, and two different segments or strings would have to
-agree in 128 bits to be mistaken for each other.
+Names are hashes: grams of 64 bits only sieve. To be mistaken for each other, two different segments of
+one gram would have to agree in a hash of 64 bits, two different strings in two hashes, that is 128.
 """
 
 from __future__ import annotations
@@ -154,8 +154,8 @@ def _packed(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
             )
 
     return docs.select(
-        F.col("doc_id"), F.hash("text").alias("part"), F.col("text"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(others)]
-    ).mapInArrow(run, f"doc_id {kind}, part int, z binary" + "".join(f", o{i} {k}" for i, k in enumerate(kinds)))
+        F.col("doc_id"), F.xxhash64("text").alias("part"), F.col("text"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(others)]
+    ).mapInArrow(run, f"doc_id {kind}, part long, z binary" + "".join(f", o{i} {k}" for i, k in enumerate(kinds)))
 
 
 def _segments(docs: DataFrame) -> DataFrame:
@@ -178,8 +178,8 @@ def _segments(docs: DataFrame) -> DataFrame:
                     )
                     texts, done, size = [], k + 1, 0
 
-    return docs.select("doc_id", F.hash("text").alias("part"), "text").mapInArrow(
-        run, f"doc_id {kind}, part int, at int, n int, gram long, seg long"
+    return docs.select("doc_id", F.xxhash64("text").alias("part"), "text").mapInArrow(
+        run, f"doc_id {kind}, part long, at int, n int, gram long, seg long"
     )
 
 
@@ -192,7 +192,7 @@ def _compare(pieces: DataFrame) -> DataFrame:
         for row, marks in zip(rows, repeated_strings([r["bytes"] for r in rows])):
             if row["alone"]:
                 out += [(row["doc_id"], row["part"], row["at"] + o, row["at"] + o + n + LENGTH - 1) for o, n in runs(marks)]
-        kinds = [id_type[0], pa.int32(), pa.int32(), pa.int32()]
+        kinds = [id_type[0], pa.int64(), pa.int32(), pa.int32()]
         columns = zip(*out) if out else ([] for _ in kinds)
         return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "part", "a", "b"])
 
@@ -214,7 +214,7 @@ def _compare(pieces: DataFrame) -> DataFrame:
         pieces.select("gram", "doc_id", "part", "at", "alone", "bytes")
         .repartition("gram")
         .sortWithinPartitions("gram")
-        .mapInArrow(run, f"doc_id {kind}, part int, a int, b int")
+        .mapInArrow(run, f"doc_id {kind}, part long, a int, b int")
     )
 
 
@@ -237,7 +237,7 @@ def _compare_by_shuffle(pieces: DataFrame) -> DataFrame:
                 )
 
     strings = pieces.select("doc_id", "part", "at", "alone", "bytes").mapInArrow(
-        run, f"doc_id {kind}, part int, alone boolean, a int, one long, two long"
+        run, f"doc_id {kind}, part long, alone boolean, a int, one long, two long"
     )
     twice = strings.groupBy("one", "two").count().where("count > 1").select("one", "two")
     return strings.where("alone").join(twice, ["one", "two"]).select("doc_id", "part", "a", (F.col("a") + LENGTH).alias("b"))
@@ -294,13 +294,13 @@ def _pieces(docs: DataFrame, needed: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 text = ZstdDecompressor().decompress(r["z"])
                 rows += [(r["doc_id"], r["part"], w["at"], w["gram"], w["alone"], w["many"], text[w["at"] : w["at"] + w["n"] + LENGTH - 1]) for w in r["wanted"]]
-            kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+            kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
             columns = zip(*rows) if rows else ([] for _ in kinds)
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "part", "at", "gram", "alone", "many", "bytes"])
 
     texts = _packed(docs).dropDuplicates(["doc_id", "part"])
     return _match(texts, needed, "inner").select("doc_id", "part", "z", "wanted").mapInArrow(
-        run, f"doc_id {kind}, part int, at int, gram long, alone boolean, many boolean, bytes binary"
+        run, f"doc_id {kind}, part long, at int, gram long, alone boolean, many boolean, bytes binary"
     )
 
 
@@ -372,4 +372,5 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its bytes, removed bytes and runs, and the hash of what is left."""
     return suffix_dedup(table(spark, sf_dir, "documents"))
