@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_WORK_DIR = "/tmp/checkpoints"
+#: Rows that an Arrow batch has at most: texts are long, and a task holds a batch and what it makes of it.
+BATCH_ROWS = 1000
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -35,6 +37,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Sets the session's Arrow batches to BATCH_ROWS if they are larger."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

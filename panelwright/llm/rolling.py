@@ -6,8 +6,8 @@ from functools import cache
 
 import numpy as np
 
-#: Bytes that one call takes; longer texts go through in overlapping parts.
-MOST = 1 << 20
+#: Bytes that one call takes; longer texts go through in overlapping parts. A task's arrays are some hundred times that.
+MOST = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 
 

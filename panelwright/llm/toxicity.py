@@ -277,6 +277,7 @@ def feature_bits(rows: DataFrame, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = rows.select("doc_id", "fold", "code", "text").mapInArrow(run, f"doc_id {kind}, fold int, code int, bits binary").orderBy("doc_id").collect()
+    shared.unpersist()
     bits = np.frombuffer(b"".join(bytes(r.bits) for r in found), np.uint8).reshape(len(found), -(-len(hashes) // 8))
     return bits, np.array([r.fold for r in found], np.int64), np.array([r.code for r in found], np.int64)
 
@@ -336,6 +337,7 @@ def _folds(spark: SparkSession, bits: np.ndarray, folds: np.ndarray, y: np.ndarr
                 )
 
     found = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "fold long, w binary, b double, logits binary").collect()
+    shared.unpersist()
     return [(np.frombuffer(r.w, np.float32), r.b, np.frombuffer(r.logits, np.float32)) for r in sorted(found, key=lambda r: r.fold)]
 
 
