@@ -39,6 +39,8 @@ PENALTY = 1e-3
 #: Rows of the sample with and without the last category, at most.
 MOST_POSITIVE = 2500
 MOST_NEGATIVE = 5000
+#: A document of a lower probability is never called toxic: with few toxic rows to learn from, the best F1 says little.
+LEAST_THRESHOLD = 0.2
 #: Tasks that count and fit.
 TASKS = 12
 #: Parts that the n-grams' counts are merged in.
@@ -314,7 +316,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Chain:
             else:
                 at = index[chosen[f, c]]
                 weights[at, c], links[c, :c], bias[c] = w[: len(at)], w[len(at) :] / 4, b
-    return Chain(CATEGORIES, index, weights, links, bias, best_threshold(earlier[:, -1], labelled[:, -1]))
+    threshold = max(LEAST_THRESHOLD, best_threshold(earlier[:, -1], labelled[:, -1]))
+    return Chain(CATEGORIES, index, weights, links, bias, threshold)
 
 
 def _folds(spark: SparkSession, bits: np.ndarray, folds: np.ndarray, y: np.ndarray, earlier: np.ndarray, columns: list[np.ndarray]):
