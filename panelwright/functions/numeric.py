@@ -21,17 +21,20 @@ def finite(x: Column) -> Column:
 
 
 def py_round(x: Column, places: int) -> Column:
-    """``x`` rounded to ``places``; null, NaN and infinities pass through."""
-    scale = 10.0**places
-    k = F.floor(x * F.lit(scale)).cast("double")
-    middle = (F.lit(2.0) * k + F.lit(1.0)) / F.lit(2 * scale)
+    """``x`` rounded to ``places``; null, NaN and infinities pass through.
+
+    Only where the product with the scale ends on a half can its own rounding have hidden on which side of
+    the half ``x`` is. There the product's error, found by splitting ``x`` in two, decides; without one it is a tie.
+    """
+    scale = F.lit(10.0**places)
+    product = x * scale
     split = F.lit(SPLITTER) * x
     high = split - (split - x)
-    low = x - high
-    above = (high * F.lit(2 * scale) - (F.lit(2.0) * k + F.lit(1.0))) + low * F.lit(2 * scale)
-    even = F.when(F.pmod(k, F.lit(2.0)) == 0, k).otherwise(k + 1)
-    tie = F.when(above < 0, k).when(above > 0, k + 1).otherwise(even)
-    return F.when(~finite(x), x).otherwise(F.when(x < middle, k).when(x > middle, k + 1).otherwise(tie) / F.lit(scale))
+    error = (high * scale - product) + (x - high) * scale
+    near = F.rint(product)
+    half = F.abs(product - near) == F.lit(0.5)
+    # adding zero turns a negative zero into a positive one
+    return F.when(half, F.rint(product + F.signum(error) * F.lit(0.25))).otherwise(near) / scale + F.lit(0.0)
 
 
 def larger(a: Column, b: Column) -> Column:
