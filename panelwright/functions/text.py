@@ -10,12 +10,16 @@ CITY_LENGTH = 100
 LOG_LENGTH = 200
 
 
+#: The characters that Unicode calls white space.
+SPACES = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def has_control(x: Column) -> Column:
     return x.rlike(CONTROL)
 
 
 def stripped(x: Column) -> Column:
-    return F.regexp_replace(x, "(?U)^\\s+|\\s+$", "")
+    return F.trim(x, F.lit(SPACES))
 
 
 def not_blank(x: Column) -> Column:

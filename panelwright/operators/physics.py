@@ -79,12 +79,23 @@ STEPS = (
 PHYSICS_COLUMNS: Sequence[str] = tuple(name for name, _ in STEPS)
 
 
-def with_physics(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Adds PHYSICS_COLUMNS to observations; works on batch and streaming frames.
+#: The earlier steps that a step reads.
+READS = {
+    "irradiance_wm2": ("cloud_factor",),
+    "module_temp_c": ("cloud_factor", "irradiance_wm2", "wind_cooling_factor"),
+    "temp_loss_pct": ("cloud_factor", "irradiance_wm2", "wind_cooling_factor", "module_temp_c"),
+    "effective_efficiency": tuple(name for name, _ in STEPS[:-1]),
+}
+
+
+def with_physics(df: DataFrame, s: Settings = DEFAULT, columns: Sequence[str] = PHYSICS_COLUMNS) -> DataFrame:
+    """Adds ``columns`` of PHYSICS_COLUMNS, and those they are made of, to observations; works on batch and streaming frames.
 
     The input is settled, as constant columns would else be written into every later step.
     """
+    needed = {*columns, *(name for c in columns for name in READS.get(c, ()))}
     df = settled(df, "observations")
     for name, make in STEPS:
-        df = df.withColumn(name, make(s))
+        if name in needed:
+            df = df.withColumn(name, make(s))
     return df

@@ -42,7 +42,7 @@ def parsed(df: DataFrame, payload: str = "payload", city: str = "city", s: Setti
     for v in values.values():
         complete = complete & v.isNotNull()
     in_range = F.abs(seconds) <= MOST_SECONDS
-    clean = valid_city(F.col(city))
+    clean = F.col("_clean")
     listed = F.col("_p.weather").isNotNull()
     empty_list = listed & (F.size("_p.weather") == 0)
     is_array = F.coalesce(F.col(payload).rlike("^\\s*\\["), F.lit(False)) & clean.isNotNull()
@@ -52,7 +52,7 @@ def parsed(df: DataFrame, payload: str = "payload", city: str = "city", s: Setti
     defaults = s.weather_defaults
     filled = [F.when(F.col("_ok"), v).otherwise(F.lit(float(defaults[n]))).alias(n) for n, v in values.items()]
     return (
-        df.withColumn("_p", p)
+        df.withColumns({"_p": p, "_clean": valid_city(F.col(city))})
         .withColumns({"_ok": ok, "crashed": crashed})
         .withColumn(
             "weather",
@@ -65,7 +65,7 @@ def parsed(df: DataFrame, payload: str = "payload", city: str = "city", s: Setti
             ),
         )
         .withColumn("degraded", ~F.col("_ok") & ~F.col("crashed"))
-        .drop("_p", "_ok")
+        .drop("_p", "_clean", "_ok")
     )
 
 

@@ -79,10 +79,14 @@ def _rule(make: Callable[[], Column]) -> Query:
     return query
 
 
-def _column(*columns: str, of: Query = _physics) -> Query:
+def _column(*columns: str, of: Query) -> Query:
     return lambda spark, d: of(spark, d).select("run_id", *columns)
 
 
+def _steps(*columns: str) -> Query:
+    return lambda spark, d: physics.with_physics(adapters.observations(spark, d), columns=columns).select("run_id", *columns)
+
+
 def soiling_ratio(spark: SparkSession, d: str) -> DataFrame:
     return adapters.observations(spark, d).select("label", physics.soiling_ratio(F.col("label")).alias("soiling_ratio")).distinct()
 
@@ -92,7 +96,7 @@ def as_of_default(spark: SparkSession, d: str) -> DataFrame:
     as_of = F.lit("2024-06-01 10:30:00").cast("timestamp_ntz")
     df = adapters.observations(spark, d).withColumn("observation_time", F.when(F.col("run_id") % 5 != 0, F.col("observation_time").cast("timestamp_ntz")))
     df = df.withColumn("observation_time", physics.observed_at(F.col("observation_time"), as_of))
-    return physics.with_physics(df).select("run_id", "irradiance_wm2", F.hour("observation_time").alias("hour"))
+    return physics.with_physics(df, columns=("irradiance_wm2",)).select("run_id", "irradiance_wm2", F.hour("observation_time").alias("hour"))
 
 
 def feature_gap_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -346,14 +350,14 @@ def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "cloud_factor": _column("cloud_factor"),
-    "wind_cooling": _column("wind_cooling_factor"),
-    "irradiance": _column("irradiance_wm2"),
-    "module_temperature": _column("module_temp_c"),
+    "cloud_factor": _steps("cloud_factor"),
+    "wind_cooling": _steps("wind_cooling_factor"),
+    "irradiance": _steps("irradiance_wm2"),
+    "module_temperature": _steps("module_temp_c"),
     "soiling_ratio": soiling_ratio,
-    "temperature_loss": _column("temp_loss_pct"),
-    "effective_efficiency": _column("effective_efficiency"),
-    "compute_physics": _column(*physics.PHYSICS_COLUMNS),
+    "temperature_loss": _steps("temp_loss_pct"),
+    "effective_efficiency": _steps("effective_efficiency"),
+    "compute_physics": _steps(*physics.PHYSICS_COLUMNS),
     "as_of_default": as_of_default,
     "feature_vector_raw": _column(*features.RAW_COLUMNS, of=_features),
     "feature_vector_model": lambda spark, d: features.model_vector(_features(spark, d)),

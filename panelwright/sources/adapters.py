@@ -77,15 +77,16 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     k = e % 12
     temp = (e * 37 % 600).cast("double") / F.lit(10.0) - F.lit(10.0)
-    main = F.format_string(
-        '"main":{"temp":%s,"humidity":%s,"pressure":%s}',
+    main = F.concat(
+        F.lit('"main":{"temp":'),
         F.when(k == 1, F.lit('"hot"')).when(k == 2, F.lit("null")).when(k == 3, F.concat(F.lit('"'), temp.cast("string"), F.lit('"'))).otherwise(temp.cast("string")),
-        (e % 101).cast("string"), (F.lit(950) + e % 100).cast("string"),
+        F.lit(',"humidity":'), (e % 101).cast("string"), F.lit(',"pressure":'), (F.lit(950) + e % 100).cast("string"), F.lit("}"),
     )
     body = F.concat(
         F.when(k == 4, "").otherwise(F.concat(F.lit('"name":"Station '), (e % 50).cast("string"), F.lit('",'))),
         main,
-        F.format_string(',"wind":{"speed":%s},"clouds":{"all":%s},"coord":{"lat":%s,"lon":%s},', (e % 40).cast("string"), (e % 101).cast("string"), (e % 181 - 90).cast("string"), (e % 361 - 180).cast("string")),
+        F.lit(',"wind":{"speed":'), (e % 40).cast("string"), F.lit('},"clouds":{"all":'), (e % 101).cast("string"),
+        F.lit('},"coord":{"lat":'), (e % 181 - 90).cast("string"), F.lit(',"lon":'), (e % 361 - 180).cast("string"), F.lit("},"),
         F.when(k == 5, "").otherwise(F.concat(F.lit('"dt":'), (F.lit(1697904000) + e * 60).cast("string"), F.lit(","))),
         F.when(k == 6, F.lit('"weather":[]')).otherwise(F.concat(F.lit('"weather":[{"description":"sky '), (e % 9).cast("string"), F.lit('"}]'))),
     )
