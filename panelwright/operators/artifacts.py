@@ -35,11 +35,12 @@ def readiness(status: DataFrame) -> DataFrame:
 
 
 def digests(spark: SparkSession, root: str) -> DataFrame:
-    """``path`` (relative to root) and ``actual`` SHA-256 of every file below ``root``."""
+    """``path`` (relative to root) and ``actual`` SHA-256 of every file below ``root``, whatever characters its name has."""
     base = os.path.realpath(root)
+    path = F.regexp_replace("path", "^file:/*", "/")
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-        .select(F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), F.lit(f"^{base}/"), F.lit("")).alias("path"), F.sha2("content", 256).alias("actual"))
+        .select(F.substring(path, F.lit(len(base) + 2), F.length(path)).alias("path"), F.sha2("content", 256).alias("actual"))
     )
 
 

@@ -50,7 +50,7 @@ def with_prediction(df: DataFrame, raw: Column, s: Settings = DEFAULT) -> DataFr
 
 
 def predicted(df: DataFrame, load: Callable[[], Predictor] | None, s: Settings = DEFAULT, key: str = "run_id") -> DataFrame:
-    """``key`` and ``raw_prediction`` by a model that each Python worker loads once, over Arrow batches.
+    """``key`` and ``raw_prediction`` by a model that each task loads once, over Arrow batches.
 
     ``load`` runs on the workers. A batch on which the model fails has null outputs.
     """

@@ -341,7 +341,12 @@ def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
 
     from panelwright.streaming.replay import run_available, stream_of
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = "/tmp/checkpoints"
+    base = base.rstrip("/")
     out = f"{base}/stream-{uuid.uuid4().hex}"
     nation = adapters.table(spark, d, "nation")
     events = stream_of(spark, f"{d}/event[s].parquet", adapters.table(spark, d, "events"))

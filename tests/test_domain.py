@@ -272,3 +272,15 @@ def test_good_settings(tmp_path, monkeypatch):
     assert settings.config_problems(missing) and settings.config_problems([]) and settings.config_problems(None)
     monkeypatch.setenv("K", "env")
     assert (settings.secret("K", {"K": "store"}), settings.secret("K", {"K": ""}), settings.secret("NOT_SET", None, "f")) == ("store", "env", "f")
+
+
+def test_digests_of_a_folder_with_odd_characters(spark, tmp_path):
+    import hashlib
+
+    from panelwright.operators.artifacts import digests
+
+    root = tmp_path / "a+b (1)"
+    (root / "sub").mkdir(parents=True)
+    (root / "sub" / "m.bin").write_bytes(b"x")
+    got = [tuple(r) for r in digests(spark, str(root)).collect()]
+    assert got == [("sub/m.bin", hashlib.sha256(b"x").hexdigest())]
