@@ -86,6 +86,13 @@ def validated(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
     )
 
 
+def feature_error() -> Column:
+    """The message of a validated row: its missing columns, else its violations; null if it is valid."""
+    return F.when(F.col("feature_status") == "NAN", F.concat(F.lit("NaN in "), F.array_join("nan_columns", ", "))).when(
+        F.col("feature_status") == "RANGE", F.array_join("violations", "; ")
+    )
+
+
 def strict(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
     """Fails the job at the first invalid row."""
     checked = validated(df, columns)

@@ -139,6 +139,7 @@ RANGE_LIST = (
     + ", ".join(f"CASE WHEN NOT coalesce({c} BETWEEN {lo} AND {hi}, false) THEN '{c}' END" for c, (lo, hi) in FEATURE_RANGES.items())
     + "], lambda v: v IS NOT NULL)"
 )
+CONSISTENCY = "Numeric Consistency: Module temp anomalously high given near-zero irradiance."
 ODD = "(irradiance_wm2 < 10 AND NOT isnan(module_temp_c) AND module_temp_c > ambient_temp_c + 15)"
 
 
@@ -192,6 +193,25 @@ def reports() -> With:
     return w.add(summary=SUMMARY, priority="overall_severity")
 
 
+def report_texts() -> str:
+    w = ruled()
+    issue = "{'severity': severity, 'message': message, 'action': action}"
+    w._next(
+        f"SELECT run_id, arg_min(severity, position) AS overall_severity, arg_min(action, position) AS recommendation, "
+        f"list({issue} ORDER BY position) AS issues FROM {w.last} GROUP BY run_id"
+    )
+    report = "{'status': overall_severity, 'summary': summary, 'issues': issues, 'recommendation': recommendation, 'priority': overall_severity}"
+    return w.add(summary=SUMMARY).sql(f"SELECT run_id, to_json({report})::VARCHAR AS report FROM @")
+
+
+def feature_messages() -> str:
+    outside = [f"CASE WHEN list_contains(ranges_, '{c}') THEN '''{c}'' outside [{lo}, {hi}]' END" for c, (lo, hi) in FEATURE_RANGES.items()]
+    w = validated(faulty()).add(violations=f"[{', '.join(outside)}, CASE WHEN {ODD} THEN {q(CONSISTENCY)} END]")
+    told = "array_to_string(list_filter(violations, lambda v: v IS NOT NULL), '; ')"
+    message = f"CASE feature_status WHEN 'NAN' THEN 'NaN in ' || array_to_string(nan_columns, ', ') ELSE {told} END"
+    return w.sql(f"SELECT run_id, feature_status, {message} AS message FROM @ WHERE feature_status <> 'VALID'")
+
+
 SCALARS = """SELECT event_id AS run_id, (event_id % 131)::DOUBLE - 5e0 AS panel_age, event_id % 61 - 2 AS maintenance_count,
  CASE WHEN event_id % 97 = 0 THEN 'NaN'::DOUBLE ELSE (event_id % 1203)::DOUBLE - 3e0 END AS voltage,
  CASE WHEN event_id % 89 = 0 THEN 'Infinity'::DOUBLE ELSE (event_id % 127)::DOUBLE - 1e0 END AS current_,
@@ -313,6 +333,8 @@ ORACLE: dict[str, str] = {
     "feature_vector_raw": with_features(observed()).sql(f"SELECT run_id, {', '.join(RAW)} FROM @"),
     "feature_vector_model": with_features(observed()).sql(f"SELECT run_id, {', '.join(MODEL_COLUMNS)} FROM @"),
     "feature_gap_fill": with_features(observed()).sql(f"SELECT run_id, {', '.join(MODEL_COLUMNS)}, 0e0 AS panel_tilt, 0e0 AS panel_azimuth FROM @"),
+    "feature_errors": feature_messages(),
+    "report_json": report_texts(),
     "validate_nan": validated(faulty()).sql("SELECT run_id, array_to_string(nan_columns, ',') AS nan_columns FROM @ WHERE feature_status = 'NAN'"),
     "validate_ranges": validated(faulty()).sql("SELECT run_id, array_to_string(ranges_, ',') AS out_of_range FROM @ WHERE len(ranges_) > 0"),
     "validate_consistency": faulty().sql(f"SELECT run_id, irradiance_wm2, module_temp_c, ambient_temp_c FROM @ WHERE {ODD}"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.plan import settled
 from panelwright.functions.text import default_if_empty
-from panelwright.operators.features import RAW_COLUMNS, validated, with_features
+from panelwright.operators.features import RAW_COLUMNS, feature_error, validated, with_features
 from panelwright.operators.inputs import input_error
 from panelwright.operators.physics import observed_at, with_physics
 from panelwright.operators.prediction import surrogate_loss, with_prediction
@@ -72,9 +72,7 @@ def run(df: DataFrame, as_of: Column | None = None, raw_prediction: Column | Non
         "detect": F.col("detection_error"),
         "classify": F.col("classification_error"),
         "weather": F.when(F.col("weather_crashed"), GENERIC),
-        "features": F.when(F.col("feature_status") == "NAN", F.concat(F.lit("NaN in "), F.array_join("nan_columns", ", "))).when(
-            F.col("feature_status") == "RANGE", F.array_join("violations", "; ")
-        ),
+        "features": feature_error(),
         "predict": F.col("prediction_error"),
     }
     stage, message, kind = F, F, F

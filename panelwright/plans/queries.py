@@ -121,6 +121,10 @@ def validation_report(spark: SparkSession, d: str) -> DataFrame:
     return _validated(spark, d).groupBy("feature_status").agg(F.count("*").alias("n"), F.sum(F.size("violations")).alias("n_violations"))
 
 
+def feature_errors(spark: SparkSession, d: str) -> DataFrame:
+    return _validated(spark, d).where("feature_status <> 'VALID'").select("run_id", "feature_status", features.feature_error().alias("message"))
+
+
 def input_validation(spark: SparkSession, d: str) -> DataFrame:
     return inputs.with_input_error(adapters.scalars(spark, d)).select("run_id", F.coalesce("input_error", F.lit("")).alias("input_error"))
 
@@ -250,6 +254,10 @@ def recommendation_report(spark: SparkSession, d: str) -> DataFrame:
     return _advised(spark, d).select("run_id", "overall_severity", "summary", "recommendation", "priority", F.size("recommendations").alias("n_issues"))
 
 
+def report_json(spark: SparkSession, d: str) -> DataFrame:
+    return _advised(spark, d).select("run_id", rules.report_json().alias("report"))
+
+
 def severity_counts(spark: SparkSession, d: str) -> DataFrame:
     return _advised(spark, d).groupBy("city", "overall_severity").agg(F.count("*").alias("n"), F.min("estimated_output_w").alias("least_output_w"))
 
@@ -371,6 +379,7 @@ QUERIES: dict[str, Query] = {
     "validate_ranges": validate_ranges,
     "validate_consistency": validate_consistency,
     "validation_report": validation_report,
+    "feature_errors": feature_errors,
     "input_validation": input_validation,
     "finite_check": finite_check,
     "default_city": default_city,
@@ -403,6 +412,7 @@ QUERIES: dict[str, Query] = {
     "overall_severity": _column("overall_severity", of=_advised),
     "recommendation_report": recommendation_report,
     "top_action": _column("recommendation", of=_advised),
+    "report_json": report_json,
     "severity_counts": severity_counts,
     "pipeline_run": pipeline_run,
     "pipeline_errors": pipeline_errors,
