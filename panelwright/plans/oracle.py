@@ -204,12 +204,10 @@ def report_texts() -> str:
     return w.add(summary=SUMMARY).sql(f"SELECT run_id, to_json({report})::VARCHAR AS report FROM @")
 
 
-def feature_messages() -> str:
+def feature_message() -> str:
     outside = [f"CASE WHEN list_contains(ranges_, '{c}') THEN '''{c}'' outside [{lo}, {hi}]' END" for c, (lo, hi) in FEATURE_RANGES.items()]
-    w = validated(faulty()).add(violations=f"[{', '.join(outside)}, CASE WHEN {ODD} THEN {q(CONSISTENCY)} END]")
-    told = "array_to_string(list_filter(violations, lambda v: v IS NOT NULL), '; ')"
-    message = f"CASE feature_status WHEN 'NAN' THEN 'NaN in ' || array_to_string(nan_columns, ', ') ELSE {told} END"
-    return w.sql(f"SELECT run_id, feature_status, {message} AS message FROM @ WHERE feature_status <> 'VALID'")
+    told = f"list_filter([{', '.join(outside)}, CASE WHEN {ODD} THEN {q(CONSISTENCY)} END], lambda v: v IS NOT NULL)"
+    return f"CASE feature_status WHEN 'NAN' THEN 'NaN in ' || array_to_string(nan_columns, ', ') ELSE array_to_string({told}, '; ') END"
 
 
 SCALARS = """SELECT event_id AS run_id, (event_id % 131)::DOUBLE - 5e0 AS panel_age, event_id % 61 - 2 AS maintenance_count,
@@ -333,7 +331,7 @@ ORACLE: dict[str, str] = {
     "feature_vector_raw": with_features(observed()).sql(f"SELECT run_id, {', '.join(RAW)} FROM @"),
     "feature_vector_model": with_features(observed()).sql(f"SELECT run_id, {', '.join(MODEL_COLUMNS)} FROM @"),
     "feature_gap_fill": with_features(observed()).sql(f"SELECT run_id, {', '.join(MODEL_COLUMNS)}, 0e0 AS panel_tilt, 0e0 AS panel_azimuth FROM @"),
-    "feature_errors": feature_messages(),
+    "feature_errors": validated(faulty()).sql(f"SELECT run_id, feature_status, {feature_message()} AS message FROM @ WHERE feature_status <> 'VALID'"),
     "report_json": report_texts(),
     "validate_nan": validated(faulty()).sql("SELECT run_id, array_to_string(nan_columns, ',') AS nan_columns FROM @ WHERE feature_status = 'NAN'"),
     "validate_ranges": validated(faulty()).sql("SELECT run_id, array_to_string(ranges_, ',') AS out_of_range FROM @ WHERE len(ranges_) > 0"),
@@ -435,11 +433,12 @@ ORACLE: dict[str, str] = {
     ),
     "pipeline_errors": runs()
     .add(
-        error_type="CASE error_stage WHEN 'image' THEN 'ImageValidationError' WHEN 'inputs' THEN 'InputValidationError' WHEN 'weather' THEN 'UnexpectedError' ELSE 'PredictionError' END",
+        error_type="CASE error_stage WHEN 'image' THEN 'ImageValidationError' WHEN 'inputs' THEN 'InputValidationError' WHEN 'weather' THEN 'UnexpectedError' WHEN 'features' THEN 'FeatureValidationError' ELSE 'PredictionError' END",
         error_message=f"CASE error_stage WHEN 'image' THEN 'Image validation failed: no image data' WHEN 'inputs' THEN 'Input validation failed: ' || input_error "
-        f"WHEN 'detect' THEN '[YOLO] Prediction failed: confidence non-finite' WHEN 'classify' THEN '[MobileNet] Prediction failed: negative values' ELSE {q(GENERIC)} END",
+        f"WHEN 'detect' THEN '[YOLO] Prediction failed: confidence non-finite' WHEN 'classify' THEN '[MobileNet] Prediction failed: negative values' "
+        f"WHEN 'features' THEN 'Feature validation failed: ' || ({feature_message()}) ELSE {q(GENERIC)} END",
     )
-    .sql("SELECT error_stage, error_type, error_message, count(*) AS n, min(run_id) AS first_run FROM @ WHERE error_stage NOT IN ('none', 'features') GROUP BY 1, 2, 3"),
+    .sql("SELECT error_stage, error_type, error_message, count(*) AS n, min(run_id) AS first_run FROM @ WHERE error_stage <> 'none' GROUP BY 1, 2, 3"),
     "ui_metrics": predicted().sql(
         "SELECT run_id, printf('%.1f', detection_confidence*100e0) || '%' AS confidence, printf('%.1f', ambient_temp_c) || ' °C' AS temperature, "
         "printf('%.0f', irradiance_wm2) || ' W/m²' AS irradiance, printf('%.2f', soiling_ratio) AS soiling, printf('%.0f', estimated_output_w) || ' W' AS output FROM @"

@@ -285,7 +285,7 @@ def pipeline_run(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pipeline_errors(spark: SparkSession, d: str) -> DataFrame:
-    failed = _runs(spark, d).where("status = 'ERROR' and error_stage <> 'features'")
+    failed = _runs(spark, d).where("status = 'ERROR'")
     return failed.groupBy("error_stage", "error_type", "error_message").agg(F.count("*").alias("n"), F.min("run_id").alias("first_run"))
 
 
