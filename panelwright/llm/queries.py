@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.llm.bpe import op10_bpe
+from panelwright.llm.centroids import CENTROIDS, ROUNDS, op13_centroids
 from panelwright.llm.html_text import op6_html
 from panelwright.llm.langid import op4_langid
 from panelwright.llm.licenses import op3_licenses
@@ -15,7 +16,9 @@ from panelwright.llm.packing import op5_packing
 from panelwright.llm.quality import op8_quality
 from panelwright.llm.simhash import op9_simhash
 from panelwright.llm.suffix_dedup import op1_suffix_array
+from panelwright.llm.topk import op11_topk
 from panelwright.llm.toxicity import op7_toxicity
+from panelwright.llm.whitening import op12_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
@@ -28,8 +31,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
+    "op11_topk": op11_topk,
+    "op12_whitening": op12_whitening,
+    "op13_centroids": op13_centroids,
 }
 
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _rounds(rounds: int) -> str:
+    """The assignments a0, a1, ... and centroids c1, c2, ... in turn, from the first centroids c0."""
+    parts = []
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, any_value(x) AS x, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT v.r, v.x, k.c, list_sum(list_transform(list_zip(v.x, k.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{i} AS k)
+  GROUP BY r
+)""")
+        if i < rounds:
+            parts.append(f"""
+s{i} AS (SELECT c, p, sum(y) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS y, unnest(range(64)) AS p FROM a{i}) GROUP BY c, p),
+c{i + 1} AS MATERIALIZED (
+  SELECT k.c, coalesce(m.x, k.x) AS x
+  FROM c{i} AS k LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS x FROM s{i} GROUP BY c
+  ) AS m USING (c)
+)""")
+    return ",".join(parts)
+
+
 #: Of the others, SQL lacks the hash, the image format, the tokenizer, the parser, the sketch or the learnt model.
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_array": """
@@ -60,5 +91,31 @@ sums AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM cut GROUP B
 SELECT d.doc_id, octet_length(d.b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
   coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(kept.b) AS kept_sha256
 FROM d JOIN kept USING (r) LEFT JOIN sums USING (r)
+""",
+    "op11_topk": f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE {_USABLE}
+),
+s AS (
+  SELECT q.r, q.vec_id AS query_id, v.vec_id, v.r AS other, list_dot_product(q.e, v.e)::BIGINT AS score
+  FROM (SELECT * FROM v WHERE vec_id % 20 = 0) AS q JOIN v ON q.r <> v.r
+)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, other)::INTEGER AS rank FROM s)
+WHERE rank <= 20
+""",
+    "op13_centroids": f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE {_USABLE} AND len(embedding) = 64
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1 AS c, x FROM v
+  ORDER BY sha256('2:' || vec_id) NULLS LAST, x LIMIT {CENTROIDS}
+),{_rounds(ROUNDS)},
+i AS (SELECT c, sum(d)::BIGINT AS cluster_inertia FROM a{ROUNDS} GROUP BY c)
+SELECT v.vec_id, a.c::INTEGER AS cluster, a.d AS distance, i.cluster_inertia, (SELECT sum(d)::BIGINT FROM a{ROUNDS}) AS inertia,
+  sha256(array_to_string(k.x, ',')) AS centroid_sha256
+FROM a{ROUNDS} AS a JOIN v USING (r) JOIN i USING (c) JOIN c{ROUNDS} AS k USING (c)
 """,
 }
