@@ -6,7 +6,10 @@ import math
 
 from panelwright.operators.rules import COLOURS, LABEL_FINDINGS, NO_ACTION, SUMMARIES, UNKNOWN_ACTION
 from panelwright.plans.pipeline import GENERIC
+from panelwright.plans.queries import THUMBNAILS
 from panelwright.settings import FEATURE_RANGES, IMAGE_MEAN, IMAGE_STD, LABELS, MODEL_COLUMNS, MOUNT_TYPES, SOILING, WEATHER_DEFAULTS
+from panelwright.sources.adapters import PNG_KINDS, SIDES
+from panelwright.sources.images import BAD_IMAGE, EMPTY_IMAGE, NO_IMAGE
 
 
 def q(x: str) -> str:
@@ -35,6 +38,10 @@ def clamped(x: str, low: float, high: float) -> str:
     return f"CASE WHEN {x} < {num(low)} THEN {num(low)} WHEN {x} > {num(high)} AND NOT isnan({x}) THEN {num(high)} ELSE {x} END"
 
 
+def listed_numbers(values) -> str:
+    return "[" + ", ".join(map(str, values)) + "]"
+
+
 class With:
     """Builds a chain of CTEs; ``step`` adds a rounded column, ``add`` plain ones."""
 
@@ -316,6 +323,37 @@ def _as_of() -> str:
     return with_physics(w).sql("SELECT run_id, irradiance_wm2, hour(observation_time)::INT AS hour FROM @")
 
 
+#: Weights of the old places for each new one along a side, in 22 bits.
+TAPS = """
+SELECT size, out, o, i, floor(0.5e0 + wt * (1e0 / sum(wt) OVER (PARTITION BY size, out, o)) * 4194304e0)::BIGINT AS k FROM (
+  SELECT *, greatest(0e0, 1e0 - abs((i - centre + 0.5e0) * (1e0 / wide))) AS wt FROM (
+    SELECT *, unnest(range(greatest(trunc(centre - wide + 0.5e0)::BIGINT, 0), least(trunc(centre + wide + 0.5e0)::BIGINT, size))) AS i FROM (
+      SELECT size, out, o, (o + 0.5e0) * (size::DOUBLE / out) AS centre, greatest(size::DOUBLE / out, 1e0) AS wide
+      FROM (SELECT DISTINCT {size} AS size, {out} AS out, unnest(range({out})) AS o FROM g))))
+"""
+
+#: Images, and the bytes of good ones: pixel p, channel c.
+PIXELS = f"""WITH s AS (
+  SELECT vec_id AS run_id, vec_id AS k, list_transform(embedding, lambda x: floor(abs(x::DOUBLE) * 1000)::BIGINT) AS e,
+    {listed_numbers(SIDES[0])}[vec_id % 6 + 1] AS w, {listed_numbers(SIDES[1])}[(vec_id // 6) % 6 + 1] AS h,
+    {listed_numbers(n for _, n in PNG_KINDS)}[vec_id % 5 + 1] AS n FROM embeddings
+),
+px AS MATERIALIZED (
+  SELECT run_id, p, c, CASE WHEN n = 1 AND k % 5 = 2 THEN CASE c WHEN 0 THEN v WHEN 1 THEN 255 - v ELSE v * 7 % 256 END ELSE v END AS v
+  FROM (
+    SELECT run_id, k, n, p, c, (e[i % 64 + 1] + i * 7 + k) % 256 AS v
+    FROM (SELECT *, p * n + CASE WHEN n < 3 THEN 0 ELSE c END AS i FROM (SELECT *, unnest(range(w * h)) AS p FROM s) CROSS JOIN range(3) AS t(c))
+    WHERE k % 11 > 4
+  )
+)"""
+IMAGE_ERRORS = f""", f AS (
+  SELECT *, CASE run_id % 11 WHEN 0 THEN {q(NO_IMAGE)} WHEN 1 THEN {q(EMPTY_IMAGE)} WHEN 2 THEN {q("image file is truncated".join(BAD_IMAGE))}
+    WHEN 3 THEN {q("broken chunk".join(BAD_IMAGE))} WHEN 4 THEN {q("cannot identify image file".join(BAD_IMAGE))} ELSE '' END AS why FROM s
+)"""
+
+#: Queries that would take SQL too long or that it can't express; tests compare them with brute force.
+WITHOUT_SQL = ("image_inputs",)
+
 ORACLE: dict[str, str] = {
     "cloud_factor": physics_query("cloud_factor"),
     "wind_cooling": physics_query("wind_cooling_factor"),
@@ -408,6 +446,36 @@ ORACLE: dict[str, str] = {
         ", s AS (SELECT *, floor(w*(224/least(w, h)))::INT AS new_w, floor(h*(224/least(w, h)))::INT AS new_h FROM g) "
         'SELECT run_id, new_w, new_h, floor((new_w - 224)/2e0)::INT AS "left", floor((new_h - 224)/2e0)::INT AS top FROM s'
     ),
+    "image_decode": PIXELS + IMAGE_ERRORS + " SELECT run_id, why = '' AS ok, why AS error, CASE WHEN why = '' THEN w END AS width, CASE WHEN why = '' THEN h END AS height, "
+    "m.md5 AS pixels_md5 FROM f LEFT JOIN (SELECT run_id, md5(unhex(string_agg(printf('%02x', v), '' ORDER BY p, c))) AS md5 FROM px GROUP BY run_id) m USING (run_id)",
+    "image_thumbnails": PIXELS
+    + IMAGE_ERRORS
+    + f""", n AS (SELECT * FROM (VALUES ('detector', {THUMBNAILS[0]}), ('classifier', {THUMBNAILS[1]})) AS t(part, side)),
+g AS MATERIALIZED (
+  SELECT run_id, part, side AS n, w, h,
+    CASE WHEN part = 'detector' THEN CASE WHEN w > h THEN side ELSE trunc(side * (w / h))::INT END ELSE trunc(w * (side / least(w, h)))::INT END AS nw,
+    CASE WHEN part = 'detector' THEN CASE WHEN w > h THEN trunc(side / (w / h))::INT ELSE side END ELSE trunc(h * (side / least(w, h)))::INT END AS nh
+  FROM f, n WHERE why = ''
+),
+taps AS MATERIALIZED (SELECT DISTINCT size, out, o, i, k FROM ({TAPS.format(size="w", out="nw")} UNION ALL {TAPS.format(size="h", out="nh")})),
+across AS (
+  SELECT g.run_id, part, p // g.w AS y, t.o AS x, c, least(255, greatest(0, (2097152 + sum(v * k)::BIGINT) >> 22)) AS v
+  FROM px JOIN g USING (run_id) JOIN taps t ON t.size = g.w AND t.out = g.nw AND t.i = p % g.w GROUP BY ALL
+),
+small AS (
+  SELECT a.run_id, a.part, t.o AS y, x, c, least(255, greatest(0, (2097152 + sum(v * k)::BIGINT) >> 22)) AS v
+  FROM across a JOIN g USING (run_id, part) JOIN taps t ON t.size = g.h AND t.out = g.nh AND t.i = a.y GROUP BY ALL
+),
+filled AS (
+  SELECT g.run_id, g.part, place, c.c, coalesce(s.v, CASE WHEN g.part = 'detector' THEN 114 ELSE 0 END) AS v
+  FROM (SELECT *, unnest(range(n * n)) AS place FROM g) g CROSS JOIN range(3) AS c(c)
+  LEFT JOIN small s ON s.run_id = g.run_id AND s.part = g.part AND s.c = c.c
+    AND s.x = place % n + CASE WHEN g.part = 'detector' THEN -((n - nw) // 2) ELSE floor((nw - n) / 2)::INT END
+    AND s.y = place // n + CASE WHEN g.part = 'detector' THEN -((n - nh) // 2) ELSE floor((nh - n) / 2)::INT END
+),
+sums AS (SELECT run_id, part, md5(unhex(string_agg(printf('%02x', v), '' ORDER BY place, c))) AS md5 FROM filled GROUP BY ALL)
+SELECT f.run_id, why AS error, d.md5 AS detector_md5, k.md5 AS classifier_md5
+FROM f LEFT JOIN sums d ON d.run_id = f.run_id AND d.part = 'detector' LEFT JOIN sums k ON k.run_id = f.run_id AND k.part = 'classifier'""",
     "prediction_postprocess": with_loss(With("o", RAW_OUTPUTS), "raw").sql("SELECT run_id, efficiency_loss_pct, estimated_output_w, prediction_successful FROM @"),
     "prediction_validate": With("o", RAW_OUTPUTS).sql(
         "SELECT run_id, CASE WHEN raw IS NULL THEN 'Invalid prediction output' ELSE 'Prediction output must be finite' END AS error "

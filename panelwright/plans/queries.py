@@ -14,9 +14,11 @@ from panelwright.functions.plan import settled
 from panelwright.operators import artifacts, features, inputs, physics, prediction, rules, vision, weather
 from panelwright.plans import pipeline
 from panelwright.settings import DEFAULT, IMAGE_MEAN, IMAGE_STD, LABELS, Settings
-from panelwright.sources import adapters
+from panelwright.sources import adapters, images
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Sizes at which SQL can still resample: the detector's and the classifier's square.
+THUMBNAILS = (24, 16)
 PLACES = 9  # of floats that depend on the platform's exp or division order
 
 
@@ -238,6 +240,23 @@ def _geometry(make: Callable[[Column, Column], Column]) -> Query:
     return query
 
 
+def image_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Size and pixels of every image, or what is wrong with it."""
+    i = F.col("image")
+    return images.prepared(adapters.images(spark, d), "pixels").select(
+        "run_id", i.ok.alias("ok"), F.coalesce(i.error, F.lit("")).alias("error"), i.width.alias("width"), i.height.alias("height"), F.md5(i.pixels).alias("pixels_md5")
+    )
+
+
+def _model_inputs(s: Settings) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        i = F.col("image")
+        found = images.prepared(adapters.images(spark, d), "detector", "classifier", s=s)
+        return found.select("run_id", F.coalesce(i.error, F.lit("")).alias("error"), F.md5(i.detector).alias("detector_md5"), F.md5(i.classifier).alias("classifier_md5"))
+
+    return query
+
+
 def prediction_postprocess(spark: SparkSession, d: str) -> DataFrame:
     return prediction.with_prediction(_raw_outputs(spark, d), F.col("raw")).select("run_id", "efficiency_loss_pct", "estimated_output_w", "prediction_successful")
 
@@ -402,6 +421,9 @@ QUERIES: dict[str, Query] = {
     "tensor_normalize": tensor_normalize,
     "letterbox_geometry": _geometry(vision.letterbox),
     "center_crop_geometry": _geometry(vision.center_crop),
+    "image_decode": image_decode,
+    "image_inputs": _model_inputs(DEFAULT),
+    "image_thumbnails": _model_inputs(Settings(detector_size=THUMBNAILS[0], classifier_size=THUMBNAILS[1])),
     "prediction_postprocess": prediction_postprocess,
     "prediction_validate": prediction_validate,
     "rule_fault_class": _rule(lambda: rules.fault_class(F.col("label"))),

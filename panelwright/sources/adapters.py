@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.settings import LABELS
+from panelwright.sources.images import encoded
 
 OBSERVED_LABELS = (*LABELS, "Unknown", "dusty")
 
@@ -72,6 +73,41 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Sides of the images, colour types with their samples a pixel, and the palette of the third.
+SIDES = ((55, 71, 83, 16, 64, 90), (71, 55, 64, 83, 30, 16))
+PNG_KINDS = ((0, 1), (2, 3), (3, 1), (4, 2), (6, 4))
+PALETTE = bytes(v for i in range(256) for v in (i, 255 - i, i * 7 % 256))
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as PNG images (``run_id``, ``content``) of many sides, of all colour types and filters, some damaged in five ways."""
+    k = F.col("vec_id")
+    pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i.cast("int"))
+    made = table(spark, sf_dir, "embeddings").select(
+        k.alias("run_id"),
+        pick(SIDES[0], k % 6).alias("width"),
+        pick(SIDES[1], F.floor(k / 6) % 6).alias("height"),
+        pick([c for c, _ in PNG_KINDS], k % 5).alias("colour"),
+        pick([n for _, n in PNG_KINDS], k % 5).alias("channels"),
+        F.when(k % 5 == 2, F.lit(PALETTE)).alias("palette"),
+        F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000)).alias("values"),
+        (k % 5).cast("int").alias("first_filter"),
+    )
+    place = F.sequence(F.lit(0), F.col("width") * F.col("height") * F.col("channels") - 1)
+    made = made.withColumn("samples", F.transform(place, lambda i: ((F.get("values", i % 64) + i * 7 + F.col("run_id")) % 256).cast("int")))
+    done = encoded(made)
+    c, size = F.col("content"), F.length("content")
+    # a byte of the second chunk's name
+    flipped = F.unhex(F.concat(F.hex(F.substring(c, 1, 40)), F.lit("00"), F.hex(c.substr(F.lit(42), size - 41))))
+    return done.select(
+        "run_id",
+        F.when(F.col("run_id") % 11 == 0, F.lit(None).cast("binary")).when(F.col("run_id") % 11 == 1, F.lit(b""))
+        .when(F.col("run_id") % 11 == 2, c.substr(F.lit(1), F.floor(size / 2).cast("int")))
+        .when(F.col("run_id") % 11 == 3, flipped)
+        .when(F.col("run_id") % 11 == 4, F.lit(b"not_an_image_at_all")).otherwise(c).alias("content"),
+    )
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weather payloads, good and malformed in ten ways."""
     e = F.col("event_id")

@@ -1,18 +1,30 @@
-"""Images from files: bytes and a check of them. Decoding needs Pillow, which is imported on the workers only."""
+"""Images as rows: files, what their first bytes say, and decoded pixels with the models' inputs made of them."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from panelwright.settings import DEFAULT, Settings
+
+# What is wrong with an image.
+NO_IMAGE = "No image source provided. Pass a file path (str/Path) or raw bytes."
+EMPTY_IMAGE = "Image byte buffer is empty. Upload a non-empty image file."
+BAD_IMAGE = ("Could not decode image from byte buffer: ", ". Upload a valid image file (e.g. PNG or JPEG).")
+
+#: Bytes of pixels that a task makes before it hands them on.
+FLUSH_BYTES = 32 << 20
+PARTS = ("pixels", "detector", "classifier")
 
 
 def image_files(spark: SparkSession, path: str, pattern: str = "*.{png,jpg,jpeg}") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
-def signature_error(content: str = "content"):
+def signature_error(content: str = "content") -> Column:
     """What is wrong with an image by its first bytes; null for PNG and JPEG."""
     head = F.hex(F.substring(F.col(content), 1, 8))
     return (
@@ -21,25 +33,80 @@ def signature_error(content: str = "content"):
     )
 
 
-def decoded(images: DataFrame, size: int) -> DataFrame:
-    """``path``, ``width``, ``height``, ``pixels`` (RGB bytes of ``size`` x ``size``), ``error``; a bad image has an error only."""
+def png_size(content: str = "content") -> Column:
+    """``width`` and ``height`` as a PNG's header has them, without decoding; null for anything else."""
+    number = lambda at: F.conv(F.hex(F.substring(F.col(content), at, 4)), 16, 10).cast("long")
+    is_png = F.hex(F.substring(F.col(content), 1, 8)) == "89504E470D0A1A0A"
+    return F.when(is_png & (F.length(content) >= 24), F.struct(number(17).alias("width"), number(21).alias("height")))
+
+
+def prepared(images: DataFrame, *parts: str, content: str = "content", image: str = "image", s: Settings = DEFAULT) -> DataFrame:
+    """Adds the struct ``image``: ``ok``, ``error``, ``width``, ``height`` and those of ``pixels``, ``detector`` and ``classifier`` asked for.
+
+    These are RGB bytes, line by line: of the whole image, of the square for the detector (letterboxed), of the one for
+    the classifier (cropped). An image is decoded once for all of them. A bad image, or one too narrow to be scaled, is a
+    row with an error and without pixels; null and empty contents are errors, too. All other columns stay.
+    """
+    if unknown := set(parts) - set(PARTS):
+        raise ValueError(f"no such parts: {sorted(unknown)}")
+    detector, classifier = s.detector_size, s.classifier_size
+    names = images.columns
+    at = names.index(content)
+
+    def looked_at(data: bytes | None) -> dict:
+        from panelwright.functions.raster import center_cropped, decoded, letterboxed
+
+        if not data:
+            return {"ok": False, "error": NO_IMAGE if data is None else EMPTY_IMAGE}
+        try:
+            rgb = decoded(data)
+        except ValueError as problem:
+            return {"ok": False, "error": str(problem).join(BAD_IMAGE)}
+        found = {"ok": True, "width": rgb.shape[1], "height": rgb.shape[0]}
+        try:
+            make = {"pixels": lambda: rgb, "detector": lambda: letterboxed(rgb, detector), "classifier": lambda: center_cropped(rgb, classifier)}
+            return found | {p: make[p]().tobytes() for p in parts}
+        except ValueError as problem:
+            return found | {"ok": False, "error": str(problem)}
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kinds = {"ok": pa.bool_(), "error": pa.string(), "width": pa.int32(), "height": pa.int32()} | {p: pa.binary() for p in parts}
+        kind = pa.struct(list(kinds.items()))
+        for batch in batches:
+            rows, size, start = [], 0, 0
+            for i, data in enumerate(batch.column(at)):
+                rows.append(looked_at(data.as_py()))
+                size += sum(len(rows[-1].get(p, b"")) for p in parts)
+                if size >= FLUSH_BYTES or i + 1 == batch.num_rows:
+                    part = batch.slice(start, len(rows))
+                    yield pa.record_batch([*part.columns, pa.array(rows, kind)], [*names, image])
+                    rows, size, start = [], 0, i + 1
+
+    made = "ok boolean, error string, width int, height int" + "".join(f", {p} binary" for p in parts)
+    return images.mapInArrow(run, StructType([*images.schema.fields]).add(image, StructType.fromDDL(made)))
+
 
-    def run(frames: Iterator) -> Iterator:
-        import io
+def encoded(images: DataFrame, content: str = "content") -> DataFrame:
+    """Adds PNG bytes made of ``width``, ``height``, ``colour`` (the format's number), ``palette`` (binary), ``samples``
+    (array of int, 8-bit) and ``first_filter``; the lines take the five filters in turn."""
+    names = images.columns
+    place = {c: names.index(c) for c in ("width", "height", "colour", "palette", "samples", "first_filter")}
 
-        import pandas as pd
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-        for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"]):
-                try:
-                    from PIL import Image
+        from panelwright.functions.raster import encode_png
 
-                    image = Image.open(io.BytesIO(content)).convert("RGB")
-                    small = image.resize((size, size), Image.BILINEAR)
-                    rows.append((path, image.width, image.height, small.tobytes(), None))
-                except Exception as problem:
-                    rows.append((path, None, None, None, type(problem).__name__))
-            yield pd.DataFrame(rows, columns=["path", "width", "height", "pixels", "error"]).astype({"width": "Int32", "height": "Int32"})
+        for batch in batches:
+            made = []
+            for i in range(batch.num_rows):
+                row = {c: batch.column(k)[i] for c, k in place.items()}
+                width, height, colour, first = (row[c].as_py() for c in ("width", "height", "colour", "first_filter"))
+                samples = row["samples"].values.to_numpy().astype(np.uint8).reshape(height, width, -1)
+                made.append(encode_png(samples, colour, (np.arange(height) + first) % 5, row["palette"].as_py() or b""))
+            yield pa.record_batch([*batch.columns, pa.array(made, pa.binary())], [*names, content])
 
-    return images.select("path", "content").mapInPandas(run, "path string, width int, height int, pixels binary, error string")
+    return images.mapInArrow(run, StructType([*images.schema.fields]).add(content, "binary"))
