@@ -76,3 +76,39 @@ def percent(x: Column, places: int) -> Column:
     return F.concat(fixed(x * F.lit(100.0), places), F.lit("%"))
 
 
+#: Powers of ten that are exact doubles.
+_EXACT_TENS = tuple(float(10**k) for k in range(23))
+
+
+def significant(x: Column, digits: int) -> Column:
+    """Text with ``digits`` significant digits like C's %g: no trailing zeros, an exponent below -4 and from ``digits`` on.
+
+    The exact value is rounded, ties to even. Java's decimal format does that but for whole numbers halfway between two results,
+    which are therefore rounded before. Numbers below 1e-300 may show fewer digits than they have. Null stays null.
+    """
+    size = F.abs(x)
+    place = F.floor(F.log10(size)).cast("int") + (1 - digits)
+    step = F.get(F.array(*[F.lit(t) for t in _EXACT_TENS]), F.when(place.between(0, len(_EXACT_TENS) - 1), place))
+    rest = size % step
+    whole = (size - rest) / step
+    even = F.when(rest * 2 == step, F.signum(x) * (whole + whole % 2) * step).otherwise(x)
+    text = F.call_function("format_number", even, F.lit("0." + "#" * (digits - 1) + "E0"))
+    # named once, used many times
+    shown = F.get(F.transform(F.array(text), lambda t: _as_g(t, digits)), F.lit(0))
+    return F.when(F.isnan(x), "nan").when(size == F.lit(math.inf), F.when(x > 0, "inf").otherwise("-inf")).when(x.isNotNull(), shown)
+
+
+def _as_g(text: Column, digits: int) -> Column:
+    """From a number in the form -1.234E5."""
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    figures = F.regexp_replace(F.substring_index(text, "E", 1), "[-.]", "")
+    power = F.substring_index(text, "E", -1).cast("int")
+    rest = lambda t: F.when(t == "", "").otherwise(F.concat(F.lit("."), t))
+    plain = F.when(
+        power >= 0,
+        F.concat(F.rpad(figures.substr(F.lit(1), power + 1), power + 1, F.lit("0")), rest(figures.substr(power + 2, F.lit(digits)))),
+    ).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures))
+    exponent = F.abs(power).cast("string")
+    exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.lpad(exponent, F.greatest(F.lit(2), F.length(exponent)), F.lit("0")))
+    scientific = F.concat(F.substring(figures, 1, 1), rest(figures.substr(F.lit(2), F.lit(digits))), exponent)
+    return F.concat(sign, F.when(power.between(-4, digits - 1), plain).otherwise(scientific))

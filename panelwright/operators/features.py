@@ -7,12 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions.numeric import more_than
+from panelwright.errors import FeatureValidationError, message
+from panelwright.functions.numeric import more_than, significant
 from panelwright.operators.physics import lookup
 from panelwright.settings import DEFAULT, DERIVED_COLUMNS, FEATURE_RANGES, MODEL_COLUMNS, Settings
 
 RAW_COLUMNS = (*MODEL_COLUMNS, *DERIVED_COLUMNS)
+# What the messages of invalid features say.
 CONSISTENCY = "Numeric Consistency: Module temp anomalously high given near-zero irradiance."
+MISSING_COLUMNS = "DataFrame is missing required columns: "
+NAN_COLUMNS = "DataFrame contains NaN values in columns: "
+OUT_OF_RANGE = "One or more feature values failed validation:\n"
 
 
 def class_id(label: Column, s: Settings = DEFAULT) -> Column:
@@ -62,12 +67,16 @@ def inconsistent() -> Column:
 
 
 def violations(columns: Sequence[str]) -> Column:
-    """All range violations and the consistency message, in order."""
+    """All range violations, with the value to four digits, and the consistency message, in order and indented."""
+    there = [c for c in FEATURE_RANGES if c in columns]
+    each = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in there])
+    names = out_of_range(columns)
     ranged = F.transform(
-        out_of_range(columns),
-        lambda c: F.concat(F.lit("'"), c, F.lit("' outside "), F.element_at(_range_texts(), c)),
+        F.filter(each, lambda e: F.array_contains(names, e["name"])),
+        lambda e: F.concat(F.lit("  '"), e["name"], F.lit("': "), significant(e["value"], 4), F.lit(" is outside "), F.element_at(_range_texts(), e["name"])),
     )
-    return F.concat(ranged, F.when(inconsistent(), F.array(F.lit(CONSISTENCY))).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    return F.concat(F.when(F.size(names) > 0, ranged).otherwise(none), F.when(inconsistent(), F.array(F.lit("  " + CONSISTENCY))).otherwise(none))
 
 
 def _range_texts() -> Column:
@@ -87,16 +96,20 @@ def validated(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
 
 
 def feature_error() -> Column:
-    """The message of a validated row: its missing columns, else its violations; null if it is valid."""
-    return F.when(F.col("feature_status") == "NAN", F.concat(F.lit("NaN in "), F.array_join("nan_columns", ", "))).when(
-        F.col("feature_status") == "RANGE", F.array_join("violations", "; ")
+    """The reason why a validated row isn't valid: its missing columns, else its violations; null if it is valid."""
+    missing = F.concat(F.lit(NAN_COLUMNS + "['"), F.array_join("nan_columns", "', '"), F.lit("']"))
+    return F.when(F.col("feature_status") == "NAN", missing).when(
+        F.col("feature_status") == "RANGE", F.concat(F.lit(OUT_OF_RANGE), F.array_join("violations", "\n"))
     )
 
 
-def strict(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
-    """Fails the job at the first invalid row."""
+def strict(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS, s: Settings = DEFAULT) -> DataFrame:
+    """Fails the job at the first invalid row with that row's message; at once if the model's columns aren't there."""
+    if missing := missing_columns(df.columns, s):
+        raise FeatureValidationError(MISSING_COLUMNS + str(missing))
     checked = validated(df, columns)
-    return checked.where(F.when(F.col("feature_status") == "VALID", True).otherwise(F.raise_error(F.array_join("violations", "; ")).cast("boolean")))
+    error = message("FeatureValidationError", feature_error())
+    return checked.where(F.when(F.col("feature_status") == "VALID", True).otherwise(F.raise_error(error).cast("boolean")))
 
 
 def model_vector(df: DataFrame, s: Settings = DEFAULT, keys: Sequence[str] = ("run_id",)) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions.numeric import finite
+from panelwright.functions.numeric import finite, significant
 from panelwright.functions.text import not_blank
 from panelwright.settings import MOUNT_TYPES
 
@@ -15,26 +15,32 @@ TYPE_MESSAGE = "'installation_type' must be a non-empty string (e.g. 'rooftop' o
 
 
 def input_error() -> Column:
-    """Message for ``panel_age``, ``maintenance_count``, ``voltage``, ``current``, ``installation_type``; null if all are fine."""
+    """Message for ``panel_age``, ``maintenance_count``, ``voltage``, ``current``, ``installation_type``, with the value; null if all are fine."""
     age, count, volts, amps = (F.col(c) for c in ("panel_age", "maintenance_count", "voltage", "current"))
 
-    def not_finite(name: str) -> tuple[Column, str]:
-        return ~finite(F.col(name)), f"'{name}' must be a finite number."
+    def number(name: str) -> list[tuple[Column, Column]]:
+        return [
+            (F.col(name).isNull(), F.lit(f"'{name}' must be a number, got NoneType.")),
+            (~finite(F.col(name)), F.lit(f"'{name}' must be a finite number.")),
+        ]
+
+    def got(text: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{text}, got "), value, F.lit("."))
 
     checks = [
-        not_finite("panel_age"),
-        (~age.between(0.0, 100.0), "'panel_age' must be between 0 and 100 years."),
-        (count.isNull(), "'maintenance_count' must be an integer."),
-        (count < 0, "'maintenance_count' must be >= 0."),
-        not_finite("voltage"),
-        (volts < 0, "'voltage' must be >= 0 V."),
-        not_finite("current"),
-        (amps < 0, "'current' must be >= 0 A."),
-        (~not_blank(F.col("installation_type")), TYPE_MESSAGE),
+        *number("panel_age"),
+        (~age.between(0.0, 100.0), got("'panel_age' must be between 0 and 100 years", significant(age, 6))),
+        (count.isNull(), F.lit("'maintenance_count' must be an integer, got NoneType.")),
+        (count < 0, got("'maintenance_count' must be >= 0", count.cast("string"))),
+        *number("voltage"),
+        (volts < 0, got("'voltage' must be >= 0 V", significant(volts, 6))),
+        *number("current"),
+        (amps < 0, got("'current' must be >= 0 A", significant(amps, 6))),
+        (~not_blank(F.col("installation_type")), F.lit(TYPE_MESSAGE)),
     ]
     found = F
-    for bad, message in checks:
-        found = found.when(bad, F.lit(message))
+    for bad, text in checks:
+        found = found.when(bad, text)
     return found.otherwise(None)
 
 

@@ -212,9 +212,15 @@ def report_texts() -> str:
 
 
 def feature_message() -> str:
-    outside = [f"CASE WHEN list_contains(ranges_, '{c}') THEN '''{c}'' outside [{lo}, {hi}]' END" for c, (lo, hi) in FEATURE_RANGES.items()]
-    told = f"list_filter([{', '.join(outside)}, CASE WHEN {ODD} THEN {q(CONSISTENCY)} END], lambda v: v IS NOT NULL)"
-    return f"CASE feature_status WHEN 'NAN' THEN 'NaN in ' || array_to_string(nan_columns, ', ') ELSE array_to_string({told}, '; ') END"
+    outside = [
+        f"CASE WHEN list_contains(ranges_, '{c}') THEN '  ''{c}'': ' || printf('%.4g', {c}) || ' is outside [{lo}, {hi}]' END" for c, (lo, hi) in FEATURE_RANGES.items()
+    ]
+    told = f"list_filter([{', '.join(outside)}, CASE WHEN {ODD} THEN {q('  ' + CONSISTENCY)} END], lambda v: v IS NOT NULL)"
+    names = "'[' || array_to_string(list_transform(nan_columns, lambda v: chr(39) || v || chr(39)), ', ') || ']'"
+    return (
+        f"CASE feature_status WHEN 'NAN' THEN 'DataFrame contains NaN values in columns: ' || {names} "
+        f"ELSE 'One or more feature values failed validation:' || chr(10) || array_to_string({told}, chr(10)) END"
+    )
 
 
 SCALARS = """SELECT event_id AS run_id, (event_id % 131)::DOUBLE - 5e0 AS panel_age, event_id % 61 - 2 AS maintenance_count,
@@ -222,10 +228,10 @@ SCALARS = """SELECT event_id AS run_id, (event_id % 131)::DOUBLE - 5e0 AS panel_
  CASE WHEN event_id % 89 = 0 THEN 'Infinity'::DOUBLE ELSE (event_id % 127)::DOUBLE - 1e0 END AS current_,
  list_extract(['rooftop', 'ground-mount', 'carport', 'floating', '', '  ', 'wall'], (event_id % 7)::INT + 1) AS installation_type FROM events"""
 INPUT_ERROR = """CASE WHEN isnan(panel_age) OR isinf(panel_age) THEN '''panel_age'' must be a finite number.'
- WHEN NOT panel_age BETWEEN 0 AND 100 THEN '''panel_age'' must be between 0 and 100 years.'
- WHEN maintenance_count < 0 THEN '''maintenance_count'' must be >= 0.'
- WHEN isnan(voltage) OR isinf(voltage) THEN '''voltage'' must be a finite number.' WHEN voltage < 0 THEN '''voltage'' must be >= 0 V.'
- WHEN isnan(current_) OR isinf(current_) THEN '''current'' must be a finite number.' WHEN current_ < 0 THEN '''current'' must be >= 0 A.'
+ WHEN NOT panel_age BETWEEN 0 AND 100 THEN '''panel_age'' must be between 0 and 100 years, got ' || printf('%g', panel_age) || '.'
+ WHEN maintenance_count < 0 THEN '''maintenance_count'' must be >= 0, got ' || maintenance_count || '.'
+ WHEN isnan(voltage) OR isinf(voltage) THEN '''voltage'' must be a finite number.' WHEN voltage < 0 THEN '''voltage'' must be >= 0 V, got ' || printf('%g', voltage) || '.'
+ WHEN isnan(current_) OR isinf(current_) THEN '''current'' must be a finite number.' WHEN current_ < 0 THEN '''current'' must be >= 0 A, got ' || printf('%g', current_) || '.'
  WHEN trim(installation_type) = '' THEN '''installation_type'' must be a non-empty string (e.g. ''rooftop'' or ''ground-mount'').' END"""
 
 TEXTS = """SELECT event_id AS run_id, CASE event_id % 9

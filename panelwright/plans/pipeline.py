@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.errors import message as error_text
 from panelwright.functions.plan import settled
 from panelwright.functions.text import default_if_empty
 from panelwright.operators.features import RAW_COLUMNS, feature_error, validated, with_features
@@ -19,24 +20,17 @@ from panelwright.operators.rules import NO_ACTION, with_report
 from panelwright.settings import DEFAULT, Settings
 
 STAGES = ("image", "inputs", "detect", "classify", "weather", "features", "predict", "none")
-TYPES = {
-    "image": "ImageValidationError",
-    "inputs": "InputValidationError",
-    "detect": "PredictionError",
-    "classify": "PredictionError",
-    "weather": "UnexpectedError",
-    "features": "FeatureValidationError",
-    "predict": "PredictionError",
-}
-PREFIXES = {
-    "image": "Image validation failed: ",
-    "inputs": "Input validation failed: ",
-    "detect": "[YOLO] Prediction failed: ",
-    "classify": "[MobileNet] Prediction failed: ",
-    "weather": "",
-    "features": "Feature validation failed: ",
-    "predict": "[XGBoost] Prediction failed: ",
+#: Kind of error of a stage, and the model it is about.
+KINDS = {
+    "image": ("ImageValidationError", ""),
+    "inputs": ("InputValidationError", ""),
+    "detect": ("PredictionError", "YOLO"),
+    "classify": ("PredictionError", "MobileNet"),
+    "weather": ("UnexpectedError", ""),
+    "features": ("FeatureValidationError", ""),
+    "predict": ("PredictionError", "XGBoost"),
 }
+# Fixed value: what is said of an error of no known kind.
 GENERIC = "An unexpected error occurred while analysing the image. Please try again; if the problem persists, check the logs."
 #: What columns hold if the stage that makes them wasn't reached.
 UNREACHED = {
@@ -78,8 +72,8 @@ def run(df: DataFrame, as_of: Column | None = None, raw_prediction: Column | Non
     stage, message, kind = F, F, F
     for i, (name, error) in enumerate(errors.items()):
         stage = stage.when(error.isNotNull(), F.lit(i))
-        message = message.when(error.isNotNull(), F.concat(F.lit(PREFIXES[name]), error))
-        kind = kind.when(error.isNotNull(), F.lit(TYPES[name]))
+        message = message.when(error.isNotNull(), error_text(KINDS[name][0], error, KINDS[name][1]))
+        kind = kind.when(error.isNotNull(), F.lit(KINDS[name][0]))
     df = df.withColumns(
         {"_stage": stage.otherwise(F.lit(len(STAGES) - 1)), "error_message": message.otherwise(F.lit("")), "error_type": kind.otherwise(F.lit(""))}
     )

@@ -4,9 +4,10 @@ import hashlib
 import json
 import math
 import os
+import re
 
 import pytest
-from panelwright import settings
+from panelwright import errors, settings
 from panelwright.functions import arrays, text
 from panelwright.operators import artifacts, features, inputs, prediction, rules, vision, weather
 from panelwright.plans import pipeline
@@ -35,19 +36,33 @@ def test_ranges_are_inclusive_and_all_reported(spark):
     got = features.validated(feature_frame(spark, *changes)).orderBy("run_id").collect()
     assert [r.feature_status for r in got] == want
     two = features.validated(feature_frame(spark, {"humidity_pct": 101.0, "cloud_factor": 2.0})).first()
-    assert len(two.violations) == 2 and two.violations[0].startswith("'humidity_pct'")
+    assert len(two.violations) == 2 and two.violations == ["  'humidity_pct': 101 is outside [0.0, 100.0]", "  'cloud_factor': 2 is outside [0.0, 1.0]"]
 
 
 @pytest.mark.parametrize(("irr", "module", "odd"), [(0.0, 40.01, True), (9.99, 40.01, True), (10.0, 120.0, False), (0.0, 40.0, False)])
 def test_consistency(spark, irr, module, odd):
     r = features.validated(feature_frame(spark, {"irradiance_wm2": irr, "module_temp_c": module})).first()
-    assert (features.CONSISTENCY in r.violations) == odd
+    assert ("  " + features.CONSISTENCY in r.violations) == odd
 
 
 def test_strict_fails_the_job(spark):
     assert features.strict(feature_frame(spark, {}, {})).count() == 2
-    with pytest.raises(Exception, match="humidity_pct"):
-        features.strict(feature_frame(spark, {}, {"humidity_pct": 900.0})).collect()
+    cases = [({"humidity_pct": 900.125}, "'humidity_pct': 900.1 is outside"), ({"humidity_pct": math.nan, "cloud_factor": None}, "NaN values in columns: ['humidity_pct', 'cloud_factor']")]
+    for change, text in cases:
+        with pytest.raises(Exception, match="(?s)Feature validation failed: .*" + re.escape(text)) as found:
+            features.strict(feature_frame(spark, {}, change)).collect()
+        assert "USER_RAISED_EXCEPTION" in str(found.value)
+    with pytest.raises(errors.FeatureValidationError, match=re.escape("Feature validation failed: DataFrame is missing required columns: ['humidity_pct']")):
+        features.strict(feature_frame(spark, {}).drop("humidity_pct"))
+
+
+def test_kinds_of_errors():
+    import pickle
+
+    found = errors.ModelLoadError("no file", "YOLO")
+    again = pickle.loads(pickle.dumps(found))
+    assert isinstance(found, errors.FleetError) and str(found) == str(again) == "[YOLO] Model load failed: no file"
+    assert str(errors.WeatherAPIError("timeout", "Oslo")) == "Weather API error for city 'Oslo': timeout" and str(errors.FleetError("x")) == "x"
 
 
 def test_missing_columns_and_class_ids(spark):
@@ -204,7 +219,7 @@ def test_first_failing_stage_decides(spark):
     cases = [
         ({}, "none", ""), (dict(image_error="no image", panel_age=-1.0), "image", "Image validation failed: no image"), (dict(panel_age=-1.0, detection_error="d"), "inputs", "Input validation failed: 'panel_age'"),
         (dict(detection_error="d", classification_error="c"), "detect", "[YOLO] Prediction failed: d"), (dict(classification_error="c", weather_crashed=True), "classify", "[MobileNet] Prediction failed: c"),
-        (dict(weather_crashed=True, humidity_pct=500.0), "weather", pipeline.GENERIC), (dict(humidity_pct=500.0), "features", "Feature validation failed: 'humidity_pct'"), (dict(humidity_pct=math.nan), "features", "Feature validation failed: NaN in humidity_pct"), (dict(city=""), "none", ""),
+        (dict(weather_crashed=True, humidity_pct=500.0), "weather", pipeline.GENERIC), (dict(humidity_pct=500.0), "features", "Feature validation failed: One or more feature values failed validation:\n  'humidity_pct': 500 is outside [0.0, 100.0]"), (dict(humidity_pct=math.nan), "features", "Feature validation failed: DataFrame contains NaN values in columns: ['humidity_pct']"), (dict(city=""), "none", ""),
     ]
     rows = [(i, *({**base, **c}.values())) for i, (c, *_) in enumerate(cases)]
     kinds = "i int, image_error string, panel_age double, maintenance_count int, voltage double, current double, installation_type string, detection_error string, classification_error string, weather_crashed boolean, city string, humidity_pct double"

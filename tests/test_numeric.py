@@ -52,3 +52,16 @@ def test_text_of_numbers(spark):
     got = spark.createDataFrame([(v,) for v in values], "x double").select("x", N.fixed(F.col("x"), 1).alias("a"), N.fixed(F.col("x"), 0).alias("b"), N.percent(F.col("x"), 1).alias("p")).collect()
     for r in got:
         assert (r.a, r.b) == (f"{r.x:.1f}", f"{r.x:.0f}") and r.p == f"{r.x:.1%}"
+
+
+def test_significant_digits(spark):
+    """Like C's %g on ties, powers of ten, whole numbers, tiny and huge ones."""
+    rng = random.Random(5)
+    values = [0.0, -0.0, 1.0, -10.0, 999999.5, 9999.5, 99995.0, 0.0001, 0.00001, 0.00012345, 0.15, 2.5, 12345.5, 0.99995, 0.999995, 1e300, -1e300, 1e-300, 1e22, 1e23, math.inf, -math.inf, math.nan]
+    values += [float(10.0**k) for k in range(-300, 301, 7)] + [rng.randrange(10**7) / 10 ** rng.randrange(12) for _ in range(1500)] + [(2 * rng.randrange(10**5) + 1) / 2 ** rng.randrange(12) for _ in range(1500)]
+    values += [float((rng.randrange(10**6) * 10 + 5) * 10 ** rng.randrange(8)) for _ in range(1500)] + [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-290, 290) for _ in range(1500)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    for r in df.select("i", N.significant(F.col("x"), 4).alias("four"), N.significant(F.col("x"), 6).alias("six"), N.significant(F.col("x"), 1).alias("one")).collect():
+        x = values[r.i]
+        assert (r.one, r.four, r.six) == (f"{x:.1g}", f"{x:.4g}", f"{x:g}"), x
+    assert spark.createDataFrame([(None,)], "x double").select(N.significant(F.col("x"), 4)).first()[0] is None
