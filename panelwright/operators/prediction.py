@@ -12,7 +12,9 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.errors import ModelLoadError
 from panelwright.functions.numeric import clamp, finite
+from panelwright.operators.models import Model, each_row
 from panelwright.settings import DEFAULT, Settings
 
 
@@ -31,11 +33,14 @@ def output_error(raw: Column) -> Column:
     return F.when(raw.isNull(), "Invalid prediction output").when(~finite(raw), "Prediction output must be finite")
 
 
-def with_prediction(df: DataFrame, raw: Column, s: Settings = DEFAULT) -> DataFrame:
-    """Adds ``prediction_error``, ``efficiency_loss_pct`` (0 to 100), ``estimated_output_w``, ``prediction_successful``."""
+def with_prediction(df: DataFrame, raw: Column, s: Settings = DEFAULT, error: Column | None = None) -> DataFrame:
+    """Adds ``prediction_error``, ``efficiency_loss_pct`` (0 to 100), ``estimated_output_w``, ``prediction_successful``.
+
+    ``error`` is what the model itself says of a row.
+    """
     return (
         df.withColumn("_raw", raw)
-        .withColumn("prediction_error", output_error(F.col("_raw")))
+        .withColumn("prediction_error", F.coalesce(*([error] if error is not None else []), output_error(F.col("_raw"))))
         .withColumn("prediction_successful", F.col("prediction_error").isNull())
         .withColumn("efficiency_loss_pct", F.when(F.col("prediction_successful"), clamp(F.col("_raw"), 0.0, 100.0)).otherwise(0.0))
         .withColumn(
@@ -49,25 +54,38 @@ def with_prediction(df: DataFrame, raw: Column, s: Settings = DEFAULT) -> DataFr
     )
 
 
-def predicted(df: DataFrame, load: Callable[[], Predictor] | None, s: Settings = DEFAULT, key: str = "run_id") -> DataFrame:
-    """``key`` and ``raw_prediction`` by a model that each task loads once, over Arrow batches.
+def predicted(df: DataFrame, load: Callable[[], Predictor] | Model | None, s: Settings = DEFAULT, key: str = "run_id") -> DataFrame:
+    """``key``, ``raw_prediction``, ``error_type`` and ``error`` by a model over Arrow batches.
 
-    ``load`` runs on the workers. A batch on which the model fails has null outputs.
+    ``load`` runs on the workers, once a process. If it fails, every row has a ModelLoadError; a row on which the model fails, or
+    whose output is no number, has a PredictionError, and no other row suffers from it.
     """
-    if load is None:
-        raise ValueError("no model has been set")
+    model = load if isinstance(load, Model) else Model("XGBoost", load)
     columns = list(s.model_columns)
 
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
+    def number(value) -> tuple[float | None, str | None]:
+        try:
+            return float(value), None
+        except (TypeError, ValueError) as problem:
+            return None, f"Invalid prediction output: {problem}"
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-        model = load()
-        for frame in frames:
+        for batch in batches:
+            frame = pa.Table.from_batches([batch]).select(columns).to_pandas()
             try:
-                out = pd.to_numeric(pd.Series(list(model.predict(frame[columns]))), errors="coerce")
-            except Exception:
-                out = pd.Series([None] * len(frame), dtype="float64")
-            yield pd.DataFrame({key: frame[key].to_numpy(), "raw_prediction": out.to_numpy("float64")})
+                predictor = model.get()
+                found = [(None, error) if error else number(x) for x, error in each_row(predictor.predict, frame)]
+                kind = "PredictionError"
+            except ModelLoadError as problem:
+                found, kind = [(None, problem.reason)] * len(frame), "ModelLoadError"
+            raw, errors = ([f[i] for f in found] for i in (0, 1))
+            kinds = [kind if e is not None else None for e in errors]
+            yield pa.record_batch(
+                [batch.column(0), pa.array(raw, pa.float64()), pa.array(kinds, pa.string()), pa.array(errors, pa.string())],
+                [key, "raw_prediction", "error_type", "error"],
+            )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *columns).mapInPandas(run, f"{key} {kind}, raw_prediction double")
+    return df.select(key, *columns).mapInArrow(run, f"{key} {kind}, raw_prediction double, error_type string, error string")

@@ -358,7 +358,33 @@ IMAGE_ERRORS = f""", f AS (
 )"""
 
 #: Queries that would take SQL too long or that it can't express; tests compare them with brute force.
-WITHOUT_SQL = ("image_inputs",)
+WITHOUT_SQL = ("image_inputs", "image_runs")
+
+#: Both models' squares of every good image, by place and channel.
+CANVASES = PIXELS + IMAGE_ERRORS + f""", n AS (SELECT * FROM (VALUES ('detector', {THUMBNAILS[0]}), ('classifier', {THUMBNAILS[1]})) AS t(part, side)),
+g AS MATERIALIZED (
+  SELECT run_id, part, side AS n, w, h,
+    CASE WHEN part = 'detector' THEN CASE WHEN w > h THEN side ELSE trunc(side * (w / h))::INT END ELSE trunc(w * (side / least(w, h)))::INT END AS nw,
+    CASE WHEN part = 'detector' THEN CASE WHEN w > h THEN trunc(side / (w / h))::INT ELSE side END ELSE trunc(h * (side / least(w, h)))::INT END AS nh
+  FROM f, n WHERE why = ''
+),
+taps AS MATERIALIZED (SELECT DISTINCT size, out, o, i, k FROM ({TAPS.format(size="w", out="nw")} UNION ALL {TAPS.format(size="h", out="nh")})),
+across AS (
+  SELECT g.run_id, part, p // g.w AS y, t.o AS x, c, least(255, greatest(0, (2097152 + sum(v * k)::BIGINT) >> 22)) AS v
+  FROM px JOIN g USING (run_id) JOIN taps t ON t.size = g.w AND t.out = g.nw AND t.i = p % g.w GROUP BY ALL
+),
+small AS (
+  SELECT a.run_id, a.part, t.o AS y, x, c, least(255, greatest(0, (2097152 + sum(v * k)::BIGINT) >> 22)) AS v
+  FROM across a JOIN g USING (run_id, part) JOIN taps t ON t.size = g.h AND t.out = g.nh AND t.i = a.y GROUP BY ALL
+),
+filled AS (
+  SELECT g.run_id, g.part, n, place, c.c, coalesce(s.v, CASE WHEN g.part = 'detector' THEN 114 ELSE 0 END) AS v
+  FROM (SELECT *, unnest(range(n * n)) AS place FROM g) g CROSS JOIN range(3) AS c(c)
+  LEFT JOIN small s ON s.run_id = g.run_id AND s.part = g.part AND s.c = c.c
+    AND s.x = place % n + CASE WHEN g.part = 'detector' THEN -((n - nw) // 2) ELSE floor((nw - n) / 2)::INT END
+    AND s.y = place // n + CASE WHEN g.part = 'detector' THEN -((n - nh) // 2) ELSE floor((nh - n) / 2)::INT END
+),
+"""
 
 ORACLE: dict[str, str] = {
     "cloud_factor": physics_query("cloud_factor"),
@@ -411,7 +437,7 @@ ORACLE: dict[str, str] = {
     "weather_join": observed().sql(
         "SELECT o.run_id, o.city, coalesce(n.n_nationkey*1.5e0, 25e0) AS ambient_temp_c, coalesce(n.n_nationkey + 1000e0, 1013.25e0) AS pressure_hpa, "
         "coalesce(n.n_nationkey*7e0, 0e0) AS longitude, n.n_nationkey IS NOT NULL AS fetch_successful "
-        "FROM @ o LEFT JOIN nation n ON n.n_name = o.city AND n.n_nationkey % 2 = 0"
+        "FROM @ o LEFT JOIN nation n ON n.n_name = o.city"
     ),
     "weather_join_all": observed().sql(
         "SELECT o.run_id, o.city, coalesce(n.n_nationkey*1.5e0, 25e0) AS ambient_temp_c, coalesce(n.n_nationkey + 1000e0, 1013.25e0) AS pressure_hpa, "
@@ -422,7 +448,7 @@ ORACLE: dict[str, str] = {
     ),
     "detection_summary": With("b", BOXES).sql(
         "SELECT o_orderkey AS run_id, count(b.ord) AS panel_count, coalesce(max(b.confidence), 0e0) AS best_confidence, count(b.ord) > 0 AS detection_successful "
-        "FROM orders LEFT JOIN @ b ON b.run_id = o_orderkey AND b.ord <= 3 AND b.confidence < 0.05e0 GROUP BY 1"
+        "FROM orders LEFT JOIN @ b ON b.run_id = o_orderkey GROUP BY 1"
     ),
     "detection_summary_all": With("b", BOXES).sql(
         "SELECT o_orderkey AS run_id, count(b.ord) AS panel_count, coalesce(max(b.confidence), 0e0) AS best_confidence, count(b.ord) > 0 AS detection_successful "
@@ -452,34 +478,52 @@ ORACLE: dict[str, str] = {
         ", s AS (SELECT *, floor(w*(224/least(w, h)))::INT AS new_w, floor(h*(224/least(w, h)))::INT AS new_h FROM g) "
         'SELECT run_id, new_w, new_h, floor((new_w - 224)/2e0)::INT AS "left", floor((new_h - 224)/2e0)::INT AS top FROM s'
     ),
-    "image_decode": PIXELS + IMAGE_ERRORS + " SELECT run_id, why = '' AS ok, why AS error, CASE WHEN why = '' THEN w END AS width, CASE WHEN why = '' THEN h END AS height, "
-    "m.md5 AS pixels_md5 FROM f LEFT JOIN (SELECT run_id, md5(unhex(string_agg(printf('%02x', v), '' ORDER BY p, c))) AS md5 FROM px GROUP BY run_id) m USING (run_id)",
-    "image_thumbnails": PIXELS
-    + IMAGE_ERRORS
-    + f""", n AS (SELECT * FROM (VALUES ('detector', {THUMBNAILS[0]}), ('classifier', {THUMBNAILS[1]})) AS t(part, side)),
-g AS MATERIALIZED (
-  SELECT run_id, part, side AS n, w, h,
-    CASE WHEN part = 'detector' THEN CASE WHEN w > h THEN side ELSE trunc(side * (w / h))::INT END ELSE trunc(w * (side / least(w, h)))::INT END AS nw,
-    CASE WHEN part = 'detector' THEN CASE WHEN w > h THEN trunc(side / (w / h))::INT ELSE side END ELSE trunc(h * (side / least(w, h)))::INT END AS nh
-  FROM f, n WHERE why = ''
+    "detection_nms": """WITH RECURSIVE b AS (
+  SELECT l_orderkey AS run_id, (l_suppkey % 4 * 10)::DOUBLE AS x1, (l_partkey % 4 * 10)::DOUBLE AS y1, l_suppkey % 4 * 10 + l_quantity + 40e0 AS x2,
+    (l_partkey % 4 * 10 + l_partkey % 50)::DOUBLE + 40e0 AS y2, ((l_orderkey * 31 + l_linenumber * 17 + l_partkey) % 100)::DOUBLE / 100e0 AS confidence,
+    (l_suppkey % 2)::INT AS class_id, l_linenumber,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, x1, y1, x2, y2, confidence, class_id) - 1 AS ord FROM lineitem
 ),
-taps AS MATERIALIZED (SELECT DISTINCT size, out, o, i, k FROM ({TAPS.format(size="w", out="nw")} UNION ALL {TAPS.format(size="h", out="nh")})),
-across AS (
-  SELECT g.run_id, part, p // g.w AS y, t.o AS x, c, least(255, greatest(0, (2097152 + sum(v * k)::BIGINT) >> 22)) AS v
-  FROM px JOIN g USING (run_id) JOIN taps t ON t.size = g.w AND t.out = g.nw AND t.i = p % g.w GROUP BY ALL
+r AS MATERIALIZED (
+  SELECT *, {'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'c': class_id, 'confidence': confidence, 'ord': ord} AS box,
+    row_number() OVER (PARTITION BY run_id ORDER BY confidence DESC, ord) AS turn FROM b WHERE confidence > 0.45e0
 ),
-small AS (
-  SELECT a.run_id, a.part, t.o AS y, x, c, least(255, greatest(0, (2097152 + sum(v * k)::BIGINT) >> 22)) AS v
-  FROM across a JOIN g USING (run_id, part) JOIN taps t ON t.size = g.h AND t.out = g.nh AND t.i = a.y GROUP BY ALL
+fold AS (
+  SELECT run_id, turn, [box] AS kept FROM r WHERE turn = 1
+  UNION ALL
+  SELECT r.run_id, r.turn, CASE WHEN len(list_filter(kept, lambda k: k.c = r.class_id AND
+      (CASE WHEN least(k.x2, r.x2) > greatest(k.x1, r.x1) THEN least(k.x2, r.x2) - greatest(k.x1, r.x1) ELSE 0e0 END
+       * CASE WHEN least(k.y2, r.y2) > greatest(k.y1, r.y1) THEN least(k.y2, r.y2) - greatest(k.y1, r.y1) ELSE 0e0 END)
+      / ((k.x2 - k.x1) * (k.y2 - k.y1) + (r.x2 - r.x1) * (r.y2 - r.y1)
+         - CASE WHEN least(k.x2, r.x2) > greatest(k.x1, r.x1) THEN least(k.x2, r.x2) - greatest(k.x1, r.x1) ELSE 0e0 END
+         * CASE WHEN least(k.y2, r.y2) > greatest(k.y1, r.y1) THEN least(k.y2, r.y2) - greatest(k.y1, r.y1) ELSE 0e0 END) > 0.5e0)) > 0
+    THEN kept ELSE list_append(kept, r.box) END
+  FROM fold JOIN r ON r.run_id = fold.run_id AND r.turn = fold.turn + 1
 ),
-filled AS (
-  SELECT g.run_id, g.part, place, c.c, coalesce(s.v, CASE WHEN g.part = 'detector' THEN 114 ELSE 0 END) AS v
-  FROM (SELECT *, unnest(range(n * n)) AS place FROM g) g CROSS JOIN range(3) AS c(c)
-  LEFT JOIN small s ON s.run_id = g.run_id AND s.part = g.part AND s.c = c.c
-    AND s.x = place % n + CASE WHEN g.part = 'detector' THEN -((n - nw) // 2) ELSE floor((nw - n) / 2)::INT END
-    AND s.y = place // n + CASE WHEN g.part = 'detector' THEN -((n - nh) // 2) ELSE floor((nh - n) / 2)::INT END
+done AS (SELECT run_id, arg_max(kept, turn) AS kept FROM fold GROUP BY run_id)
+SELECT run_id, (p - 1)::INT AS position, kept[p].ord::INT AS ord, kept[p].c AS class_id, kept[p].confidence AS confidence, kept[p].x2 AS x2
+FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS p FROM done)""",
+    "image_models": CANVASES
+    + f"""cells AS (
+  SELECT run_id, sum(v) / (3e0 * 3e0 * 3e0 * 255e0) AS light FROM filled WHERE part = 'detector' GROUP BY run_id, place % n // 3, place // n // 3
+),
+n_ AS (SELECT run_id, count(*) FILTER (light > 0.45e0) AS panel_count, coalesce(max(light) FILTER (light > 0.45e0), 0e0) AS best FROM cells GROUP BY run_id),
+channels AS (
+  SELECT run_id, c, avg(t) AS m, sqrt(avg(t * t) - avg(t) * avg(t)) AS d
+  FROM (SELECT run_id, c, (v / 255e0 - {listed_numbers(IMAGE_MEAN)}[c + 1]::DOUBLE) / {listed_numbers(IMAGE_STD)}[c + 1]::DOUBLE AS t FROM filled WHERE part = 'classifier')
+  GROUP BY run_id, c
 ),
-sums AS (SELECT run_id, part, md5(unhex(string_agg(printf('%02x', v), '' ORDER BY place, c))) AS md5 FROM filled GROUP BY ALL)
+scores AS (SELECT run_id, list_concat(list(m ORDER BY c), list(d ORDER BY c)) AS l FROM channels GROUP BY run_id),
+best AS (
+  SELECT run_id, list_extract({listed(LABELS)}, list_position(l, list_max(l))::INT) AS label, 1e0 / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))) AS p FROM scores
+)
+SELECT f.run_id, why AS error, coalesce(panel_count, 0)::INT AS panel_count, coalesce(best, 0e0) AS detection_confidence,
+  coalesce(label, 'Unknown') AS label, coalesce({rounded("p", 3)}, 0e0) AS class_confidence
+FROM f LEFT JOIN n_ USING (run_id) LEFT JOIN best USING (run_id)""",
+    "image_decode": PIXELS + IMAGE_ERRORS + " SELECT run_id, why = '' AS ok, why AS error, CASE WHEN why = '' THEN w END AS width, CASE WHEN why = '' THEN h END AS height, "
+    "m.md5 AS pixels_md5 FROM f LEFT JOIN (SELECT run_id, md5(unhex(string_agg(printf('%02x', v), '' ORDER BY p, c))) AS md5 FROM px GROUP BY run_id) m USING (run_id)",
+    "image_thumbnails": CANVASES
+    + """sums AS (SELECT run_id, part, md5(unhex(string_agg(printf('%02x', v), '' ORDER BY place, c))) AS md5 FROM filled GROUP BY ALL)
 SELECT f.run_id, why AS error, d.md5 AS detector_md5, k.md5 AS classifier_md5
 FROM f LEFT JOIN sums d ON d.run_id = f.run_id AND d.part = 'detector' LEFT JOIN sums k ON k.run_id = f.run_id AND k.part = 'classifier'""",
     "prediction_postprocess": with_loss(With("o", RAW_OUTPUTS), "raw").sql("SELECT run_id, efficiency_loss_pct, estimated_output_w, prediction_successful FROM @"),

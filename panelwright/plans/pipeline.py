@@ -51,14 +51,18 @@ def run(df: DataFrame, as_of: Column | None = None, raw_prediction: Column | Non
     """Observations with inputs to finished runs; one projection over its input, so batch and streaming alike.
 
     ``df``: observation columns, run inputs, and ``image_error``, ``detection_error``,
-    ``classification_error`` (text or null), ``weather_crashed``. ``as_of`` stands in for missing times.
+    ``classification_error`` (text or null), ``weather_crashed``. ``as_of`` stands in for missing times. Where there are columns
+    ``detection_error_type``, ``classification_error_type`` or ``prediction_error_type``, they tell a model that can't be
+    loaded from one that fails; ``model_error`` is what the model behind ``raw_prediction`` says of a row.
     """
+    typed = {stage: f"{name}_error_type" for stage, name in (("detect", "detection"), ("classify", "classification"), ("predict", "prediction")) if f"{name}_error_type" in df.columns}
+    model_error = F.col("model_error") if "model_error" in df.columns else None
     if as_of is not None:
         df = df.withColumn("observation_time", observed_at(F.col("observation_time"), as_of))
     df = df.withColumn("city", default_if_empty(F.col("city"), s.default_city)).withColumn("_inputs", input_error())
     df = settled(with_features(with_physics(df, s), s), "features")
     df = settled(validated(df, RAW_COLUMNS), "validated")
-    df = with_prediction(df, surrogate_loss(F.col("effective_efficiency")) if raw_prediction is None else raw_prediction, s)
+    df = with_prediction(df, surrogate_loss(F.col("effective_efficiency")) if raw_prediction is None else raw_prediction, s, model_error)
     df = settled(with_report(settled(df, "predictions"), s), "reports")
     errors = {
         "image": F.col("image_error"),
@@ -71,9 +75,15 @@ def run(df: DataFrame, as_of: Column | None = None, raw_prediction: Column | Non
     }
     stage, message, kind = F, F, F
     for i, (name, error) in enumerate(errors.items()):
+        usual, subject = KINDS[name]
+        text, own = error_text(usual, error, subject), F.lit(usual)
+        if name in typed:
+            unloaded = F.col(typed[name]) == "ModelLoadError"
+            text = F.when(unloaded, error_text("ModelLoadError", error, subject)).otherwise(text)
+            own = F.coalesce(F.col(typed[name]), own)
         stage = stage.when(error.isNotNull(), F.lit(i))
-        message = message.when(error.isNotNull(), error_text(KINDS[name][0], error, KINDS[name][1]))
-        kind = kind.when(error.isNotNull(), F.lit(KINDS[name][0]))
+        message = message.when(error.isNotNull(), text)
+        kind = kind.when(error.isNotNull(), own)
     df = df.withColumns(
         {"_stage": stage.otherwise(F.lit(len(STAGES) - 1)), "error_message": message.otherwise(F.lit("")), "error_type": kind.otherwise(F.lit(""))}
     )

@@ -171,11 +171,6 @@ def _joined_weather(spark: SparkSession, d: str, cities: DataFrame) -> DataFrame
 
 
 def weather_join(spark: SparkSession, d: str) -> DataFrame:
-    """Only half the cities have weather."""
-    return _joined_weather(spark, d, adapters.table(spark, d, "nation").where("n_nationkey % 2 = 0"))
-
-
-def weather_join_all(spark: SparkSession, d: str) -> DataFrame:
     return _joined_weather(spark, d, adapters.table(spark, d, "nation"))
 
 
@@ -188,12 +183,56 @@ def detection_flatten(spark: SparkSession, d: str) -> DataFrame:
 
 def detection_summary(spark: SparkSession, d: str) -> DataFrame:
     runs = adapters.table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"))
-    return vision.detection_summary(runs, adapters.boxes(spark, d).where("ord <= 3 and confidence < 0.05"))
+    return vision.detection_summary(runs, adapters.boxes(spark, d))
 
 
-def detection_summary_all(spark: SparkSession, d: str) -> DataFrame:
-    runs = adapters.table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"))
-    return vision.detection_summary(runs, adapters.boxes(spark, d))
+def detection_nms(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of every image's raw boxes, from the most confident one."""
+    kept = vision.suppressed(F.col("boxes"), F.col("confidences"), F.col("class_ids"))
+    found = adapters.raw_detections(spark, d).select("run_id", F.posexplode(kept).alias("position", "k"))
+    return found.select("run_id", "position", "k.ord", "k.class_id", "k.confidence", F.get("k.box", F.lit(2)).alias("x2"))
+
+
+class BrightCells:
+    """NOT a trained detector: of the square's 8 x 8 cells those that are brighter than the threshold."""
+
+    def __call__(self, square, conf, iou, imgsz):
+        side = imgsz // 8
+        sums = square[: side * 8, : side * 8].reshape(8, side, 8, side, 3).sum((1, 3, 4), dtype="int64")
+        light = sums / (side * side * 3 * 255.0)
+        rows, columns = (light > conf).nonzero()
+        boxes = [(x * side, y * side, x * side + side, y * side + side) for y, x in zip(rows.tolist(), columns.tolist())]
+        return [(boxes, light[rows, columns].tolist(), [0] * len(boxes))]
+
+
+class ChannelMoments:
+    """NOT a trained classifier: means and spreads of the three channels stand for the scores of six classes."""
+
+    def __call__(self, tensor):
+        wide = tensor.astype("float64")
+        return [*wide.mean((1, 2)).tolist(), *wide.std((1, 2)).tolist()]
+
+
+def _looked_at(spark: SparkSession, d: str, s: Settings = DEFAULT) -> DataFrame:
+    """All images with what the stand-ins for both image models say of them."""
+    models = prediction.Model("YOLO", BrightCells, "bright-cells"), prediction.Model("MobileNet", ChannelMoments, "channel-moments")
+    df = vision.inferred(adapters.images(spark, d), *models, s=s).drop("content")
+    return vision.with_classification(vision.with_detection(df, F.col("image.detection")), F.col("image.classification"), s)
+
+
+def image_models(spark: SparkSession, d: str) -> DataFrame:
+    return _looked_at(spark, d, Settings(detector_size=THUMBNAILS[0], classifier_size=THUMBNAILS[1])).select(
+        "run_id", F.coalesce("image.error", F.lit("")).alias("error"), "panel_count", "detection_confidence", "label", py_round(F.col("class_confidence"), 3).alias("class_confidence")
+    )
+
+
+def image_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Whole runs that begin with an image's bytes, at the models' own sizes."""
+    inputs_ = adapters.runs(spark, d).drop("label", "detection_confidence")
+    df = _looked_at(spark, d).withColumns({"image_error": F.col("image.error"), "weather_crashed": F.lit(False)}).drop("image").join(inputs_, "run_id")
+    return pipeline.run(df).select(
+        "run_id", "status", "error_stage", "error_type", "error_message", "panel_count", "label", "efficiency_loss_pct", "overall_severity", "recommendation"
+    )
 
 
 def detection_validate(spark: SparkSession, d: str) -> DataFrame:
@@ -283,9 +322,8 @@ def severity_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("run_id")
-    df = adapters.observations(spark, d).join(adapters.scalars(spark, d), "run_id")
     return pipeline.run(
-        df.withColumns(
+        adapters.runs(spark, d).withColumns(
             {
                 "image_error": F.when(e % 83 == 0, "no image data"),
                 "detection_error": F.when(e % 59 == 0, "confidence non-finite"),
@@ -359,7 +397,7 @@ class Surrogate:
 
 
 def predict_pandas(spark: SparkSession, d: str) -> DataFrame:
-    return prediction.predicted(_features(spark, d), Surrogate).withColumn("raw_prediction", py_round(F.col("raw_prediction"), 4))
+    return prediction.predicted(_features(spark, d), Surrogate).select("run_id", py_round(F.col("raw_prediction"), 4).alias("raw_prediction"))
 
 
 def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -409,10 +447,10 @@ QUERIES: dict[str, Query] = {
     "weather_parse": weather_parse,
     "weather_fallback": weather_fallback,
     "weather_join": weather_join,
-    "weather_join_all": weather_join_all,
+    "weather_join_all": weather_join,
     "detection_flatten": detection_flatten,
     "detection_summary": detection_summary,
-    "detection_summary_all": detection_summary_all,
+    "detection_summary_all": detection_summary,
     "detection_validate": detection_validate,
     "softmax": softmax_query,
     "argmax_label": argmax_label,
@@ -421,7 +459,10 @@ QUERIES: dict[str, Query] = {
     "tensor_normalize": tensor_normalize,
     "letterbox_geometry": _geometry(vision.letterbox),
     "center_crop_geometry": _geometry(vision.center_crop),
+    "detection_nms": detection_nms,
     "image_decode": image_decode,
+    "image_models": image_models,
+    "image_runs": image_runs,
     "image_inputs": _model_inputs(DEFAULT),
     "image_thumbnails": _model_inputs(Settings(detector_size=THUMBNAILS[0], classifier_size=THUMBNAILS[1])),
     "prediction_postprocess": prediction_postprocess,

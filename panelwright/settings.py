@@ -83,6 +83,8 @@ class Settings:
     low_irradiance_wm2: float = 50.0
     default_city: str = "Chennai"
     detector_size: int = 640
+    detector_confidence: float = 0.45
+    detector_iou: float = 0.50
     classifier_size: int = 224
     labels: tuple[str, ...] = LABELS
     soiling: Mapping[str, float] = field(default_factory=lambda: dict(SOILING))
@@ -92,7 +94,6 @@ class Settings:
 
 DEFAULT = Settings()
 
-_ANY = (None, None)
 #: section: required keys and the inclusive range of those that are checked as numbers.
 _RULES: dict[str, dict[str, tuple | None]] = {
     "weather": {"base_url": None, "timeout_seconds": (1, 300), "default_city": None, "units": None, "defaults": None},

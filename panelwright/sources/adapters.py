@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.settings import LABELS
@@ -15,12 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def observed(events: DataFrame, nation: DataFrame) -> DataFrame:
-    """Observations from ``events``; a city's coordinates from ``nation``. Batch or streaming events."""
+def _observation() -> list[Column]:
+    """From a row of ``events`` and its ``nation``."""
     n = F.col("n_nationkey")
     e = F.col("event_id")
     labels = F.array(*[F.lit(x) for x in OBSERVED_LABELS])
-    return events.join(nation, n == e % 25).select(
+    return [
         e.alias("run_id"),
         F.col("ts").alias("observation_time"),
         F.col("n_name").alias("city"),
@@ -32,25 +32,39 @@ def observed(events: DataFrame, nation: DataFrame) -> DataFrame:
         F.get_json_object("props", "$.k").cast("double").alias("humidity_pct"),
         F.get(labels, (e % 8).cast("int")).alias("label"),
         ((e % 101).cast("double") / F.lit(100.0)).alias("detection_confidence"),
-    )
-
-
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observed(table(spark, sf_dir, "events"), table(spark, sf_dir, "nation"))
+    ]
 
 
-def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run inputs with all kinds of faults."""
+def _scalars() -> list[Column]:
+    """From a row of ``events``: run inputs with all kinds of faults."""
     e = F.col("event_id")
     types = F.array(*[F.lit(x) for x in ("rooftop", "ground-mount", "carport", "floating", "", "  ", "wall")])
-    return table(spark, sf_dir, "events").select(
-        e.alias("run_id"),
+    return [
         ((e % 131).cast("double") - F.lit(5.0)).alias("panel_age"),
         (e % 61 - 2).alias("maintenance_count"),
         F.when(e % 97 == 0, F.lit(float("nan"))).otherwise((e % 1203).cast("double") - F.lit(3.0)).alias("voltage"),
         F.when(e % 89 == 0, F.lit(float("inf"))).otherwise((e % 127).cast("double") - F.lit(1.0)).alias("current"),
         F.get(types, (e % 7).cast("int")).alias("installation_type"),
-    )
+    ]
+
+
+def observed(events: DataFrame, nation: DataFrame) -> DataFrame:
+    """Observations from ``events``; a city's coordinates from ``nation``. Batch or streaming events."""
+    return events.join(nation, F.col("n_nationkey") == F.col("event_id") % 25).select(*_observation())
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observed(table(spark, sf_dir, "events"), table(spark, sf_dir, "nation"))
+
+
+def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), *_scalars())
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with run inputs, both from the same pass over ``events``."""
+    events, nation = table(spark, sf_dir, "events"), table(spark, sf_dir, "nation")
+    return events.join(nation, F.col("n_nationkey") == F.col("event_id") % 25).select(*_observation(), *_scalars())
 
 
 def logits(spark: SparkSession, sf_dir: str, n: int = 6) -> DataFrame:
@@ -108,6 +122,20 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as a detector's raw output, one row an image (order): lists of boxes that overlap a lot, confidences, class ids."""
+    p, q = F.col("l_partkey"), F.col("l_suppkey")
+    x, y = (q % 4 * 10).cast("double"), (p % 4 * 10).cast("double")
+    one = F.struct(
+        F.col("l_linenumber").alias("ord"),
+        F.array(x, y, x + F.col("l_quantity") + 40.0, y + (p % 50).cast("double") + 40.0).alias("box"),
+        ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17 + p) % 100 / F.lit(100.0)).alias("confidence"),
+        (q % 2).cast("int").alias("class_id"),
+    )
+    images = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.array_sort(F.collect_list(one)).alias("b"))
+    return images.select("run_id", F.col("b.box").alias("boxes"), F.col("b.confidence").alias("confidences"), F.col("b.class_id").alias("class_ids"))
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weather payloads, good and malformed in ten ways."""
     e = F.col("event_id")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql.types import StructType
 
 from panelwright.settings import DEFAULT, Settings
 
+if TYPE_CHECKING:
+    import numpy as np
+
 # What is wrong with an image.
 NO_IMAGE = "No image source provided. Pass a file path (str/Path) or raw bytes."
 EMPTY_IMAGE = "Image byte buffer is empty. Upload a non-empty image file."
@@ -40,21 +44,19 @@ def png_size(content: str = "content") -> Column:
     return F.when(is_png & (F.length(content) >= 24), F.struct(number(17).alias("width"), number(21).alias("height")))
 
 
-def prepared(images: DataFrame, *parts: str, content: str = "content", image: str = "image", s: Settings = DEFAULT) -> DataFrame:
-    """Adds the struct ``image``: ``ok``, ``error``, ``width``, ``height`` and those of ``pixels``, ``detector`` and ``classifier`` asked for.
+def with_parts(images: DataFrame, parts: Mapping[str, tuple[str, Callable[[np.ndarray], Any]]], content: str = "content", image: str = "image") -> DataFrame:
+    """Adds the struct ``image``: ``ok``, ``error``, ``width``, ``height`` and the ``parts``, each a type and what makes it of the RGB bytes.
 
-    These are RGB bytes, line by line: of the whole image, of the square for the detector (letterboxed), of the one for
-    the classifier (cropped). An image is decoded once for all of them. A bad image, or one too narrow to be scaled, is a
-    row with an error and without pixels; null and empty contents are errors, too. All other columns stay.
+    An image is decoded once for all parts. A bad image is a row with an error and without parts; null and empty contents are
+    errors, too, and so is a ValueError of a part, which keeps the size. All other columns stay.
     """
-    if unknown := set(parts) - set(PARTS):
-        raise ValueError(f"no such parts: {sorted(unknown)}")
-    detector, classifier = s.detector_size, s.classifier_size
     names = images.columns
     at = names.index(content)
+    fields = StructType.fromDDL("ok boolean, error string, width int, height int" + "".join(f", {name} {kind}" for name, (kind, _) in parts.items()))
+    makers = {name: make for name, (_, make) in parts.items()}
 
     def looked_at(data: bytes | None) -> dict:
-        from panelwright.functions.raster import center_cropped, decoded, letterboxed
+        from panelwright.functions.raster import decoded
 
         if not data:
             return {"ok": False, "error": NO_IMAGE if data is None else EMPTY_IMAGE}
@@ -64,28 +66,47 @@ def prepared(images: DataFrame, *parts: str, content: str = "content", image: st
             return {"ok": False, "error": str(problem).join(BAD_IMAGE)}
         found = {"ok": True, "width": rgb.shape[1], "height": rgb.shape[0]}
         try:
-            make = {"pixels": lambda: rgb, "detector": lambda: letterboxed(rgb, detector), "classifier": lambda: center_cropped(rgb, classifier)}
-            return found | {p: make[p]().tobytes() for p in parts}
+            return found | {name: make(rgb) for name, make in makers.items()}
         except ValueError as problem:
             return found | {"ok": False, "error": str(problem)}
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
 
-        kinds = {"ok": pa.bool_(), "error": pa.string(), "width": pa.int32(), "height": pa.int32()} | {p: pa.binary() for p in parts}
-        kind = pa.struct(list(kinds.items()))
+        kind = to_arrow_type(fields)
         for batch in batches:
             rows, size, start = [], 0, 0
             for i, data in enumerate(batch.column(at)):
                 rows.append(looked_at(data.as_py()))
-                size += sum(len(rows[-1].get(p, b"")) for p in parts)
+                size += sum(len(v) for v in rows[-1].values() if isinstance(v, bytes))
                 if size >= FLUSH_BYTES or i + 1 == batch.num_rows:
                     part = batch.slice(start, len(rows))
                     yield pa.record_batch([*part.columns, pa.array(rows, kind)], [*names, image])
                     rows, size, start = [], 0, i + 1
 
-    made = "ok boolean, error string, width int, height int" + "".join(f", {p} binary" for p in parts)
-    return images.mapInArrow(run, StructType([*images.schema.fields]).add(image, StructType.fromDDL(made)))
+    return images.mapInArrow(run, StructType([*images.schema.fields]).add(image, fields))
+
+
+def prepared(images: DataFrame, *parts: str, content: str = "content", image: str = "image", s: Settings = DEFAULT) -> DataFrame:
+    """Adds the struct ``image`` with those of ``pixels``, ``detector`` and ``classifier`` asked for, as RGB bytes, line by line.
+
+    These are the whole image, the square for the detector (letterboxed) and the one for the classifier (cropped). An image
+    too narrow to be scaled has an error.
+    """
+    from panelwright.functions import raster
+
+    if unknown := set(parts) - set(PARTS):
+        raise ValueError(f"no such parts: {sorted(unknown)}")
+    sides = {"detector": (raster.letterboxed, s.detector_size), "classifier": (raster.center_cropped, s.classifier_size)}
+
+    def maker(part: str) -> Callable:
+        if part not in sides:
+            return lambda rgb: rgb.tobytes()
+        scale, side = sides[part]
+        return lambda rgb: scale(rgb, side).tobytes()
+
+    return with_parts(images, {p: ("binary", maker(p)) for p in parts}, content, image)
 
 
 def encoded(images: DataFrame, content: str = "content") -> DataFrame:

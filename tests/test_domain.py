@@ -204,7 +204,7 @@ def test_predictions(spark):
     df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(raw)], "run_id int, raw double")
     for r, (_, loss, watts, error) in zip(prediction.with_prediction(df, F.col("raw")).orderBy("run_id").collect(), raw):
         assert (r.efficiency_loss_pct, r.estimated_output_w) == (loss, watts) and (error in r.prediction_error if error else r.prediction_successful)
-    with pytest.raises(ValueError):
+    with pytest.raises(errors.ModelLoadError):
         prediction.predicted(df, None)
 
     class Broken:
