@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from panelwright.operators.regression import BINS, RATE, ROUNDS
 from panelwright.operators.rules import COLOURS, LABEL_FINDINGS, NO_ACTION, SUMMARIES, UNKNOWN_ACTION
 from panelwright.plans.pipeline import GENERIC
 from panelwright.plans.queries import THUMBNAILS
@@ -357,6 +358,36 @@ IMAGE_ERRORS = f""", f AS (
     WHEN 3 THEN {q("broken chunk".join(BAD_IMAGE))} WHEN 4 THEN {q("cannot identify image file".join(BAD_IMAGE))} ELSE '' END AS why FROM s
 )"""
 
+def boosted(tail: str, rounds: int = ROUNDS, bins: int = BINS, rate: float = RATE) -> str:
+    """CTEs x (rows), c (edges), b (bins) and, for each round, the split and what it leaves."""
+    w = with_features(observed()).add(y_="floor((100e0*(1e0-effective_efficiency) + ((run_id * 7919 % 1000) / 500e0 - 1e0)) * 1000000e0 + 0.5e0)::BIGINT")
+    w.parts += [
+        f"x AS MATERIALIZED (SELECT run_id, y_ AS y, unnest([{', '.join(MODEL_COLUMNS)}]) AS x, unnest(range({len(MODEL_COLUMNS)}))::INT AS f FROM {w.last})",
+        "ends AS (SELECT f, min(x) FILTER (isfinite(x)) AS lo, max(x) FILTER (isfinite(x)) AS hi FROM x GROUP BY f)",
+        f"c AS MATERIALIZED (SELECT f, k, lo + (hi - lo) * k / {bins}e0 AS edge FROM ends, range(1, {bins}) AS t(k))",
+        "b AS MATERIALIZED (SELECT x.run_id, x.f, count(*) FILTER (x.x >= c.edge) AS bin FROM x LEFT JOIN c USING (f) GROUP BY ALL)",
+        "base AS MATERIALIZED (SELECT floor(sum(y) / count(*)::DOUBLE + 0.5e0)::BIGINT AS base FROM x WHERE f = 0)",
+        "r0 AS MATERIALIZED (SELECT run_id, y - base AS r FROM x, base WHERE f = 0)",
+    ]
+    for i in range(rounds):
+        w.parts += [
+            f"h{i} AS MATERIALIZED (SELECT f, bin, count(*) AS n, sum(r)::BIGINT AS s FROM b JOIN r{i} USING (run_id) GROUP BY ALL)",
+            f"""s{i} AS MATERIALIZED (
+  SELECT f, k, floor({num(rate)} * (sl / nl::DOUBLE) + 0.5e0)::BIGINT AS below, floor({num(rate)} * (sr / nr::DOUBLE) + 0.5e0)::BIGINT AS above FROM (
+    SELECT f, k, sum(n) FILTER (bin < k) AS nl, sum(s) FILTER (bin < k) AS sl, sum(n) FILTER (bin >= k) AS nr, sum(s) FILTER (bin >= k) AS sr
+    FROM h{i}, range(1, {bins}) AS t(k) GROUP BY f, k)
+  WHERE nl > 0 AND nr > 0 ORDER BY sl::DOUBLE * sl::DOUBLE / nl::DOUBLE + sr::DOUBLE * sr::DOUBLE / nr::DOUBLE DESC, f, k LIMIT 1
+)""",
+            f"r{i + 1} AS MATERIALIZED (SELECT b.run_id, r - CASE WHEN bin >= k THEN above ELSE below END AS r FROM s{i} JOIN b USING (f) JOIN r{i} USING (run_id))",
+        ]
+    return w.sql(tail)
+
+
+def _stumps(rounds: int = ROUNDS) -> str:
+    rows = [f"SELECT {i + 1} AS round, {listed(MODEL_COLUMNS)}[f + 1] AS feature, edge, below, above FROM s{i} JOIN c USING (f, k)" for i in range(rounds)]
+    return " UNION ALL ".join(["SELECT 0 AS round, '' AS feature, NULL::DOUBLE AS edge, base AS below, base AS above FROM base", *rows])
+
+
 #: Queries that would take SQL too long or that it can't express; tests compare them with brute force.
 WITHOUT_SQL = ("image_inputs", "image_runs")
 
@@ -579,5 +610,10 @@ FROM f LEFT JOIN sums d ON d.run_id = f.run_id AND d.part = 'detector' LEFT JOIN
     .step("m6_", "m_", 6)
     .step("raw_prediction", "m6_", 4)
     .sql("SELECT run_id, raw_prediction FROM @"),
+    "regression_fit": boosted(_stumps()),
+    "regression_predictions": boosted(
+        f"SELECT run_id, raw_prediction, {clamped('raw_prediction', 0, 100)} AS efficiency_loss_pct, true AS prediction_successful "
+        f"FROM (SELECT run_id, (y - r)::DOUBLE / 1000000e0 AS raw_prediction FROM x JOIN r{ROUNDS} USING (run_id) WHERE f = 0)"
+    ),
     "stream_equals_batch": physics_query("irradiance_wm2", "effective_efficiency"),
 }

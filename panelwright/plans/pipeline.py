@@ -16,6 +16,7 @@ from panelwright.operators.features import RAW_COLUMNS, feature_error, validated
 from panelwright.operators.inputs import input_error
 from panelwright.operators.physics import observed_at, with_physics
 from panelwright.operators.prediction import surrogate_loss, with_prediction
+from panelwright.operators.regression import with_saved_model
 from panelwright.operators.rules import NO_ACTION, with_report
 from panelwright.settings import DEFAULT, Settings
 
@@ -47,21 +48,25 @@ UNREACHED = {
 }
 
 
-def run(df: DataFrame, as_of: Column | None = None, raw_prediction: Column | None = None, s: Settings = DEFAULT) -> DataFrame:
+def run(df: DataFrame, as_of: Column | None = None, raw_prediction: Column | None = None, s: Settings = DEFAULT, predictor: str | None = None) -> DataFrame:
     """Observations with inputs to finished runs; one projection over its input, so batch and streaming alike.
 
     ``df``: observation columns, run inputs, and ``image_error``, ``detection_error``,
     ``classification_error`` (text or null), ``weather_crashed``. ``as_of`` stands in for missing times. Where there are columns
     ``detection_error_type``, ``classification_error_type`` or ``prediction_error_type``, they tell a model that can't be
-    loaded from one that fails; ``model_error`` is what the model behind ``raw_prediction`` says of a row.
+    loaded from one that fails; ``model_error`` is what the model behind ``raw_prediction`` says of a row. ``predictor`` is the
+    place of a saved regressor; with neither, the surrogate from the physics columns stands in.
     """
-    typed = {stage: f"{name}_error_type" for stage, name in (("detect", "detection"), ("classify", "classification"), ("predict", "prediction")) if f"{name}_error_type" in df.columns}
-    model_error = F.col("model_error") if "model_error" in df.columns else None
     if as_of is not None:
         df = df.withColumn("observation_time", observed_at(F.col("observation_time"), as_of))
     df = df.withColumn("city", default_if_empty(F.col("city"), s.default_city)).withColumn("_inputs", input_error())
     df = settled(with_features(with_physics(df, s), s), "features")
     df = settled(validated(df, RAW_COLUMNS), "validated")
+    if predictor is not None:
+        df = with_saved_model(df, predictor, s.model_columns)
+        raw_prediction = F.col("raw_prediction")
+    typed = {stage: f"{name}_error_type" for stage, name in (("detect", "detection"), ("classify", "classification"), ("predict", "prediction")) if f"{name}_error_type" in df.columns}
+    model_error = F.col("model_error") if "model_error" in df.columns else None
     df = with_prediction(df, surrogate_loss(F.col("effective_efficiency")) if raw_prediction is None else raw_prediction, s, model_error)
     df = settled(with_report(settled(df, "predictions"), s), "reports")
     errors = {

@@ -11,7 +11,8 @@ from panelwright.functions import text
 from panelwright.functions.arrays import argmax, by_label, label_of, normalised, probability_error, softmax
 from panelwright.functions.numeric import finite, fixed, percent, py_round
 from panelwright.functions.plan import settled
-from panelwright.operators import artifacts, features, inputs, physics, prediction, rules, vision, weather
+from panelwright.functions.shared import work_dir
+from panelwright.operators import artifacts, features, inputs, physics, prediction, regression, rules, vision, weather
 from panelwright.plans import pipeline
 from panelwright.settings import DEFAULT, IMAGE_MEAN, IMAGE_STD, LABELS, Settings
 from panelwright.sources import adapters, images
@@ -400,19 +401,33 @@ def predict_pandas(spark: SparkSession, d: str) -> DataFrame:
     return prediction.predicted(_features(spark, d), Surrogate).select("run_id", py_round(F.col("raw_prediction"), 4).alias("raw_prediction"))
 
 
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    """Features with a measured loss: what the physics say, and a deviation of up to one percent."""
+    loss = prediction.surrogate_loss(F.col("effective_efficiency")) + ((F.col("run_id") * 7919 % 1000) / F.lit(500.0) - 1.0)
+    return settled(_features(spark, d).withColumn("measured", loss), "measured")
+
+
+def regression_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The fitted stumps, in order; the row of round 0 is the base."""
+    model = regression.fit(_measured(spark, d), "measured")
+    rows = [(0, "", None, model.base, model.base), *[(i + 1, s.feature, s.edge, s.left, s.right) for i, s in enumerate(model.stumps)]]
+    return spark.createDataFrame(rows, "round int, feature string, edge double, below long, above long")
+
+
+def regression_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """A model is fitted, saved, loaded again and run over all rows."""
+    path = work_dir(spark, "regressor")
+    features_ = _measured(spark, d)
+    regression.save(spark, regression.fit(features_, "measured"), path)
+    found = regression.with_saved_model(features_, path)
+    return prediction.with_prediction(found, F.col("raw_prediction"), error=F.col("model_error")).select("run_id", "raw_prediction", "efficiency_loss_pct", "prediction_successful")
+
+
 def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     """The physics plan over a file stream of ``events``, read back."""
-    import uuid
-
     from panelwright.streaming.replay import run_available, stream_of
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        base = "/tmp/checkpoints"
-    base = base.rstrip("/")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = work_dir(spark, "stream")
     nation = adapters.table(spark, d, "nation")
     events = stream_of(spark, f"{d}/event[s].parquet", adapters.table(spark, d, "events"))
     run_available(events, lambda e: physics.with_physics(adapters.observed(e, nation)).select("run_id", "irradiance_wm2", "effective_efficiency"), f"{out}/data", f"{out}/state")
@@ -485,5 +500,7 @@ QUERIES: dict[str, Query] = {
     "missing_artifacts": missing_artifacts,
     "artifact_readiness": artifact_readiness,
     "predict_pandas": predict_pandas,
+    "regression_fit": regression_fit,
+    "regression_predictions": regression_predictions,
     "stream_equals_batch": stream_equals_batch,
 }
