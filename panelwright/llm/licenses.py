@@ -55,6 +55,9 @@ WORD = re.compile(r"[()]|[A-Za-z0-9.+:_-]+")
 VERSIONED = re.compile(r"[a-z]+(-[a-z]+)*-v?[0-9]+(\.[0-9]+)*(-only|-or-later|\+)?|licenseref-.+")
 #: What follows ``with``.
 EXCEPTION = re.compile(r".*exception.*|.+-[0-9]+(\.[0-9]+)*|additionref-.+")
+#: What stands for no licence at all.
+ABSENT = ("none", "noassertion")
+NEXT_WORD = re.compile(r"[ \t]+([A-Za-z0-9][A-Za-z0-9.+:_-]*)")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 #: A-Z become a-z, what separates words becomes a space, all else stays.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -124,10 +127,29 @@ def evaluate(tokens: list[str]) -> tuple[frozenset[str], float] | None:
     return stack[0]
 
 
-def identifies(token: str, after_with: bool) -> bool:
-    """Whether a word can be an identifier of a licence or, after ``with``, of an exception."""
+def identifies(token: str, before: list[str], prose_next: bool) -> bool:
+    """Whether a word that stands where an operand has to be is one, given the tokens before it and whether a plain word follows.
+
+    NONE and NOASSERTION aren't. The first one after a tag is, whatever it is called, unless it and what follows are plain
+    words. After an operator in capitals any name is; after one in small letters, where prose may go on, it has to look like an
+    identifier of a licence or, after ``with``, of an exception.
+    """
     low = token.lower()
-    return bool((EXCEPTION if after_with else VERSIONED).fullmatch(low)) or not after_with and family(low) in PERMISSIVE
+    operator = next((t for t in reversed(before) if t.lower() in PRECEDENCE), None)
+    if operator == "with":
+        return bool(EXCEPTION.fullmatch(low))
+    known = bool(VERSIONED.fullmatch(low)) or family(low) in PERMISSIVE or sum(map(str.isupper, token)) > 1
+    if low in ABSENT or not any(c.isalpha() for c in low):
+        return False
+    if operator is None:
+        return known or any(c.isdigit() for c in low) or not prose_next
+    return known or operator.isupper()
+
+
+def plain_word_at(text: str, at: int) -> bool:
+    """Whether a word that is no operator comes next on the line."""
+    found = NEXT_WORD.match(text, at)
+    return found is not None and found[1].lower() not in PRECEDENCE
 
 
 def expression_at(text: str, start: int) -> tuple[frozenset[str], float] | None:
@@ -144,7 +166,7 @@ def expression_at(text: str, start: int) -> tuple[frozenset[str], float] | None:
         opens = token == "("
         if operand_next != (opens or (token != ")" and low not in PRECEDENCE)):
             break
-        if operand_next and not opens and not identifies(token, bool(tokens) and tokens[-1].lower() == "with"):
+        if operand_next and not opens and not identifies(token, tokens, plain_word_at(text, m.end())):
             break
         depth += opens - (token == ")")
         if depth < 0:

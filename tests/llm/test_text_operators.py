@@ -79,6 +79,20 @@ def test_prose_after_a_tag_is_no_expression(line, labels):
     assert licenses.scan(f"SPDX-License-Identifier: {line}".encode()).labels == labels
 
 
+@pytest.mark.parametrize(
+    ("line", "labels", "score"),
+    [
+        ("WTFPL", "wtfpl", licenses.UNKNOWN), ("X11", "x11", licenses.UNKNOWN), ("curl", "curl", licenses.UNKNOWN), ("Beerware */", "beerware", licenses.UNKNOWN),
+        ("MIT OR NCSA", "mit,ncsa", 1.0), ("MIT AND Artistic", "artistic,mit", licenses.UNKNOWN), ("NCSA AND (curl OR MIT)", "curl,mit,ncsa", licenses.UNKNOWN),
+        ("Artistic AND MIT", "artistic,mit", licenses.UNKNOWN), ("MIT and see the file", "mit", 1.0), ("MIT and NCSA", "mit,ncsa", licenses.UNKNOWN),
+        ("GPL-2.0 WITH Own", "gpl", licenses.WITH_LEAST), ("NONE", "", 0.0), ("NOASSERTION", "", 0.0), ("See the file", "", 0.0), ("2024", "", 0.0),
+    ],
+)
+def test_identifiers_of_any_name(line, labels, score):
+    r = licenses.scan(f"# SPDX-License-Identifier: {line}\nmore".encode())
+    assert (r.labels, r.score) == (labels, score)
+
+
 def test_long_expressions_take_one_pass():
     deep = b"SPDX-License-Identifier: " + b"(" * 200_000
     wide = b"SPDX-License-Identifier: MIT" + b" OR MIT" * 50_000
