@@ -36,8 +36,9 @@ VOCABULARY = "byte_bpe_50k.json"
 WIDTH = 32
 MASK = np.uint64((1 << 10) - 1)
 LEAST_CHUNK = 256
-#: Of all bytes, the share from which a routing key is split; so at most as many keys are split as its inverse.
+#: A routing key is split if it has more than this share of all bytes, or more bytes than a task should take.
 HEAVY = 0.001
+TASK_BYTES = 64 << 20
 #: Bytes that a task remembers, about; beyond that it starts anew.
 HELD = 64 << 20
 #: Ends of words: ASCII white space after a character that surely is none.
@@ -277,30 +278,34 @@ def smallest_windows(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def route(docs: DataFrame) -> DataFrame:
+def route(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     """``doc_id``, ``text`` dealt out so that documents with common passages meet; heavy keys are split.
 
-    Rows of a heavy key that share an id, too, stay together.
+    A row's salt is its number within its task, so copies are split whatever their ids are. A task that is run again reads
+    the same rows in the same order if ``docs`` is read from files, and so deals them out alike. Texts are hashed twice, once for the
+    sizes and once for the rows: storing them with their keys would cost as much disk as the shuffle itself.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in batches:
             raws = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
+            numbers = np.arange(seen, seen + len(raws))
+            seen += len(raws)
             yield pa.record_batch(
-                [*batch.columns, pa.array(smallest_windows(raws).view(np.int64)), pa.array([len(r) + 1 for r in raws], pa.int64())],
-                ["doc_id", "text", "key", "size"],
+                [*batch.columns, pa.array(smallest_windows(raws).view(np.int64)), pa.array([len(r) + 1 for r in raws], pa.int64()), pa.array(numbers)],
+                ["doc_id", "text", "key", "size", "number"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text").mapInArrow(keys, f"doc_id {kind}, text string, key long, size long")
+    keyed = docs.select("doc_id", "text").mapInArrow(keys, f"doc_id {kind}, text string, key long, size long, number long")
     sizes = stored(keyed.groupBy("key").agg(F.sum("size").alias("bytes")), "keys")
-    total = sizes.agg(F.sum("bytes")).first()[0] or 1
-    heavy = sizes.where(F.col("bytes") > HEAVY * total).select(
-        "key", F.ceil(F.col("bytes") / F.lit(HEAVY * total)).cast("int").alias("ways")
-    )  # fewer than 1 / HEAVY rows, as their shares add up to 1 at most
+    most = min(task_bytes, HEAVY * (sizes.agg(F.sum("bytes")).first()[0] or 1))
+    # a table of its own, so Spark knows its size: it is broadcast only if it is small
+    heavy = stored(sizes.where(F.col("bytes") > most).select("key", F.ceil(F.col("bytes") / F.lit(most)).cast("int").alias("ways")), "heavy")
     return (
-        keyed.join(F.broadcast(heavy), "key", "left")
-        .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), "ways"), F.lit(0)))
+        keyed.join(heavy, "key", "left")
+        .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("number"), "ways"), F.lit(0)))
         .repartition("key", "salt")
         .sortWithinPartitions("key")
         .select("doc_id", "text")

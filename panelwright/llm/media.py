@@ -28,6 +28,8 @@ from panelwright.llm.common import stored, table, work_dir
 
 UNIT = 64
 SHARD_BYTES = 256 << 20
+#: Rows after which a task closes its shard, however few bytes they took: repeated payloads take none.
+SHARD_ROWS = 100_000
 LEVEL = 6
 PNG = b"\x89PNG\r\n\x1a\n"
 TAR_BLOCK = 512
@@ -159,7 +161,7 @@ def write_media(docs: DataFrame, folder: str) -> DataFrame:
                 payload = padded(raw)
                 digest = hashlib.sha256(payload).hexdigest()
                 rows.append((len(raw), digest, *writer.add(digest, payload)))
-            if writer.at > SHARD_BYTES and rows:
+            if rows and (writer.at > SHARD_BYTES or len(rows) >= SHARD_ROWS):
                 yield finished()
         if rows:
             yield finished()
@@ -244,7 +246,7 @@ def media_features(places: DataFrame, folder: str) -> DataFrame:
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Stores every whole text, reads it back, and returns one row per input row with place, metadata and features.
 
-    Equal texts have equal values. The shards stay in ``folder`` (below the shared folder if not given).
+    Equal texts have equal values. Ids don't matter: rows that repeat one or have none come out each; nor do other columns. The shards stay in ``folder`` (below the shared folder if not given).
     """
     folder = folder or work_dir(docs.sparkSession, "media")
     media = write_media(docs, folder)

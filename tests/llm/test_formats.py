@@ -10,6 +10,7 @@ from collections import Counter
 import pytest
 from panelwright.llm import bpe, html_text, media, packing
 from panelwright.llm.common import work_dir
+from pyspark.sql import functions as F
 
 TEXTS = [
     None, "", " ", "a", "  a b", "foo <|endoftext|> bar", "x<|endoftext|>\n\n  y", "\t\ta  \n b" * 300, "don't we'll  　 a b" * 200,
@@ -73,6 +74,26 @@ def test_joins_agree_with_the_whole_text(monkeypatch, edge):
         assert got.decoded.decode() == coder.tok.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("ids", ["distinct", "null", "one"])
+def test_copies_of_a_heavy_key_are_spread(spark, ids):
+    """Whatever their ids are: 2,000 copies of one text go to tasks of a few hundred each, and come out once each."""
+    text = "the same words again and again, " * 4
+    rows = [({"distinct": i, "null": None, "one": 7}[ids], text) for i in range(2000)] + [(5000 + i, f"some other text, number {i} of them all") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        routed = bpe.route(df, task_bytes=2000)
+        sizes = [r["count"] for r in routed.where(routed.text == text).groupBy(F.spark_partition_id()).count().collect()]
+        again = sorted(routed.collect(), key=repr)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 2000 and len(sizes) == 16 and max(sizes) < 300
+    assert [tuple(r) for r in again] == sorted(((i, t) for i, t in rows), key=repr)
+
+
 def test_bytes_that_are_not_utf8(spark):
     df = spark.sql("select 1L doc_id, cast(X'61FF62' as string) text")
     assert bpe.encode(df).first().ids_sha256 == library("a\ufffdb")[1]
@@ -117,6 +138,17 @@ def test_shards_are_tar_files_with_one_copy_each(spark):
     assert {(r.width, r.depth) for r in media.media_headers(media.places_of(places), folder).collect()} == {(64, 8)}
 
 
+def test_media_of_repeated_and_missing_ids(spark, monkeypatch):
+    """Ids don't matter, nor does how often a shard is closed: a task keeps a bounded number of rows."""
+    monkeypatch.setattr(media, "SHARD_ROWS", 40)
+    rows = [(None, "same")] * 100 + [(3, "same")] * 30 + [(3, f"own {i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("feature", F.lit("mine")).coalesce(1)
+    got = media.media_columns(df).collect()
+    assert sorted((r.doc_id is None, r.n_bytes) for r in got) == sorted((i is None, len(t)) for i, t in rows)
+    assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in got}) == 31
+    assert {r.payload_sha256 for r in got} == {hashlib.sha256(t.encode().ljust(64, b"\0")).hexdigest() for _, t in rows}
+
+
 def test_media_of_an_empty_table(spark):
     assert media.media_columns(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
