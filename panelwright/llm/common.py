@@ -53,7 +53,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``component`` is the smallest node that can be reached. Alternates large-star and
     small-star steps, each a grouped minimum and a join, so no adjacency list is ever
-    gathered; each round is written to the shared folder. Nodes without an edge don't
+    gathered; each round is written to the shared folder. The minimum of each node is
+    written before it is joined, too: so a hub's edges are an input of their own to the join,
+    and Spark can split them. Chains of up to ``max_rounds`` doublings settle. Nodes without an edge don't
     appear. Self-loops and nulls are ignored; an empty input gives an empty result.
     """
     pairs = stored(
@@ -66,11 +68,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(max_rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
+        large = stored(
+            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
+            "cc-large",
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))

@@ -2,18 +2,21 @@
 
 Fingerprints are embedded as the bit counts of sixteen 4-bit segments. The Manhattan distance of
 two embeddings never exceeds the Hamming distance of the fingerprints, so it bounds it from below.
-Candidates come from a grid: its coordinates are two of six blocks of the fingerprint (by
-pigeonhole, two fingerprints with at most four differing bits agree in two blocks of six, that is,
+Candidates come from a grid: its coordinates are b - 4 of b blocks of the fingerprint (by
+pigeonhole, two fingerprints with at most four differing bits agree in that many blocks, that is,
 their distance there is zero), the Manhattan bound then thins them out, and the exact Hamming
-distance decides. A grid on bit counts alone would have to visit about 0.8 % of all pairs.
+distance decides. A grid on bit counts alone would have to visit about 0.8 % of all pairs. The
+number of blocks follows the number of fingerprints, so that a fingerprint meets a few chance neighbours
+at any size; which pairs are found doesn't depend on it.
 
-Equal fingerprints are reduced to one representative before the join, so copies make no pairs.
+Equal fingerprints are one node, so copies make no pairs; the graph knows fingerprints only, ids come in last.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,9 @@ from panelwright.llm.common import connected_components, stored, table
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_BITS = 4
-#: (lowest bit, width) of the six blocks.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Chance neighbours of a fingerprint that are fine, and blocks at least and at most.
+CHANCE = 4
+FEWEST_BLOCKS, MOST_BLOCKS = 6, 10
 SEGMENT_BITS = 4
 
 
@@ -73,10 +77,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _mask(block: int) -> int:
-    low, width = BLOCKS[block]
-    mask = ((1 << width) - 1) << low
-    return mask - (1 << 64) if mask >> 63 else mask
+def blocks_for(n: int, max_bits: int = MAX_BITS) -> int:
+    """The fewest blocks with which ``n`` random fingerprints have at most CHANCE candidates each."""
+    if max_bits > MOST_BLOCKS - 2:
+        raise ValueError("more differing bits than the blocks can cover")
+    for b in range(max(FEWEST_BLOCKS, max_bits + 1), MOST_BLOCKS):
+        if n * comb(b, b - max_bits) <= CHANCE * 2.0 ** (64 * (b - max_bits) / b):
+            return b
+    return MOST_BLOCKS
+
+
+def cell_masks(blocks: int, max_bits: int = MAX_BITS) -> list[int]:
+    """For each choice of ``blocks`` - ``max_bits`` blocks the bits in them, as longs."""
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    each = [(1 << hi) - (1 << lo) for lo, hi in zip(ends, ends[1:])]
+    found = [sum(c) for c in combinations(each, blocks - max_bits)]
+    return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
 def _segments(fp: Column) -> Column:
@@ -90,44 +106,57 @@ def _manhattan(a: Column, b: Column) -> Column:
     return sum((F.abs(a[i] - b[i]) for i in range(1, 64 // SEGMENT_BITS)), F.abs(a[0] - b[0]))
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs ``a`` < ``b`` of representatives (smallest ids of equal fingerprints) within ``max_bits``.
-
-    ``prints`` has ``doc_id`` and ``fp``. Each pair comes once: only its first common grid cell emits it.
-    """
-    if max_bits > len(BLOCKS) - 2:
-        raise ValueError("more differing bits than the blocks can cover")
-    pairs = list(combinations(range(len(BLOCKS)), 2))
-    masks = [_mask(i) | _mask(j) for i, j in pairs]
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    cells = nodes.select(
-        "node", "fp",
-        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "cell"),
-    )
-    a = cells.select("band", "cell", F.col("node").alias("a"), F.col("fp").alias("fa"))
-    b = cells.select("band", "cell", F.col("node").alias("b"), F.col("fp").alias("fb"))
-    apart = F.col("fa").bitwiseXOR(F.col("fb"))
+def print_links(nodes: DataFrame, masks: list[int], max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs ``a`` < ``b`` of distinct fingerprints (``fp``) within ``max_bits``. Each pair comes once: only its first common grid cell emits it."""
+    cells = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "cell"))
+    a = cells.select(F.col("band").alias("band_a"), F.col("cell").alias("cell_a"), F.col("fp").alias("a"))
+    b = cells.select("band", "cell", F.col("fp").alias("b"))
+    apart = F.col("a").bitwiseXOR(F.col("b"))
     first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(masks)])
     near = (
         (F.col("a") < F.col("b"))
-        & (_manhattan(_segments(F.col("fa")), _segments(F.col("fb"))) <= max_bits)
+        & (_manhattan(_segments(F.col("a")), _segments(F.col("b"))) <= max_bits)
         & (F.bit_count(apart) <= max_bits)
         & (first == F.col("band_a"))
     )
-    a = a.withColumnsRenamed({"band": "band_a", "cell": "cell_a"})
     return a.join(b, (F.col("band_a") == F.col("band")) & (F.col("cell_a") == F.col("cell")) & near).select("a", "b")
 
 
+def _nodes(prints: DataFrame) -> DataFrame:
+    """Distinct fingerprints with their smallest id; null if none of their rows has one."""
+    return stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+
+
+def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs ``a`` < ``b`` of the smallest ids of fingerprints within ``max_bits`` of each other; ``prints`` has ``doc_id`` and ``fp``.
+
+    Fingerprints whose rows have no id, and pairs with one id for both, aren't shown; ``components`` links them, too.
+    """
+    nodes = _nodes(prints)
+    pairs = print_links(nodes, cell_masks(blocks_for(nodes.count(), max_bits), max_bits), max_bits)
+    of = lambda side: nodes.select(F.col("fp").alias(side), F.col("node").alias(f"id_{side}"))
+    return (
+        pairs.join(of("a"), "a").join(of("b"), "b").where("id_a <> id_b")
+        .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    )
+
+
 def components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``doc_id``, ``fp``, ``component_id``: the smallest id reachable over links, itself included."""
-    groups = connected_components(links(prints, max_bits))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    of_print = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    """``doc_id``, ``fp``, ``component_id``: the smallest id reachable over links, itself included.
+
+    The nodes are fingerprints. A row without an id takes part like any other, links others, and has the component's smallest
+    id, or null if no row there has one. Rows of one id with different texts are joined only by what their texts are.
+    """
+    nodes = _nodes(prints)
+    groups = connected_components(print_links(nodes, cell_masks(blocks_for(nodes.count(), max_bits), max_bits), max_bits))
+    of_print = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("root"))
+    least = of_print.groupBy("root").agg(F.min("node").alias("component_id"))
+    of_print = stored(of_print.join(least, "root").select("fp", "component_id"), "print-components")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Every document with ``fingerprint`` (16 hex digits) and ``component_id``."""
+    """Every document with ``fingerprint`` (16 hex digits) and ``component_id``. Null, empty and wordless texts have fingerprint zero."""
     prints = stored(fingerprints(docs), "prints")
     return components(prints).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 import xxhash
 from panelwright.llm import simhash as S
 from panelwright.llm.common import connected_components
@@ -81,3 +82,39 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40, 0, -1)] + [(100, k) for k in range(101, 160)] + [(7, 7), (500, 501), (501, 500)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[k] == 1 for k in range(1, 42)) and all(got[k] == 100 for k in range(100, 160)) and got[501] == 500
+
+
+def test_null_and_shared_ids(spark):
+    """Rows without an id link others and have their component's smallest id, if there is one; a shared id joins nothing by itself."""
+    prints = [(None, 0b0), (None, 0b0), (None, 0b1111), (7, 0b11111111), (9, 0b11111111), (None, 1 << 40 | 0xFFFFFF << 8), (5, 0x5555555555555555), (5, -1), (3, -2), (None, 0x3333333333333333)]
+    got = sorted(((r.doc_id, r.fp, r.component_id) for r in S.components(spark.createDataFrame(prints, "doc_id long, fp long")).collect()), key=repr)
+    want = {0b0: 7, 0b1111: 7, 0b11111111: 7, 1 << 40 | 0xFFFFFF << 8: None, 0x5555555555555555: 5, -1: 3, -2: 3, 0x3333333333333333: None}
+    assert got == sorted(((i, p, want[p]) for i, p in prints), key=repr)
+    docs = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (4, "z y x w v u"), (4, "other words in here")], "doc_id long, text string")
+    rows = S.near_duplicates(docs).collect()
+    assert len(rows) == 4 and [r.component_id for r in rows if r.doc_id is None] == [None, None] and {r.component_id for r in rows if r.doc_id} == {4}
+
+
+@pytest.mark.parametrize("blocks", [6, 7, 8, 10])
+def test_any_number_of_blocks_finds_the_same_pairs(spark, blocks):
+    rng = random.Random(blocks)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    prints = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(7))) for b in base for _ in range(12)}
+    signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    nodes = spark.createDataFrame([(p,) for p in signed], "fp long")
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 4}
+    found = [tuple(r) for r in S.print_links(nodes, S.cell_masks(blocks)).collect()]
+    assert set(found) == want and len(found) == len(want) and want
+
+
+def test_candidates_do_not_grow_with_the_table():
+    """Chance candidates of a fingerprint, by the number of cells it shares with others, at any number of rows."""
+    chosen = []
+    for n in (10**3, 10**5, 10**7, 10**9, 10**10):
+        b = S.blocks_for(n)
+        chosen.append(b)
+        assert b == S.MOST_BLOCKS or n * len(S.cell_masks(b)) / 2 ** (64 * (b - 4) / b) <= S.CHANCE
+    assert chosen == sorted(chosen) and chosen[0] == 6 and chosen[-1] > 7
+    assert all(sum(m.bit_count() if m >= 0 else (m + (1 << 64)).bit_count() for m in S.cell_masks(b)) for b in range(6, 11))
+    with pytest.raises(ValueError):
+        S.blocks_for(10, 9)
