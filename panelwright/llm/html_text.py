@@ -2,7 +2,10 @@
 
 Events of the standard library's parser are gathered into lines, one a block element. Blocks of
 menus, forms, notices and the like are left out by element and by names in their class and id that
-say nothing else. Of the others, the ratio of text to tags is smoothed with a Gaussian, and lines above the threshold
+say nothing else. When an element ends its shape is known, and with it what a name alone leaves open:
+an element named after readers' comments goes, and so does an article without a heading within another
+article; one whose name only hints at menus or adverts goes if most of its text is links; an unnamed one outside
+of an article that is nearly all links is a menu if the page has other text. Of the others, the ratio of text to tags is smoothed with a Gaussian, and lines above the threshold
 (the smoothed ratios' standard deviation) mark content. The region of a marked line, which is the
 article or main element around it or else its parent element, is content as a whole, so that short
 paragraphs between long ones stay.
@@ -15,6 +18,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,11 @@ WORDS_OUT = frozenset(
     "promoted related reply replies share sharing sidebar social sponsor sponsored subscribe toolbar widget "
     "complementary contentinfo search".split()
 )
+#: Words for what readers write below an article; a name that begins or ends with one means that, but with a word that only says whether there are any.
+COMMENTS = frozenset("comment comments disqus replies reply responses discussion".split())
+WHETHER = frozenset("allow allowed closed disabled enabled has hide no off on open policy show with without".split())
+#: Share of link text from which an element that is named like a menu, or has no telling name, is one, and links that it needs.
+NAMED_LINKS, PLAIN_LINKS, LEAST_LINKS = 0.5, 0.8, 3
 #: Words that say nothing of what a block is: a name of these and the ones above means the same as without them.
 NEUTRAL = frozenset(
     "area bar block bottom box container content global group inner item items left list main outer page panel primary "
@@ -55,12 +64,34 @@ WORD = re.compile("[a-z]+")
 SIGMA = 1.0
 
 
+HEADINGS = frozenset(("h1", "h2", "h3", "h4"))
+
+
+class Element(NamedTuple):
+    """An open element, and what had been seen when it began."""
+
+    tag: str
+    left_out: bool
+    hint: bool
+    nested: bool
+    region: int
+    number: int
+    lines: int
+    chars: int
+    link_chars: int
+    links: int
+    headings: int
+
+
+OUTSIDE = Element("", False, False, False, 0, 0, 0, 0, 0, 0, 0)
+
+
 class Lines(HTMLParser):
     """Blocks in page order: text, tags seen in them, and the region that they stand in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, int]] = []  # tag, left out, region, number
+        self.stack: list[Element] = []
         self.places: defaultdict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by tag
         self.scopes: list[int] = []
         self.lines: list[tuple[str, int, int]] = []
@@ -69,6 +100,8 @@ class Lines(HTMLParser):
         self.count = 0
         self.region_of_text = 0
         self.begun = False
+        self.chars = self.link_chars = self.links = self.anchors = self.headings = 0
+        self.menus: list[tuple[int, int]] = []  # of lines, from and to
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -77,32 +110,62 @@ class Lines(HTMLParser):
             self.tags = 0
         self.text, self.begun = [], False
 
-    def out(self, tag: str, attrs: list[tuple[str, str | None]], in_region: bool) -> bool:
+    def out(self, tag: str, attrs: list[tuple[str, str | None]], in_region: bool) -> bool | None:
+        """Whether an element goes by what it is called; None if its shape has to tell."""
         if tag in LEFT_OUT or (tag == "header" and not in_region):
             return True
+        hint = False
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
-            if name in ("class", "id", "role") and value and tag not in ("html", "body", *REGIONS):
+            if name in ("class", "id", "role") and value and tag not in ("html", "body"):
                 out = WORDS_OUT if in_region else WORDS_OUT | HEADERS
-                for words in map(set, map(WORD.findall, value.lower().split())):
-                    if words & out and words <= out | NEUTRAL:
+                for words in map(WORD.findall, value.lower().split()):
+                    if words and (words[0] in COMMENTS or words[-1] in COMMENTS) and not WHETHER & set(words):
+                        return True
+                    if tag in REGIONS or not out.intersection(words):
+                        continue
+                    if out | NEUTRAL >= set(words):
                         return True
-        return False
+                    hint = True
+        return None if hint else False
 
-    def push(self, tag: str, left_out: bool, region: int) -> None:
+    def settle(self, element: Element) -> None:
+        """At an element's end: whether its lines stay."""
+        if element.tag not in BLOCKS or element.left_out or element.tag in ("html", "body"):
+            return
+        self.flush()
+        lines, chars, links = len(self.lines) - element.lines, self.chars - element.chars, self.link_chars - element.link_chars
+        if not lines or not chars:
+            return
+        if element.hint and links >= NAMED_LINKS * chars:
+            del self.lines[element.lines :]
+        elif element.nested and self.headings == element.headings:
+            del self.lines[element.lines :]
+        elif not element.region < 0 and links >= PLAIN_LINKS * chars and self.links - element.links >= LEAST_LINKS:
+            self.menus.append((element.lines, len(self.lines)))
+
+    def push(self, element: Element) -> None:
         """Open elements are found by tag without a search: each costs the same however deep the page is."""
-        self.places[tag].append(len(self.stack))
-        if tag in SCOPES:
+        self.places[element.tag].append(len(self.stack))
+        if element.tag in SCOPES:
             self.scopes.append(len(self.stack))
-        self.stack.append((tag, left_out, region, self.count))
+        self.stack.append(element)
 
     def close_from(self, place: int) -> None:
         while len(self.stack) > place:
-            tag = self.stack.pop()[0]
-            self.places[tag].pop()
-            if tag in SCOPES:
+            element = self.stack[-1]
+            self.settle(element)
+            self.stack.pop()
+            self.places[element.tag].pop()
+            if element.tag in SCOPES:
                 self.scopes.pop()
+            self.anchors -= element.tag == "a"
+
+    def close(self) -> None:
+        super().close()
+        self.close_from(0)
+        self.flush()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -115,18 +178,23 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        _, left_out, region, number = self.stack[-1] if self.stack else ("", False, 0, 0)
-        in_region = region < 0
+        around = self.stack[-1] if self.stack else OUTSIDE
+        region, in_region = around.region, around.region < 0
         self.count += 1
-        if tag in REGIONS and not left_out:
+        if tag in REGIONS and not around.left_out:
             region = -self.count  # negative: an article or main element
         elif tag in BLOCKS and not in_region:
-            region = self.count if tag not in ("p", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6") else number
-        self.push(tag, left_out or self.out(tag, attrs, in_region), region)
+            region = self.count if tag not in ("p", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6") else around.number
+        out = self.out(tag, attrs, in_region)
+        self.links += tag == "a"
+        self.anchors += tag == "a"
+        self.headings += tag in HEADINGS
+        nested = tag == "article" and bool(self.places["article"])
+        self.push(Element(tag, around.left_out or out is True, out is None, nested, region, self.count, len(self.lines), self.chars, self.link_chars, self.links, self.headings))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.stack and self.stack[-1][0] == tag and tag in ("svg", "path", "iframe"):
+        if tag not in VOID and self.stack and self.stack[-1].tag == tag and tag in ("svg", "path", "iframe"):
             self.close_from(len(self.stack) - 1)
 
     def handle_endtag(self, tag: str) -> None:
@@ -137,10 +205,14 @@ class Lines(HTMLParser):
             self.close_from(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][1]:
+        around = self.stack[-1] if self.stack else OUTSIDE
+        if around.left_out:
             return
+        seen = len(data) - data.count(" ")
+        self.chars += seen
+        self.link_chars += seen if self.anchors else 0
         if not self.begun and data.strip():
-            self.region_of_text, self.begun = (self.stack[-1][2] if self.stack else 0), True
+            self.region_of_text, self.begun = around.region, True
         self.text.append(data)
 
 
@@ -161,8 +233,10 @@ def read_lines(html: str | None) -> list[tuple[str, int, int]]:
         parser = Lines()
         parser.feed((html or "").replace("<![", "&lt;!["))
         parser.close()
-    parser.flush()
-    return parser.lines
+    menu = np.zeros(len(parser.lines), bool)
+    for start, end in parser.menus:
+        menu[start:end] = True
+    return parser.lines if menu.all() else [line for line, m in zip(parser.lines, menu) if not m]
 
 
 def marked_lines(lines: list[tuple[str, int, int]]) -> np.ndarray:

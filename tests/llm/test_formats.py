@@ -193,6 +193,81 @@ def test_names_of_blocks():
     assert html_text.main_text(gone) == "text"
 
 
+WRITTEN = "What somebody wrote below, and at some length, so that it looks like text of the page itself"
+
+
+@pytest.mark.parametrize(
+    "comments",
+    [
+        f"<div class='reader-comments'><p>{WRITTEN}</p></div>", f"<section id='user-comments'><h3>Comments</h3><p>{WRITTEN}</p></section>", f"<article class='comment'><p>{WRITTEN}</p></article>",
+        f"<article class='comment even'><h4>Somebody</h4><p>{WRITTEN}</p></article>" * 3, f"<ol class='comment-list'><li>{WRITTEN}<li>{WRITTEN}</ol>", f"<div id='disqus_thread'>{WRITTEN}</div>",
+        f"<div class='community-comments-v'><p>{WRITTEN}</p></div>".replace("-v", ""), f"<div class='list'><div class='post-comment'><p>{WRITTEN}</p></div></div>",
+    ],
+)
+@pytest.mark.parametrize("inside", [False, True])
+def test_comments_are_no_text(comments, inside):
+    text = "<h1>A title</h1><p>The first paragraph of the page, long enough to count as one.</p><p>Short.</p>"
+    page = f"<body><article>{text}{comments if inside else ''}</article>{'' if inside else comments}</body>"
+    assert html_text.main_text(page) == "A title\nThe first paragraph of the page, long enough to count as one.\nShort."
+
+
+def test_names_that_only_say_whether_there_are_comments():
+    assert html_text.main_text("<article class='post comments-open has-comments'><h1>T</h1><p>one two three</p></article>") == "T\none two three"
+    assert html_text.main_text("<article><p>one two three</p><section class='comment-policy'><p>four</p></section></article>") == "one two three\nfour"
+
+
+def test_articles_within_an_article():
+    """Without a heading of their own they are what readers wrote; with one they are parts."""
+    inner = f"<article><p>{WRITTEN}</p></article>"
+    assert html_text.main_text(f"<article><h1>T</h1><p>one two three</p>{inner}{inner}</article>") == "T\none two three"
+    assert html_text.main_text(f"<main><article><h2>T</h2><p>one two three</p></article>{inner}</main>") == f"T\none two three\n{WRITTEN}"
+    parts = "<article><h1>T</h1><article><h2>A</h2><p>one</p></article><article><h2>B</h2><p>two</p></article></article>"
+    assert html_text.main_text(parts) == "T\nA\none\nB\ntwo"
+
+
+def test_lists_of_links_are_menus():
+    links = "".join(f"<li><a href='/{i}'>Where the link number {i} leads to, in many words</a></li>" for i in range(6))
+    prose = "<p>Text of the page without an article element, of some length, with <a href='/x'>a link</a> in it.</p>" * 2
+    want = "\n".join(["Text of the page without an article element, of some length, with a link in it."] * 2)
+    assert html_text.main_text(f"<body><div><ul>{links}</ul></div><div>{prose}</div></body>") == want
+    assert html_text.main_text(f"<body><div>{prose}</div><div class='related-stories'>{links}</div></body>") == want
+    # in an article a list of links is part of it, and a page of nothing else keeps them
+    assert html_text.main_text(f"<article>{prose}<ul>{links}</ul></article>").count("\n") == 7
+    assert html_text.main_text(f"<ul>{links}</ul>").count("\n") == 5
+
+
+def built_page(rng):
+    """A page and its text, put together from known parts."""
+    words = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(n))
+    title, blocks, text = words(6), [], []
+    for _ in range(rng.randint(3, 12)):
+        kind, line = rng.randrange(5), words(rng.choice([1, 3, 30, 80]))
+        made = {
+            0: (f"<p>{line}</p>", [line]), 1: (f"<h2>{line}</h2>", [line]), 2: (f"<ul><li>{line}</li><li>{title}</li></ul>", [line, title]),
+            3: (f"<blockquote>\n <p>{line}</p></blockquote>", [line]), 4: (f"<div><p>{line} <a href='/y'>alpha</a> &amp; <em>so</em> on</p></div>", [f"{line} alpha & so on"]),
+        }[kind]
+        blocks.append(made[0])
+        text += made[1]
+    clutter = [*PARTS.values(), f"<div class='reader-comments'><p>{words(40)}</p></div>", f"<article class='comment'><p>{words(50)}</p></article>", f"<section id='comments'><h3>3 comments</h3><p>{words(30)}</p></section>",
+               f"<div class='share-buttons'>{''.join(f'<a href=/{i}>{words(4)}</a> ' for i in range(4))}</div>", f"<script>var x = '<p>{words(9)}</p>'</script>", f"<!-- {words(9)} --><style>p {{}}</style>", f"<div hidden><p>{words(20)}</p></div>"]
+    rng.shuffle(clutter)
+    cut = rng.randrange(len(clutter))
+    inner = [f"<form><input name=q><p>{words(12)}</p></form>", f"<aside><p>{words(25)}</p></aside>", f"<div class='advert'>{words(30)}</div>"][: rng.randrange(4)]
+    for part in inner:
+        blocks.insert(rng.randrange(len(blocks) + 1), part)
+    tag = rng.choice(["article", "main", "article class='post entry'", "main id=content"])
+    page = f"<!DOCTYPE html><html><head><title>{words(5)}</title></head><body>{''.join(clutter[:cut])}<{tag}><h1>{title}</h1>{''.join(blocks)}</{tag.split()[0]}>{''.join(clutter[cut:])}</body></html>"
+    return page, "\n".join([title, *text])
+
+
+def test_built_pages_come_back(spark):
+    rng = random.Random(12)
+    made = [built_page(rng) for _ in range(300)]
+    df = spark.createDataFrame([(i % 7 if i % 5 else None, str(i), page) for i, (page, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r.url: r.text for r in html_text.extract(df.repartition(3)).collect()}
+    assert {k: v for k, v in got.items()} == {str(i): text for i, (_, text) in enumerate(made)}
+
+
 @pytest.mark.parametrize("page", ["<div>" * 60_000 + "</span>" * 60_000 + "<p>end", "<p><div>" + "<b>" * 60_000 + "<hr>" * 60_000 + "end", "<article>" + "<i><p>x" * 60_000])
 def test_deep_pages_take_one_pass(page):
     began = time.perf_counter()
