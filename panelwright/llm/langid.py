@@ -21,10 +21,10 @@ from panelwright.llm.common import table
 
 UNITS = 12
 STEPS = 64
-#: Labelled texts of each language, and windows of each, that training sees at most.
-SAMPLE_TEXTS = 200
-SAMPLE_WINDOWS = 6
-EPOCHS = 8
+#: Labelled texts of each language that training sees at most, whole; longer ones than so many bytes only where others are lacking.
+SAMPLE_TEXTS = 100
+LONG_BYTES = 1 << 20
+EPOCHS = 4
 BATCH = 256
 RATE = 0.02
 #: Windows that one matrix holds.
@@ -102,7 +102,7 @@ def is_letter_byte(codes: np.ndarray) -> np.ndarray:
 
 
 def train(samples: list[tuple[str, bytes]], seed: int = 4) -> Model:
-    """Fits the network to labelled windows by Adam; the same samples give the same model."""
+    """Fits the network to all windows of labelled texts by Adam; the same samples give the same model."""
     rng = np.random.default_rng(seed)
     langs = sorted({lang for lang, _ in samples})
     rows = [(langs.index(lang), row) for lang, text in samples for row in windows(text)]
@@ -181,33 +181,20 @@ def predict(model: Model, texts: list[bytes]) -> list[tuple[str, float]]:
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, bytes]]:
-    """At most SAMPLE_TEXTS texts of each language, and SAMPLE_WINDOWS windows of each, evenly spaced over the whole text.
+    """At most SAMPLE_TEXTS whole texts of each language.
 
-    The texts are those of the smallest hashed ids; each language's limit is applied before the shuffle, and
-    only windows leave the tasks. Rows without a language or text aren't learnt from.
+    The texts are those of the smallest hashed ids, texts of over LONG_BYTES after all others; each language's limit is applied
+    before the shuffle. Rows without a language or text aren't learnt from.
     """
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, found = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                raw = text.as_py()
-                parts = -(-len(raw) // STEPS)
-                keep = sorted({int(i) for i in np.linspace(0, parts - 1, min(parts, SAMPLE_WINDOWS))})
-                langs += [lang] * len(keep)
-                found += [raw[i * STEPS : (i + 1) * STEPS] for i in keep]
-            yield pa.record_batch([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "window"])
-
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id", "text"), "doc_id"))
     picked = (
         docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-        .select(F.col("lang").cast("string"), "doc_id", F.col("text").cast("string"))
+        .select(F.col("lang").cast("string"), "doc_id", F.col("text").cast("string"), (F.octet_length("text") > LONG_BYTES).alias("long"))
         .withColumn("place", place)
         .where(F.col("place") <= SAMPLE_TEXTS)
-        .select("lang", "text")
-        .mapInArrow(cut, "lang string, window binary")
+        .select("lang", F.col("text").cast("binary").alias("text"))
     )
-    return sorted((r.lang, bytes(r.window)) for r in picked.collect())
+    return sorted((r.lang, bytes(r.text)) for r in picked.collect())
 
 
 def held_out(column: str = "doc_id"):

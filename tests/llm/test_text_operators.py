@@ -205,6 +205,17 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in untaught.collect()} == {"und"}
 
 
+def test_sampled_texts_are_read_whole(spark, monkeypatch):
+    """Long texts are in the sample only where shorter ones are lacking; nothing of a sampled text is cut."""
+    monkeypatch.setattr(langid, "SAMPLE_TEXTS", 3)
+    monkeypatch.setattr(langid, "LONG_BYTES", 1000)
+    rows = [(i, "en", f"text {i} " * (200 if i % 2 else 20)) for i in range(10)] + [(20, "de", "wort " * 900), (21, "de", "kurz"), (22, None, "x"), (23, "fr", ""), (24, "fr", None)]
+    texts = {(lang, t) for _, lang, t in rows}
+    got = [(lang, raw.decode()) for lang, raw in langid.training_sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"))]
+    assert set(got) <= texts and len([1 for lang, _ in got if lang == "en"]) == 3 and all(len(t) < 1000 for lang, t in got if lang == "en")
+    assert {t for lang, t in got if lang == "de"} == {"wort " * 900, "kurz"} and not [1 for lang, _ in got if lang in (None, "fr")]
+
+
 def test_gradient_by_differences():
     """Backpropagation through time against finite differences, in one weight of each kind."""
     rng = np.random.default_rng(0)
