@@ -474,6 +474,16 @@ ORACLE: dict[str, str] = {
         "SELECT o.run_id, o.city, coalesce(n.n_nationkey*1.5e0, 25e0) AS ambient_temp_c, coalesce(n.n_nationkey + 1000e0, 1013.25e0) AS pressure_hpa, "
         "coalesce(n.n_nationkey*7e0, 0e0) AS longitude, n.n_nationkey IS NOT NULL AS fetch_successful FROM @ o LEFT JOIN nation n ON n.n_name = o.city"
     ),
+    "weather_live": observed()
+    .add(n="length(city)", ok_="NOT starts_with(city, 'I') AND NOT starts_with(city, 'U')")
+    .sql(
+        "SELECT run_id, city, "
+        + ", ".join(f"CASE WHEN ok_ THEN {v} ELSE {num(WEATHER_DEFAULTS[c])} END AS {c}" for c, v in (
+            ("ambient_temp_c", "n*1.25e0"), ("humidity_pct", "n*3e0"), ("wind_speed_ms", "n*0.5e0"), ("cloud_cover_pct", "n*4e0"),
+            ("pressure_hpa", "n + 1000e0"), ("latitude", "n - 10e0"), ("longitude", "n*7e0"),
+        ))
+        + ", ok_ AS fetch_successful FROM @"
+    ),
     "detection_flatten": With("b", BOXES).sql(
         "SELECT run_id, (row_number() OVER (PARTITION BY run_id ORDER BY ord, l_quantity, l_extendedprice, confidence, class_id) - 1)::INT AS ord, l_quantity AS x2, confidence, class_id FROM @"
     ),
@@ -588,6 +598,7 @@ FROM f LEFT JOIN sums d ON d.run_id = f.run_id AND d.part = 'detector' LEFT JOIN
         f"WHEN 'features' THEN 'Feature validation failed: ' || ({feature_message()}) ELSE {q(GENERIC)} END",
     )
     .sql("SELECT error_stage, error_type, error_message, count(*) AS n, min(run_id) AS first_run FROM @ WHERE error_stage <> 'none' GROUP BY 1, 2, 3"),
+    "run_metrics": runs().sql("SELECT error_stage AS stage, count(*) AS rows, true AS timed FROM @ GROUP BY 1"),
     "ui_metrics": predicted().sql(
         "SELECT run_id, printf('%.1f', detection_confidence*100e0) || '%' AS confidence, printf('%.1f', ambient_temp_c) || ' °C' AS temperature, "
         "printf('%.0f', irradiance_wm2) || ' W/m²' AS irradiance, printf('%.2f', soiling_ratio) AS soiling, printf('%.0f', estimated_output_w) || ' W' AS output FROM @"
@@ -600,6 +611,14 @@ FROM f LEFT JOIN sums d ON d.run_id = f.run_id AND d.part = 'detector' LEFT JOIN
         "WHEN path LIKE '/%' THEN 'artifact path must be relative to the manifest directory' WHEN path LIKE 'm/../../%' THEN 'artifact path escapes the manifest directory' "
         "WHEN NOT there THEN 'artifact missing' WHEN lower(sha) <> digest THEN 'SHA-256 mismatch' ELSE '' END AS error FROM @"
     ),
+    "manifest_files": ENTRY.sql(
+        "SELECT manifest_id, ok, position, line FROM (SELECT manifest_id, len(lines) = 0 AS ok, unnest(range(len(lines)))::INT AS position, unnest(lines) AS line FROM "
+        "(SELECT 1 + ord % 3 AS manifest_id, list_filter(list(CASE WHEN error <> '' THEN CASE WHEN path = '' THEN '' ELSE path || ': ' END || error END ORDER BY ord), lambda v: v IS NOT NULL) AS lines FROM "
+        "(SELECT ord, CASE WHEN k = 7 THEN 'link/1.bin' ELSE path END AS path, CASE WHEN path = '' THEN 'artifact entry is missing a valid ''path''' "
+        "WHEN NOT regexp_full_match(sha, '[0-9a-fA-F]{64}') THEN 'missing valid SHA-256 digest' "
+        "WHEN path LIKE '/%' THEN 'artifact path must be relative to the manifest directory' WHEN path LIKE 'm/../../%' OR k = 7 THEN 'artifact path escapes the manifest directory' "
+        "WHEN NOT there THEN 'artifact missing' WHEN lower(sha) <> digest THEN 'SHA-256 mismatch' ELSE '' END AS error FROM @) GROUP BY 1))"
+    ),
     "missing_artifacts": ENTRY.sql("SELECT ord, path FROM @ WHERE NOT there"),
     "artifact_readiness": """WITH m AS (SELECT count(*) FILTER (r_regionkey % 2 <> 0) AS n, string_agg('"' || r_name || '"', ',' ORDER BY r_name) FILTER (r_regionkey % 2 <> 0) AS names FROM region)
  SELECT '{"inference_readiness":"' || CASE WHEN n = 0 THEN 'ready' ELSE 'not_ready' END || '","liveness":"ok","missing_artifacts":[' || coalesce(names, '') || ']}' AS payload,

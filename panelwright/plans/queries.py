@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import text
 from panelwright.functions.arrays import argmax, by_label, label_of, normalised, probability_error, softmax
+from panelwright.functions.metrics import RunMetrics
 from panelwright.functions.numeric import finite, fixed, percent, py_round
 from panelwright.functions.plan import settled
 from panelwright.functions.shared import work_dir
@@ -16,6 +17,7 @@ from panelwright.operators import artifacts, features, inputs, physics, predicti
 from panelwright.plans import pipeline
 from panelwright.settings import DEFAULT, IMAGE_MEAN, IMAGE_STD, LABELS, Settings
 from panelwright.sources import adapters, images
+from panelwright.sources.weather_source import weather_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Sizes at which SQL can still resample: the detector's and the classifier's square.
@@ -175,6 +177,16 @@ def weather_join(spark: SparkSession, d: str) -> DataFrame:
     return _joined_weather(spark, d, adapters.table(spark, d, "nation"))
 
 
+def weather_live(spark: SparkSession, d: str) -> DataFrame:
+    """The weather of all cities through the data source, here from recorded answers, and its join to the runs."""
+    cities = [r.n_name for r in adapters.table(spark, d, "nation").select("n_name").collect()]  # one row a nation
+    source = weather_of(spark, cities, get="panelwright.sources.adapters:recorded_answer", pause_s="0")
+    found = settled(weather.parsed(source).where("weather.fetch_successful"), "answers")
+    of_city = found.select("city", *[F.col(f"weather.{c}").alias(c) for c in weather.PATHS])
+    runs = adapters.observations(spark, d).select("run_id", "city")
+    return weather.attached(runs, of_city).select("run_id", "city", *weather.PATHS, "fetch_successful")
+
+
 def detection_flatten(spark: SparkSession, d: str) -> DataFrame:
     """Boxes gathered per image, then flattened again."""
     gathered = adapters.boxes(spark, d).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ord", "box", "confidence", "class_id"))).alias("b"))
@@ -347,6 +359,14 @@ def pipeline_errors(spark: SparkSession, d: str) -> DataFrame:
     return failed.groupBy("error_stage", "error_type", "error_message").agg(F.count("*").alias("n"), F.min("run_id").alias("first_run"))
 
 
+def run_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Where the runs ended, counted while they were written."""
+    metrics = RunMetrics("runs", pipeline.STAGES)
+    runs = metrics.over(_runs(spark, d))
+    metrics.timed(lambda: runs.write.format("noop").mode("overwrite").save())
+    return metrics.table(spark).select("stage", "rows", (F.col("seconds") > 0).alias("timed"))
+
+
 def ui_metrics(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     return _predicted(spark, d).select(
@@ -379,6 +399,17 @@ def manifest_verify(spark: SparkSession, d: str) -> DataFrame:
     return artifacts.entry_errors(entries, files).select("ord", F.coalesce("error", F.lit("")).alias("error"))
 
 
+def manifest_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same manifest against files that are written first: some are missing, one name is a link that leads outside."""
+    entries, files = _manifest(spark, d)
+    root = work_dir(spark, "artifacts")
+    artifacts.write_files(files.join(adapters.table(spark, d, "supplier").select(F.concat(F.lit("m/"), F.col("s_suppkey").cast("string"), F.lit(".bin")).alias("path"), F.col("s_name").cast("binary").alias("content")), "path"), root)
+    linked = entries.withColumn("path", F.when(F.col("ord") % 11 == 7, F.lit("link/1.bin")).otherwise(F.col("path")))
+    artifacts.link_outside(root, "link")
+    checked = artifacts.entry_errors(linked, artifacts.files_of(linked, root)).withColumn("manifest_id", F.lit(1) + F.col("ord") % 3)
+    return artifacts.manifest_reports(checked, 7).select("manifest_id", "ok", F.posexplode_outer("errors").alias("position", "line"))
+
+
 def missing_artifacts(spark: SparkSession, d: str) -> DataFrame:
     entries, files = _manifest(spark, d)
     return entries.join(files, "path", "left_anti").select("ord", "path")
@@ -462,6 +493,7 @@ QUERIES: dict[str, Query] = {
     "weather_parse": weather_parse,
     "weather_fallback": weather_fallback,
     "weather_join": weather_join,
+    "weather_live": weather_live,
     "weather_join_all": weather_join,
     "detection_flatten": detection_flatten,
     "detection_summary": detection_summary,
@@ -494,9 +526,11 @@ QUERIES: dict[str, Query] = {
     "severity_counts": severity_counts,
     "pipeline_run": pipeline_run,
     "pipeline_errors": pipeline_errors,
+    "run_metrics": run_metrics,
     "ui_metrics": ui_metrics,
     "severity_colour": severity_colour,
     "manifest_verify": manifest_verify,
+    "manifest_files": manifest_files,
     "missing_artifacts": missing_artifacts,
     "artifact_readiness": artifact_readiness,
     "predict_pandas": predict_pandas,

@@ -161,6 +161,19 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def recorded_answer(request) -> str:
+    """What the weather service said of a city, made of its name: one fails once, one always, one sends nothing of use."""
+    n = len(request.city)
+    if request.city.startswith("I") or (request.city.startswith("A") and not request.attempt):
+        raise TimeoutError
+    if request.city.startswith("U"):
+        return "{}"
+    return (
+        f'{{"name": "{request.city}", "main": {{"temp": {n * 1.25}, "humidity": {n * 3}, "pressure": {1000 + n}}}, "wind": {{"speed": {n * 0.5}}}, '
+        f'"clouds": {{"all": {n * 4}}}, "coord": {{"lat": {n - 10}, "lon": {n * 7}}}, "dt": {1700000000 + n}, "weather": [{{"description": "clear"}}]}}'
+    )
+
+
 def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names with controls, white space of several kinds, blanks, and long ones."""
     e = F.col("event_id")

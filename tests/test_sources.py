@@ -1,0 +1,156 @@
+"""Weather by a planned source, reports as a sink, digests of real files, metrics of a run."""
+
+import hashlib
+import json
+import os
+import random
+
+import pytest
+from panelwright.functions.metrics import RunMetrics
+from panelwright.operators import artifacts, weather
+from panelwright.sources import report_sink, weather_source
+from pyspark.sql import functions as F
+
+RECORDED = {"get": "panelwright.sources.adapters:recorded_answer", "pause_s": "0"}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_weather_of_cities(spark):
+    cities = ["Oslo", "Iowa", "Aden", "Ulm", "Oslo", "", "a\tb"]
+    got = {r.city: r for r in weather_source.weather_of(spark, cities, **RECORDED).collect()}
+    assert len(got) == 6 and {c: r.error for c, r in got.items()} == {"Oslo": None, "Iowa": "TimeoutError", "Aden": None, "Ulm": None, "": "InvalidCity", "a\tb": "InvalidCity"}
+    assert json.loads(got["Oslo"].payload)["main"]["temp"] == 5.0 and got["Ulm"].payload == "{}" and got["Iowa"].payload is None
+    once = {r.city: r.error for r in weather_source.weather_of(spark, cities, attempts="1", **RECORDED).collect()}
+    assert once["Aden"] == "TimeoutError"
+    parsed = {r.city: r for r in weather.parsed(weather_source.weather_of(spark, cities, **RECORDED)).collect()}
+    assert parsed["Oslo"].weather.fetch_successful and parsed["Iowa"].degraded and parsed["Ulm"].weather.ambient_temp_c == 25.0
+
+
+def test_conditions_on_the_city_reach_the_source(spark, tmp_path):
+    cities = [f"City {i}" for i in range(40)]
+    source = weather_source.weather_of(spark, cities, **RECORDED)
+    assert source.rdd.getNumPartitions() == weather_source.PARTITIONS
+    one = source.where("city = 'City 7'")
+    assert [r.city for r in one.collect()] == ["City 7"] and one.rdd.getNumPartitions() == 1
+    assert "Filter" not in plan_of(one).split("Batch")[0]
+    some = source.where("city in ('City 1', 'City 3', 'Nowhere') and payload is not null")
+    assert sorted(r.city for r in some.collect()) == ["City 1", "City 3"] and some.rdd.getNumPartitions() == 2
+    assert source.where("city = 'Nowhere'").count() == 0
+
+
+def test_an_http_source_without_a_key_asks_nobody(spark, monkeypatch):
+    monkeypatch.delenv(weather_source.KEY, raising=False)
+    fetch = weather_source.Fetcher("http://localhost:1")
+    assert fetch("Oslo") == (None, "NoKey")
+    monkeypatch.setenv(weather_source.KEY, "secret")
+    payload, error = weather_source.Fetcher("http://localhost:1", attempts=2, pause_s=0)("Oslo")
+    assert payload is None and error == "URLError"
+
+
+def test_refusals_are_final(monkeypatch):
+    from urllib.error import HTTPError
+
+    calls = []
+
+    def answer(code):
+        def get(request):
+            calls.append(request.attempt)
+            raise HTTPError("u", code, "m", None, None)
+
+        return get
+
+    for code, attempts in ((401, 1), (404, 1), (429, 3), (503, 3)):
+        calls.clear()
+        monkeypatch.setattr(weather_source, "probe", answer(code), raising=False)
+        assert weather_source.Fetcher("u", get="panelwright.sources.weather_source:probe", pause_s=0)("Oslo") == (None, "HTTPError")
+        assert len(calls) == attempts
+
+
+def test_cities_of_a_table_are_asked_once(spark):
+    df = spark.createDataFrame([("Oslo",)] * 50 + [("Iowa",), (None,), ("Bern",)], "town string").repartition(5)
+    got = weather_source.fetched(df, weather_source.Fetcher("", get=RECORDED["get"], pause_s=0), "town", ways=3).collect()
+    assert sorted((r.city, r.payload is None, r.error) for r in got) == [("Bern", False, None), ("Iowa", True, "TimeoutError"), ("Oslo", False, None)]
+
+
+def lines_of(path):
+    return sorted(line for f in sorted(os.listdir(path)) if f.startswith("part-") for line in (path / f).read_text().splitlines())
+
+
+def test_reports_are_written_with_an_exit_code(spark, tmp_path):
+    rows = spark.createDataFrame([(f"line {i} é", i % 3) for i in range(100)], "line string, code int").repartition(7)
+    assert report_sink.write_report(rows, str(tmp_path / "a")) == 2
+    assert lines_of(tmp_path / "a") == sorted(f"line {i} é" for i in range(100))
+    assert json.loads((tmp_path / "a" / report_sink.STATUS).read_text()) == {"exit_code": 2, "lines": 100}
+    assert report_sink.write_report(rows.where("code > 5"), str(tmp_path / "b")) == 0
+    assert lines_of(tmp_path / "b") == [] and [f for f in os.listdir(tmp_path / "b") if not f.startswith(".")] == [report_sink.STATUS]
+    with pytest.raises(Exception, match="a report needs a path"):
+        rows.write.format("panel_report").mode("append").save()
+
+
+def test_a_failing_task_leaves_no_report(spark, tmp_path):
+    rows = spark.range(200).repartition(4).select(
+        F.when(F.col("id") == 137, F.raise_error(F.lit("broken row"))).otherwise(F.col("id").cast("string")).alias("line"), F.lit(1).alias("code")
+    )
+    with pytest.raises(Exception, match="broken row"):
+        report_sink.write_report(rows, str(tmp_path / "x"))
+    # a task that is stopped late may leave its file, but under a name that isn't read
+    left = os.listdir(tmp_path / "x") if (tmp_path / "x").exists() else []
+    assert all(f.startswith(("_task-", "._task-")) for f in left)
+
+
+def test_readiness_as_a_report(spark, tmp_path):
+    status = spark.createDataFrame([("a", True), ("b", False)], "name string, exists boolean")
+    ready = artifacts.readiness(status).select(F.col("payload").alias("line"), F.col("exit_code").alias("code"))
+    assert report_sink.write_report(ready, str(tmp_path / "r")) == 2
+    assert json.loads(lines_of(tmp_path / "r")[0])["missing_artifacts"] == ["b"]
+
+
+def sha(data):
+    return hashlib.sha256(data).hexdigest()
+
+
+def test_manifests_against_real_files(spark, tmp_path):
+    root = tmp_path / "weights"
+    big = random.Random(1).randbytes(3 * artifacts.PIECE + 17)
+    contents = spark.createDataFrame([("m/a b.bin", b"a"), ("m/big.bin", big), ("m/sub/c", None)], "path string, content binary")
+    artifacts.write_files(contents, str(root))
+    (tmp_path / "outside.bin").write_bytes(b"out")
+    os.symlink(tmp_path, root / "up")
+    os.symlink(root / "m" / "a b.bin", root / "inner")
+    os.symlink(root / "nothing", root / "dead")
+    cases = [
+        ("m/a b.bin", sha(b"a"), None), ("m/big.bin", sha(big).upper(), None), ("m/sub/c", sha(b""), None), ("inner", sha(b"a"), None), ("m/../m/./big.bin", sha(big), None),
+        ("up/outside.bin", sha(b"out"), "artifact path escapes the manifest directory"), ("../outside.bin", sha(b"out"), "artifact path escapes the manifest directory"),
+        (str(tmp_path / "outside.bin"), sha(b"out"), "artifact path must be relative to the manifest directory"), ("m", sha(b""), "artifact missing"), ("dead", sha(b""), "artifact missing"),
+        ("m/none", sha(b""), "artifact missing"), ("m/a b.bin", sha(b"b"), "SHA-256 mismatch"), ("", sha(b""), "artifact entry is missing a valid 'path'"), ("m/big.bin", None, "missing valid SHA-256 digest"),
+    ]
+    entries = spark.createDataFrame([(1, i, p, s) for i, (p, s, _) in enumerate(cases)], "manifest_id int, ord int, path string, sha256 string")
+    checked = artifacts.entry_errors(entries, artifacts.files_of(entries, str(root), ways=3))
+    got = checked.orderBy("ord").collect()
+    assert [r.error for r in got] == [e for *_, e in cases]
+    want = [f"{p}: {e}" if p else e for p, _, e in cases if e]
+    for block in (1, 4, 1000):
+        (report,) = artifacts.manifest_reports(checked, block).collect()
+        assert (report.manifest_id, report.ok, report.errors) == (1, False, want)
+    assert report_sink.write_report(artifacts.report_lines(artifacts.manifest_reports(checked)), str(tmp_path / "report")) == 1
+    assert lines_of(tmp_path / "report") == sorted(f"ERROR: {line}" for line in want)
+    assert {r.path: r.actual for r in artifacts.digests(spark, str(root / "m")).collect()} == {"a b.bin": sha(b"a"), "big.bin": sha(big), "sub/c": sha(b"")}
+
+
+def test_manifests_without_faults_or_entries(spark):
+    rows = [(1, '{"artifacts": [{"path": "a", "sha256": "' + sha(b"a") + '"}]}'), (2, "no json"), (3, '{"artifacts": []}')]
+    parsed = artifacts.manifest_entries(spark.createDataFrame(rows, "manifest_id int, value string"))
+    files = spark.createDataFrame([("a", sha(b"a"))], "path string, actual string")
+    got = {r.manifest_id: (r.ok, r.errors) for r in artifacts.manifest_reports(artifacts.entry_errors(parsed, files)).collect()}
+    assert got[1] == (True, []) and got[2][0] is False and got[3] == (False, ["manifest must contain a non-empty 'artifacts' list"])
+
+
+def test_metrics_of_a_run(spark):
+    metrics = RunMetrics("m", ("a", "b", "c"), "k")
+    df = metrics.over(spark.createDataFrame([("a",)] * 5 + [("b",)] * 2 + [("other",), (None,)], "k string").repartition(3))
+    assert metrics.timed(lambda: df.count()) == 9
+    assert metrics.rows == 9 and metrics.counts() == {"a": 5, "b": 2, "c": 0} and metrics.seconds > 0
+    assert sorted((r.run, r.stage, r.rows) for r in metrics.table(spark).collect()) == [("m", "a", 5), ("m", "b", 2)]
