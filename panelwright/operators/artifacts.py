@@ -39,7 +39,7 @@ def readiness(status: DataFrame) -> DataFrame:
 
 
 def _uri(root: str) -> str:
-    return root if "://" in root or root.startswith("file:") else f"file://{os.path.realpath(root)}"
+    return root if "://" in root or root.startswith("file:") else Path(os.path.realpath(root)).as_uri()
 
 
 def _digest(system, path: str) -> str:
