@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.text import valid_city
@@ -19,6 +19,8 @@ PATHS = {
     "latitude": "coord.lat",
     "longitude": "coord.lon",
 }
+#: Seconds for which an observation stands for the weather of its city.
+LIFETIME_S = 3 * 3600
 #: Seconds since 1970 that a timestamp may have (year 9999).
 MOST_SECONDS = 253402300799
 
@@ -84,3 +86,31 @@ def attached(runs: DataFrame, weather: DataFrame, s: Settings = DEFAULT) -> Data
         .withColumn("fetch_successful", F.col("w").isNotNull())
         .drop("_city", "_of", "w")
     )
+
+
+def as_of(runs: DataFrame, observations: DataFrame, lifetime_s: int = LIFETIME_S, s: Settings = DEFAULT) -> DataFrame:
+    """Runs (``run_id``, ``city``, ``at``) with the latest weather of their city up to then, if it isn't older than ``lifetime_s``.
+
+    ``observations`` has ``city``, ``at`` and the fields. Of several at one time the smallest counts; runs without one, or without
+    city or time, get the defaults. Time is cut into spans of a lifetime: a run looks into its own and the one before, to which end an
+    observation is there twice. So a city's rows are spread over as many tasks as there are spans, and each streams through one sort.
+    """
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    span = F.floor(micros / F.lit(lifetime_s * 1_000_000))
+    fields = F.struct(*[F.col(c).cast("double").alias(c) for c in PATHS])
+    none = F.lit(None)
+    seen = observations.where("city is not null and at is not null").select(
+        "city", F.explode(F.array(span, span + 1)).alias("span"), micros.alias("us"), F.lit(0).alias("kind"), none.cast("long").alias("run_id"), fields.alias("w")
+    )
+    # what can't have weather isn't gathered in one place
+    asked = runs.select(
+        "city", F.when(F.col("city").isNull() | F.col("at").isNull(), F.xxhash64("run_id")).otherwise(span).alias("span"), micros.alias("us"),
+        F.lit(1).alias("kind"), F.col("run_id").cast("long").alias("run_id"), none.cast(seen.schema["w"].dataType).alias("w"),
+    )
+    order = Window.partitionBy("city", "span").orderBy("us", "kind", F.col("w").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.last(F.when(F.col("kind") == 0, F.struct("us", "w")), ignorenulls=True).over(order)
+    both = seen.union(asked).withColumn("latest", latest).where("kind = 1")
+    fresh = F.col("latest.us") >= F.col("us") - F.lit(lifetime_s * 1_000_000)
+    return both.select("run_id", "city", F.when(fresh, F.col("latest.w")).alias("w")).select(
+        "run_id", "city", *[F.coalesce(F.col(f"w.{n}"), F.lit(float(s.weather_defaults[n]))).alias(n) for n in PATHS], F.col("w").isNotNull().alias("fetch_successful")
+    )

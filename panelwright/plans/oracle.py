@@ -6,6 +6,7 @@ import math
 
 from panelwright.operators.regression import BINS, RATE, ROUNDS
 from panelwright.operators.rules import COLOURS, LABEL_FINDINGS, NO_ACTION, SUMMARIES, UNKNOWN_ACTION
+from panelwright.operators.weather import LIFETIME_S
 from panelwright.plans.pipeline import GENERIC
 from panelwright.plans.queries import THUMBNAILS
 from panelwright.settings import FEATURE_RANGES, IMAGE_MEAN, IMAGE_STD, LABELS, MODEL_COLUMNS, MOUNT_TYPES, SOILING, WEATHER_DEFAULTS
@@ -388,6 +389,14 @@ def _stumps(rounds: int = ROUNDS) -> str:
     return " UNION ALL ".join(["SELECT 0 AS round, '' AS feature, NULL::DOUBLE AS edge, base AS below, base AS above FROM base", *rows])
 
 
+_LOG_FIELDS = {c: 41 + 2 * i for i, c in enumerate(("ambient_temp_c", "humidity_pct", "wind_speed_ms", "cloud_cover_pct", "pressure_hpa", "latitude", "longitude"))}
+AS_OF = f"""WITH e AS (SELECT * FROM events JOIN nation ON n_nationkey = event_id % 25),
+r AS (SELECT event_id AS run_id, CASE WHEN event_id % 97 <> 0 THEN n_name END AS city, ts FROM e),
+w AS (SELECT n_name AS city, ts AS seen, {", ".join(f"(event_id % {m})::DOUBLE AS {c}" for c, m in _LOG_FIELDS.items())} FROM e WHERE event_type = 'view')
+SELECT run_id, r.city, {", ".join(f"CASE WHEN seen >= ts - INTERVAL {LIFETIME_S} SECONDS THEN {c} ELSE {num(WEATHER_DEFAULTS[c])} END AS {c}" for c in _LOG_FIELDS)},
+  coalesce(seen >= ts - INTERVAL {LIFETIME_S} SECONDS, false) AS fetch_successful
+FROM r ASOF LEFT JOIN w ON r.city = w.city AND r.ts >= w.seen"""
+
 #: Queries that would take SQL too long or that it can't express; tests compare them with brute force.
 WITHOUT_SQL = ("image_inputs", "image_runs")
 
@@ -474,6 +483,8 @@ ORACLE: dict[str, str] = {
         "SELECT o.run_id, o.city, coalesce(n.n_nationkey*1.5e0, 25e0) AS ambient_temp_c, coalesce(n.n_nationkey + 1000e0, 1013.25e0) AS pressure_hpa, "
         "coalesce(n.n_nationkey*7e0, 0e0) AS longitude, n.n_nationkey IS NOT NULL AS fetch_successful FROM @ o LEFT JOIN nation n ON n.n_name = o.city"
     ),
+    "weather_as_of": AS_OF,
+    "weather_as_of_stream": AS_OF,
     "weather_live": observed()
     .add(n="length(city)", ok_="NOT starts_with(city, 'I') AND NOT starts_with(city, 'U')")
     .sql(

@@ -22,6 +22,8 @@ from panelwright.sources.weather_source import weather_of
 Query = Callable[[SparkSession, str], DataFrame]
 #: Sizes at which SQL can still resample: the detector's and the classifier's square.
 THUMBNAILS = (24, 16)
+#: Parts in which a log is replayed; the stream is started anew for each.
+LOG_PARTS = 4
 PLACES = 9  # of floats that depend on the platform's exp or division order
 
 
@@ -465,6 +467,33 @@ def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{out}/data")
 
 
+def weather_as_of(spark: SparkSession, d: str) -> DataFrame:
+    return weather.as_of(*adapters.weather_log(spark, d))
+
+
+def weather_as_of_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stream in which observations arrive up to ten minutes late, and which goes on from its checkpoint; a last row closes the log."""
+    from panelwright.streaming import weather_state as state
+    from panelwright.streaming.replay import run_available, stream_of
+
+    runs, seen = adapters.weather_log(spark, d)
+    fields = list(weather.PATHS)
+    rows = runs.select(F.lit(state.RUN).alias("kind"), "city", "at", "run_id", *[F.lit(None).cast("double").alias(c) for c in fields], F.col("at").alias("arrival")).union(
+        seen.select(F.lit(state.OBSERVATION), "city", "at", F.lit(None).cast("long"), *fields, F.timestamp_micros(F.unix_micros("at") + F.col("event_id") * 37 % 600 * 1_000_000))
+    )
+    like, us = rows.drop("arrival"), F.unix_micros("arrival")
+    ends = rows.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
+    lo, hi = ends.lo or 0, (ends.hi or 0) + 1
+    last = {"kind": F.lit(2), "at": F.timestamp_micros(F.lit(hi + 86_400_000_000))}
+    closing = spark.range(1).select(*[last.get(c, F.lit(None)).cast(like.schema[c].dataType).alias(c) for c in like.columns])
+    parts = [rows.where(us.between(lo + (hi - lo) * k // LOG_PARTS, lo + (hi - lo) * (k + 1) // LOG_PARTS - 1)).drop("arrival") for k in range(LOG_PARTS)]
+    out = work_dir(spark, "weather-log")
+    for k, part in enumerate([*parts, closing]):
+        part.write.parquet(f"{out}/log/{k}")
+        run_available(stream_of(spark, f"{out}/log/*", like), lambda r: state.as_of_stream(r, "15 minutes"), f"{out}/data", f"{out}/state")
+    return spark.read.parquet(f"{out}/data")
+
+
 QUERIES: dict[str, Query] = {
     "cloud_factor": _steps("cloud_factor"),
     "wind_cooling": _steps("wind_cooling_factor"),
@@ -494,6 +523,8 @@ QUERIES: dict[str, Query] = {
     "weather_fallback": weather_fallback,
     "weather_join": weather_join,
     "weather_live": weather_live,
+    "weather_as_of": weather_as_of,
+    "weather_as_of_stream": weather_as_of_stream,
     "weather_join_all": weather_join,
     "detection_flatten": detection_flatten,
     "detection_summary": detection_summary,

@@ -161,6 +161,17 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def weather_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as runs (``run_id``, ``city``, ``at``), and those of type ``view`` as weather observations of their city, too."""
+    e, n = F.col("event_id"), F.col("n_nationkey")
+    events = table(spark, sf_dir, "events").join(table(spark, sf_dir, "nation"), n == e % 25)
+    at = F.col("ts").cast("timestamp").alias("at")
+    runs = events.select(e.alias("run_id"), F.when(e % 97 != 0, F.col("n_name")).alias("city"), at)
+    names = ("ambient_temp_c", "humidity_pct", "wind_speed_ms", "cloud_cover_pct", "pressure_hpa", "latitude", "longitude")
+    values = [(e % (41 + 2 * i)).cast("double").alias(c) for i, c in enumerate(names)]
+    return runs, events.where("event_type = 'view'").select(F.col("n_name").alias("city"), at, e.alias("event_id"), *values)
+
+
 def recorded_answer(request) -> str:
     """What the weather service said of a city, made of its name: one fails once, one always, one sends nothing of use."""
     n = len(request.city)
