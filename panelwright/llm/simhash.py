@@ -1,13 +1,14 @@
 """Near-duplicate documents by SimHash.
 
-Fingerprints are embedded as the bit counts of sixteen 4-bit segments. The Manhattan distance of
-two embeddings never exceeds the Hamming distance of the fingerprints, so it bounds it from below.
-Candidates come from a grid: its coordinates are b - 4 of b blocks of the fingerprint (by
-pigeonhole, two fingerprints with at most four differing bits agree in that many blocks, that is,
-their distance there is zero), the Manhattan bound then thins them out, and the exact Hamming
-distance decides. A grid on bit counts alone would have to visit about 0.8 % of all pairs. The
-number of blocks follows the number of fingerprints, so that a fingerprint meets a few chance neighbours
-at any size; which pairs are found doesn't depend on it.
+Fingerprints are embedded as the bit counts of their segments. The Manhattan distance of two embeddings
+never exceeds the Hamming distance of the fingerprints, so it bounds it from below: whoever is within
+four differing bits is within a distance of four there.
+
+The grid join of that range: the segments are split into b groups, and embeddings within a distance of four agree in
+at least b - 4 of them, as each unit of distance spoils one group at most. So the cells are the counts in every choice of b - 4 groups;
+those who share a cell are candidates, the Manhattan distance over all segments thins them out, and the exact Hamming
+distance decides. Segments are two bits wide, and one bit for the largest tables; their width and the number of groups follow
+the number of fingerprints, so that a fingerprint meets a few chance neighbours at any size. Which pairs are found doesn't depend on it.
 
 Equal fingerprints are one node, so copies make no pairs; the graph knows fingerprints only, ids come in last.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,13 @@ from panelwright.llm.common import connected_components, stored, table
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_BITS = 4
-#: Chance neighbours of a fingerprint that are fine, and blocks at least and at most.
+#: Chance neighbours of a fingerprint that are fine, and groups of segments at least and at most.
 CHANCE = 4
-FEWEST_BLOCKS, MOST_BLOCKS = 6, 10
-SEGMENT_BITS = 4
+FEWEST_GROUPS, MOST_GROUPS = 6, 10
+#: Widths of segments, and how likely the counts of two random ones are equal.
+EQUAL = {2: 0.375, 1: 0.5}
+#: The lower bit of every two.
+LOW = 0x5555555555555555
 
 
 def shingle_hashes(text: bytes | None, size: int = SHINGLE_WORDS) -> list[int]:
@@ -77,49 +82,71 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def blocks_for(n: int, max_bits: int = MAX_BITS) -> int:
-    """The fewest blocks with which ``n`` random fingerprints have at most CHANCE candidates each."""
-    if max_bits > MOST_BLOCKS - 2:
-        raise ValueError("more differing bits than the blocks can cover")
-    for b in range(max(FEWEST_BLOCKS, max_bits + 1), MOST_BLOCKS):
-        if n * comb(b, b - max_bits) <= CHANCE * 2.0 ** (64 * (b - max_bits) / b):
-            return b
-    return MOST_BLOCKS
+class Grid(NamedTuple):
+    """Segments of ``width`` bits in so many ``groups``."""
+
+    width: int
+    groups: int
+
 
+def grid_for(n: int, max_bits: int = MAX_BITS) -> Grid:
+    """The widest segments in the fewest groups with which ``n`` random fingerprints have at most CHANCE candidates each."""
+    if max_bits > MOST_GROUPS - 2:
+        raise ValueError("more differing bits than the groups can cover")
+    for width, equal in EQUAL.items():
+        for groups in range(max(FEWEST_GROUPS, max_bits + 1), MOST_GROUPS + 1):
+            alike = groups - max_bits
+            if n * comb(groups, alike) * equal ** (64 / width * alike / groups) <= CHANCE:
+                return Grid(width, groups)
+    return Grid(1, MOST_GROUPS)
 
-def cell_masks(blocks: int, max_bits: int = MAX_BITS) -> list[int]:
-    """For each choice of ``blocks`` - ``max_bits`` blocks the bits in them, as longs."""
-    ends = [64 * i // blocks for i in range(blocks + 1)]
+
+def cell_masks(grid: Grid, max_bits: int = MAX_BITS) -> list[int]:
+    """For each choice of ``groups`` - ``max_bits`` groups their bits in an embedding, as longs."""
+    segments = 64 // grid.width
+    ends = [grid.width * (segments * i // grid.groups) for i in range(grid.groups + 1)]
     each = [(1 << hi) - (1 << lo) for lo, hi in zip(ends, ends[1:])]
-    found = [sum(c) for c in combinations(each, blocks - max_bits)]
+    found = [sum(c) for c in combinations(each, grid.groups - max_bits)]
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
-def _segments(fp: Column) -> Column:
-    """The embedding, packed: bit counts of 4-bit segments, each below 5."""
-    return F.array(
-        *[F.bit_count(F.shiftrightunsigned(fp, low).bitwiseAND(15)) for low in range(0, 64, SEGMENT_BITS)]
-    )
+def embedded(fp: Column, width: int) -> Column:
+    """The bit counts of all segments, packed in a long: two bits for each segment of two, where 3 doesn't occur."""
+    if width == 1:
+        return fp
+    high = F.shiftrightunsigned(fp, 1)
+    low = F.lit(LOW)
+    return fp.bitwiseXOR(high).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(high).bitwiseAND(low), 1))
 
 
-def _manhattan(a: Column, b: Column) -> Column:
-    return sum((F.abs(a[i] - b[i]) for i in range(1, 64 // SEGMENT_BITS)), F.abs(a[0] - b[0]))
+def manhattan(a: Column, b: Column, width: int) -> Column:
+    """Distance of two embeddings: counts that differ by one have different last bits, those that differ by two only different first ones."""
+    apart = a.bitwiseXOR(b)
+    if width == 1:
+        return F.bit_count(apart)
+    ones = apart.bitwiseAND(F.lit(LOW))
+    twos = F.shiftrightunsigned(apart, 1).bitwiseAND(F.lit(LOW)).bitwiseAND(F.bitwise_not(ones))
+    return F.bit_count(ones) + 2 * F.bit_count(twos)
 
 
-def print_links(nodes: DataFrame, masks: list[int], max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs ``a`` < ``b`` of distinct fingerprints (``fp``) within ``max_bits``. Each pair comes once: only its first common grid cell emits it."""
-    cells = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "cell"))
-    a = cells.select(F.col("band").alias("band_a"), F.col("cell").alias("cell_a"), F.col("fp").alias("a"))
-    b = cells.select("band", "cell", F.col("fp").alias("b"))
-    apart = F.col("a").bitwiseXOR(F.col("b"))
+def print_links(nodes: DataFrame, grid: Grid, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs ``a`` < ``b`` of distinct fingerprints (``fp``) within ``max_bits``. Each pair comes once: only its first common cell emits it."""
+    masks = cell_masks(grid, max_bits)
+    cells = nodes.withColumn("e", embedded(F.col("fp"), grid.width)).select(
+        "fp", F.posexplode(F.array(*[F.col("e").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "cell")
+    )
+    a = cells.select(F.col("choice").alias("choice_a"), F.col("cell").alias("cell_a"), F.col("fp").alias("a"))
+    b = cells.select("choice", "cell", F.col("fp").alias("b"))
+    ea, eb = embedded(F.col("a"), grid.width), embedded(F.col("b"), grid.width)
+    apart = ea.bitwiseXOR(eb)
     first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(masks)])
     near = (
         (F.col("a") < F.col("b"))
-        & (_manhattan(_segments(F.col("a")), _segments(F.col("b"))) <= max_bits)
-        & (F.bit_count(apart) <= max_bits)
-        & (first == F.col("band_a"))
+        & (manhattan(ea, eb, grid.width) <= max_bits)
+        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+        & (first == F.col("choice_a"))
     )
-    return a.join(b, (F.col("band_a") == F.col("band")) & (F.col("cell_a") == F.col("cell")) & near).select("a", "b")
+    return a.join(b, (F.col("choice_a") == F.col("choice")) & (F.col("cell_a") == F.col("cell")) & near).select("a", "b")
 
 
 def _nodes(prints: DataFrame) -> DataFrame:
@@ -133,7 +160,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     Fingerprints whose rows have no id, and pairs with one id for both, aren't shown; ``components`` links them, too.
     """
     nodes = _nodes(prints)
-    pairs = print_links(nodes, cell_masks(blocks_for(nodes.count(), max_bits), max_bits), max_bits)
+    pairs = print_links(nodes, grid_for(nodes.count(), max_bits), max_bits)
     of = lambda side: nodes.select(F.col("fp").alias(side), F.col("node").alias(f"id_{side}"))
     return (
         pairs.join(of("a"), "a").join(of("b"), "b").where("id_a <> id_b")
@@ -148,7 +175,7 @@ def components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     id, or null if no row there has one. Rows of one id with different texts are joined only by what their texts are.
     """
     nodes = _nodes(prints)
-    groups = connected_components(print_links(nodes, cell_masks(blocks_for(nodes.count(), max_bits), max_bits), max_bits))
+    groups = connected_components(print_links(nodes, grid_for(nodes.count(), max_bits), max_bits))
     of_print = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("root"))
     least = of_print.groupBy("root").agg(F.min("node").alias("component_id"))
     of_print = stored(of_print.join(least, "root").select("fp", "component_id"), "print-components")

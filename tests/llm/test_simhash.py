@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from panelwright.llm import simhash as S
 from panelwright.llm.common import connected_components
+from pyspark.sql import functions as F
 
 
 def fingerprint(text):
@@ -95,26 +96,53 @@ def test_null_and_shared_ids(spark):
     assert len(rows) == 4 and [r.component_id for r in rows if r.doc_id is None] == [None, None] and {r.component_id for r in rows if r.doc_id} == {4}
 
 
-@pytest.mark.parametrize("blocks", [6, 7, 8, 10])
-def test_any_number_of_blocks_finds_the_same_pairs(spark, blocks):
-    rng = random.Random(blocks)
+@pytest.mark.parametrize("grid", [S.Grid(2, 6), S.Grid(2, 8), S.Grid(2, 10), S.Grid(1, 6), S.Grid(1, 7), S.Grid(1, 10)])
+def test_any_grid_finds_the_same_pairs(spark, grid):
+    rng = random.Random(grid.groups)
     base = [rng.getrandbits(64) for _ in range(12)]
     prints = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(7))) for b in base for _ in range(12)}
     signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
     nodes = spark.createDataFrame([(p,) for p in signed], "fp long")
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 4}
-    found = [tuple(r) for r in S.print_links(nodes, S.cell_masks(blocks)).collect()]
+    found = [tuple(r) for r in S.print_links(nodes, grid).collect()]
     assert set(found) == want and len(found) == len(want) and want
 
 
+def test_embedding_and_its_distance(spark):
+    """Bit counts of segments, and a distance that is that of the counts and never above that of the fingerprints."""
+    rng = random.Random(3)
+    pairs = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(300)] + [(0, (1 << 64) - 1), (1 << 63, 1 << 62)]
+    pairs += [(a, a ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64)) for a, _ in pairs]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(i, signed(a), signed(b)) for i, (a, b) in enumerate(pairs)], "i int, a long, b long")
+    for width in S.EQUAL:
+        ea, eb = (S.embedded(F.col(c), width) for c in "ab")
+        counts = lambda v: [(v >> k & (1 << width) - 1).bit_count() for k in range(0, 64, width)]  # noqa: B023, E731
+        for r in df.select("i", ea.alias("ea"), S.manhattan(ea, eb, width).alias("d")).collect():
+            a, b = pairs[r.i]
+            unpacked = [r.ea % (1 << 64) >> k & (1 << width) - 1 for k in range(0, 64, width)]
+            assert unpacked == counts(a)
+            assert r.d == sum(abs(x - y) for x, y in zip(counts(a), counts(b))) <= (a ^ b).bit_count()
+
+
 def test_candidates_do_not_grow_with_the_table():
-    """Chance candidates of a fingerprint, by the number of cells it shares with others, at any number of rows."""
-    chosen = []
-    for n in (10**3, 10**5, 10**7, 10**9, 10**10):
-        b = S.blocks_for(n)
-        chosen.append(b)
-        assert b == S.MOST_BLOCKS or n * len(S.cell_masks(b)) / 2 ** (64 * (b - 4) / b) <= S.CHANCE
-    assert chosen == sorted(chosen) and chosen[0] == 6 and chosen[-1] > 7
-    assert all(sum(m.bit_count() if m >= 0 else (m + (1 << 64)).bit_count() for m in S.cell_masks(b)) for b in range(6, 11))
+    """Chance candidates of a fingerprint, by the cells it shares with others, at any number of rows."""
+    chosen = [S.grid_for(n) for n in (10**3, 10**5, 10**6, 10**7, 10**9, 10**10)]
+    for n, grid in zip((10**3, 10**5, 10**6, 10**7, 10**9), chosen):
+        alike = S.EQUAL[grid.width] ** (64 / grid.width * (grid.groups - 4) / grid.groups)
+        assert n * len(S.cell_masks(grid)) * alike <= S.CHANCE
+    assert chosen[0].width == 2 and chosen[-1].width == 1 and [c.width for c in chosen] == sorted((c.width for c in chosen), reverse=True)
     with pytest.raises(ValueError):
-        S.blocks_for(10, 9)
+        S.grid_for(10, 9)
+
+
+def test_measured_candidates_of_two_sizes(spark):
+    """Pairs that share a cell, of random fingerprints: about as many a fingerprint in the larger table."""
+    shared = {}
+    for n in (2000, 16000):
+        grid = S.grid_for(n)
+        nodes = spark.range(n).select(F.xxhash64("id").alias("fp"))
+        masks = S.cell_masks(grid)
+        cells = nodes.select(F.posexplode(F.array(*[S.embedded(F.col("fp"), grid.width).bitwiseAND(F.lit(m)) for m in masks])).alias("k", "cell"))
+        shared[n] = cells.groupBy("k", "cell").count().agg(F.sum(F.expr("count * (count - 1)"))).first()[0] / n
+    assert all(v <= 1.5 * S.CHANCE for v in shared.values())
