@@ -10,7 +10,7 @@ from panelwright.llm.bpe import op10_bpe
 from panelwright.llm.centroids import CENTROIDS, ROUNDS, op13_centroids
 from panelwright.llm.html_text import op6_html
 from panelwright.llm.langid import op4_langid
-from panelwright.llm.licenses import op3_licenses
+from panelwright.llm.licenses import BASE, op3_licenses
 from panelwright.llm.media import op2_media
 from panelwright.llm.packing import op5_packing
 from panelwright.llm.quality import op8_quality
@@ -36,6 +36,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_centroids": op13_centroids,
 }
 
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op3_licenses`` says of the base phrases."""
+    return op3_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op8_quality`` counts, and the base rule's verdict."""
+    return op8_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES |= {"license_base": license_base, "quality_counts": quality_counts}
+
 _USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
 
@@ -63,6 +77,33 @@ c{i + 1} AS MATERIALIZED (
 
 #: Of the others, SQL lacks the hash, the image format, the tokenizer, the parser, the sketch or the learnt model.
 ORACLE_SQL: dict[str, str] = {
+    "license_base": rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+),
+places AS (
+  SELECT doc_id, len(w) AS n_words, {", ".join(f"list_filter(range(len(w)), lambda i: w[i + 1 : i + {len(p.split())}] = {p.split()!r}) AS p{k}" for k, p in enumerate(BASE))} FROM d
+)
+SELECT doc_id, n_words, ({" + ".join(f"len(p{k})" for k in range(len(BASE)))})::BIGINT AS n_base,
+  least({", ".join(f"list_min(p{k})" for k in range(len(BASE)))}) AS first_word, greatest({", ".join(f"list_max(p{k})" for k in range(len(BASE)))}) AS last_word,
+  array_to_string(list_sort(list_distinct(list_filter([{", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(BASE.values()))}], lambda v: v IS NOT NULL))), ',') AS base_labels
+FROM places
+""",
+    "quality_counts": r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+five AS (SELECT r, i, w[i + 1 : i + 5] AS x FROM (SELECT r, w, unnest(range(len(w) - 4)) AS i FROM d)),
+twice AS (SELECT r, x FROM five GROUP BY r, x HAVING count(*) > 1),
+covered AS (SELECT DISTINCT r, unnest(range(i, i + 5)) AS p FROM five SEMI JOIN twice USING (r, x)),
+rep AS (SELECT r, count(*) AS n FROM covered GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  len(w) < 10 OR 100 * coalesce(rep.n, 0) > 20 * len(w) AS base_failed
+FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r)
+""",
     "op1_suffix_array": """
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents

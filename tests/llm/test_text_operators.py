@@ -23,6 +23,17 @@ def base_scan(text):
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
 
 
+@pytest.mark.parametrize("name", ["license_base", "quality_counts"])
+def test_counts_match_sql(spark, sf_dir, name):
+    import duckdb
+    from panelwright.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.sql(ORACLE_SQL[name])
+    assert sorted(map(tuple, QUERIES[name](spark, sf_dir).select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 LICENCE_TEXTS = [
     None, "", "MIT License", "the mit-license. And CC BY cc_by CC/BY 4.0", "xmit license mit licenses", "GNU\tGeneral\n\nPublic   License, Apache License",
     "cc by cc by cc by", "apache   LİCENSE apache license", "gnu general public mit license", "é" * 50 + " cc by é", "a" * 100000 + " mit license",
