@@ -182,13 +182,17 @@ def _taps(size: int, out: int) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(at, size - 1), np.floor(0.5 + weight * (1 << WEIGHT_BITS)).astype(np.int32)
 
 
-def _along(pixels: np.ndarray, out: int) -> np.ndarray:
-    """Resampled along the second axis; rounded to bytes."""
-    at, weight = _taps(pixels.shape[1], out)
-    total = np.full((pixels.shape[0], out, pixels.shape[2]), 1 << (WEIGHT_BITS - 1), np.int32)
+def _along(pixels: np.ndarray, out: int, axis: int) -> np.ndarray:
+    """Resampled along an axis; rounded to bytes."""
+    at, weight = _taps(pixels.shape[axis], out)
+    shape = list(pixels.shape)
+    shape[axis] = out
+    total = np.full(shape, 1 << (WEIGHT_BITS - 1), np.int32)
+    beside = (-1, 1, 1) if axis == 0 else (1, -1, 1)
     for k in range(at.shape[1]):
-        total += pixels[:, at[:, k]] * weight[:, k, None]
-    return np.clip(total >> WEIGHT_BITS, 0, 255).astype(np.uint8)
+        total += np.take(pixels, at[:, k], axis=axis) * weight[:, k].reshape(beside)
+    total >>= WEIGHT_BITS
+    return np.clip(total, 0, 255, out=total).astype(np.uint8)
 
 
 def resized(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
@@ -196,9 +200,9 @@ def resized(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     if width < 1 or height < 1:
         raise ValueError("height and width must be > 0")
     if width != pixels.shape[1]:
-        pixels = _along(pixels, width)
+        pixels = _along(pixels, width, 1)
     if height != pixels.shape[0]:
-        pixels = _along(pixels.swapaxes(0, 1), height).swapaxes(0, 1)
+        pixels = _along(pixels, height, 0)
     return pixels
 
 
