@@ -7,8 +7,8 @@ four differing bits is within a distance of four there.
 The grid join of that range: the segments are split into b groups, and embeddings within a distance of four agree in
 at least b - 4 of them, as each unit of distance spoils one group at most. So the cells are the counts in every choice of b - 4 groups;
 those who share a cell are candidates, the Manhattan distance over all segments thins them out, and the exact Hamming
-distance decides. Segments are two bits wide, and one bit for the largest tables; their width and the number of groups follow
-the number of fingerprints, so that a fingerprint meets a few chance neighbours at any size. Which pairs are found doesn't depend on it.
+distance decides. Segments are two bits wide, and one bit from some hundred thousand fingerprints on; their width and the number of groups
+follow the number of fingerprints, so that a fingerprint meets a few chance neighbours at any size. Which pairs are found doesn't depend on it.
 
 Equal fingerprints are one node, so copies make no pairs; the graph knows fingerprints only, ids come in last.
 """
@@ -30,10 +30,9 @@ from panelwright.llm.common import connected_components, stored, table
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_BITS = 4
-#: Chance neighbours of a fingerprint that are fine, and groups of segments at least and at most.
+#: Chance neighbours of a fingerprint that are fine.
 CHANCE = 4
-FEWEST_GROUPS, MOST_GROUPS = 6, 10
-#: Widths of segments, and how likely the counts of two random ones are equal.
+#: How likely the counts of two random segments of a width are equal.
 EQUAL = {2: 0.375, 1: 0.5}
 #: The lower bit of every two.
 LOW = 0x5555555555555555
@@ -89,16 +88,19 @@ class Grid(NamedTuple):
     groups: int
 
 
+#: From the coarsest on.
+GRIDS = (Grid(2, 8), Grid(1, 7), Grid(1, 8), Grid(1, 9), Grid(1, 10))
+
+
 def grid_for(n: int, max_bits: int = MAX_BITS) -> Grid:
-    """The widest segments in the fewest groups with which ``n`` random fingerprints have at most CHANCE candidates each."""
-    if max_bits > MOST_GROUPS - 2:
+    """The first grid in which ``n`` random fingerprints have at most CHANCE candidates each."""
+    if max_bits > GRIDS[-1].groups - 2:
         raise ValueError("more differing bits than the groups can cover")
-    for width, equal in EQUAL.items():
-        for groups in range(max(FEWEST_GROUPS, max_bits + 1), MOST_GROUPS + 1):
-            alike = groups - max_bits
-            if n * comb(groups, alike) * equal ** (64 / width * alike / groups) <= CHANCE:
-                return Grid(width, groups)
-    return Grid(1, MOST_GROUPS)
+    for width, groups in GRIDS:
+        alike = groups - max_bits
+        if alike > 0 and n * comb(groups, alike) * EQUAL[width] ** (64 / width * alike / groups) <= CHANCE:
+            return Grid(width, groups)
+    return GRIDS[-1]
 
 
 def cell_masks(grid: Grid, max_bits: int = MAX_BITS) -> list[int]:
