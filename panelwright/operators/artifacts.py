@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.text import is_sha256
-from panelwright.schemas import MANIFEST
-
 #: Bytes that are hashed at a time.
 PIECE = 1 << 20
 
@@ -149,15 +147,29 @@ def link_outside(root: str, name: str) -> None:
 
 
 def manifest_entries(manifests: DataFrame) -> DataFrame:
-    """Text of manifests (``manifest_id``, ``value``) to entries in order, or one row with ``manifest_error``."""
-    parsed = manifests.withColumn("m", F.from_json("value", MANIFEST))
-    return parsed.select(
+    """Text of manifests (``manifest_id``, ``value``) to entries in order, or one row with ``manifest_error``.
+
+    ``entry_error`` tells entries that are no objects; a path or digest that is no text is null.
+    """
+    parsed = manifests.withColumn("m", F.try_parse_json("value"))
+    entries = parsed.select(
+        "manifest_id", F.col("m").isNull().alias("broken"), F.try_variant_get("m", "$.artifacts", "array<variant>").alias("artifacts")
+    )
+    each = entries.select(
         "manifest_id",
-        F.when(F.col("m").isNull(), "invalid manifest")
-        .when(F.coalesce(F.size("m.artifacts"), F.lit(0)) <= 0, "manifest must contain a non-empty 'artifacts' list")
+        F.when(F.col("broken"), "invalid manifest: JSONDecodeError")
+        .when(F.coalesce(F.size("artifacts"), F.lit(0)) <= 0, "manifest must contain a non-empty 'artifacts' list")
         .alias("manifest_error"),
-        F.posexplode_outer("m.artifacts").alias("ord", "entry"),
-    ).select("manifest_id", "manifest_error", "ord", F.col("entry.path").alias("path"), F.col("entry.sha256").alias("sha256"))
+        F.posexplode_outer("artifacts").alias("ord", "entry"),
+    )
+
+    def text(name: str) -> Column:
+        is_text = F.schema_of_variant(F.try_variant_get("entry", f"$.{name}", "variant")) == "STRING"
+        return F.when(is_text, F.try_variant_get("entry", f"$.{name}", "string")).alias(name)
+
+    is_object = F.schema_of_variant("entry").startswith("OBJECT")
+    wrong = F.when(F.col("ord").isNotNull() & ~F.coalesce(is_object, F.lit(False)), "artifact entry must be an object")
+    return each.select("manifest_id", "manifest_error", "ord", wrong.alias("entry_error"), text("path"), text("sha256"))
 
 
 def path_error(path: Column) -> Column:
@@ -183,12 +195,17 @@ def confined(root: str, relative: str) -> bool:
 
 
 def entry_errors(entries: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds ``error``: each entry's first failing check; null if its file has the digest. ``files``: ``path``, ``actual``, and maybe ``escapes``."""
+    """Adds ``error``: each entry's first failing check; null if its file has the digest. ``files``: ``path``, ``actual``, and maybe ``escapes``.
+
+    An ``entry_error`` of ``manifest_entries`` comes before all checks.
+    """
+    known = F.col("entry_error") if "entry_error" in entries.columns else F.lit(None).cast("string")
     joined = entries.join(files, "path", "left")
     escapes = F.col("escapes") if "escapes" in files.columns else F.lit(False)
     found = joined.withColumn(
         "error",
-        F.when(F.coalesce(F.col("path"), F.lit("")) == "", "artifact entry is missing a valid 'path'")
+        F.when(known.isNotNull(), known)
+        .when(F.coalesce(F.col("path"), F.lit("")) == "", "artifact entry is missing a valid 'path'")
         .when(~is_sha256(F.col("sha256")), "missing valid SHA-256 digest")
         .when(path_error(F.col("path")).isNotNull(), path_error(F.col("path")))
         .when(escapes, "artifact path escapes the manifest directory")

@@ -7,7 +7,6 @@ WEATHER_PAYLOAD = (
     "clouds struct<all:string>, coord struct<lat:string,lon:string>, dt string, "
     "weather array<struct<description:string>>"
 )
-MANIFEST = "artifacts array<struct<path:string,sha256:string>>"
 RECOMMENDATION = "struct<severity:string,message:string,action:string>"
 OBSERVATION = (
     "run_id long, observation_time timestamp_ntz, city string, latitude double, longitude double, "

@@ -140,12 +140,21 @@ def test_manifests_against_real_files(spark, tmp_path):
     assert {r.path: r.actual for r in artifacts.digests(spark, str(root / "m")).collect()} == {"a b.bin": sha(b"a"), "big.bin": sha(big), "sub/c": sha(b"")}
 
 
-def test_manifests_without_faults_or_entries(spark):
-    rows = [(1, '{"artifacts": [{"path": "a", "sha256": "' + sha(b"a") + '"}]}'), (2, "no json"), (3, '{"artifacts": []}')]
-    parsed = artifacts.manifest_entries(spark.createDataFrame(rows, "manifest_id int, value string"))
+def test_manifests_of_every_shape(spark):
+    good = '{"path": "a", "sha256": "' + sha(b"a") + '"}'
+    empty = "manifest must contain a non-empty 'artifacts' list"
+    cases = [
+        (f'{{"artifacts": [{good}]}}', []), ("no json", ["invalid manifest: JSONDecodeError"]), ("", ["invalid manifest: JSONDecodeError"]), ('{"artifacts": []}', [empty]),
+        ("[1]", [empty]), ("null", [empty]), ("{}", [empty]), ('{"artifacts": {"path": "a"}}', [empty]), ('{"artifacts": "a"}', [empty]),
+        (f'{{"artifacts": [7, {good}, "x", null, [1]]}}', ["artifact entry must be an object"] * 4),
+        (f'{{"artifacts": [{{"path": 5, "sha256": "x"}}, {{"sha256": "x"}}, {{"path": "b"}}, {{"path": "b", "sha256": 7}}, {good}]}}',
+         ["artifact entry is missing a valid 'path'"] * 2 + ["b: missing valid SHA-256 digest"] * 2),
+    ]
+    parsed = artifacts.manifest_entries(spark.createDataFrame([(i, v) for i, (v, _) in enumerate(cases)], "manifest_id int, value string"))
     files = spark.createDataFrame([("a", sha(b"a"))], "path string, actual string")
     got = {r.manifest_id: (r.ok, r.errors) for r in artifacts.manifest_reports(artifacts.entry_errors(parsed, files)).collect()}
-    assert got[1] == (True, []) and got[2][0] is False and got[3] == (False, ["manifest must contain a non-empty 'artifacts' list"])
+    # a manifest that can't be read has one line, whatever is wrong with its absent entries
+    assert got == {i: (not errors, errors) for i, (_, errors) in enumerate(cases)}
 
 
 def test_metrics_of_a_run(spark):
