@@ -132,7 +132,10 @@ def manhattan(a: Column, b: Column, width: int) -> Column:
 
 
 def print_links(nodes: DataFrame, grid: Grid, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs ``a`` < ``b`` of distinct fingerprints (``fp``) within ``max_bits``. Each pair comes once: only its first common cell emits it."""
+    """Pairs ``a`` < ``b`` of distinct fingerprints (``fp``) within ``max_bits``. Each pair comes once: only its first common cell emits it.
+
+    Spark takes the cells to be as small as the nodes' file, as it doesn't know how many rows a node makes; so the join is told to sort.
+    """
     masks = cell_masks(grid, max_bits)
     cells = nodes.withColumn("e", embedded(F.col("fp"), grid.width)).select(
         "fp", F.posexplode(F.array(*[F.col("e").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "cell")
@@ -148,7 +151,7 @@ def print_links(nodes: DataFrame, grid: Grid, max_bits: int = MAX_BITS) -> DataF
         & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
         & (first == F.col("choice_a"))
     )
-    return a.join(b, (F.col("choice_a") == F.col("choice")) & (F.col("cell_a") == F.col("cell")) & near).select("a", "b")
+    return a.join(b.hint("merge"), (F.col("choice_a") == F.col("choice")) & (F.col("cell_a") == F.col("cell")) & near).select("a", "b")
 
 
 def _nodes(prints: DataFrame) -> DataFrame:

@@ -146,3 +146,10 @@ def test_measured_candidates_of_two_sizes(spark):
         cells = nodes.select(F.posexplode(F.array(*[S.embedded(F.col("fp"), grid.width).bitwiseAND(F.lit(m)) for m in masks])).alias("k", "cell"))
         shared[n] = cells.groupBy("k", "cell").count().agg(F.sum(F.expr("count * (count - 1)"))).first()[0] / n
     assert all(v <= 1.5 * S.CHANCE for v in shared.values())
+
+
+def test_cells_are_never_broadcast(spark):
+    """A node makes dozens of cells, which Spark takes to be as small as the nodes' file: broadcast, they would fill the driver."""
+    nodes = S.stored(spark.range(100).select(F.xxhash64("id").alias("fp")), "nodes")
+    plan = S.print_links(nodes, S.Grid(1, 8))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
