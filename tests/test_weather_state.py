@@ -85,3 +85,52 @@ def test_a_stream_that_takes_too_long_is_stopped(spark, tmp_path):
         run_available(stream, lambda s: s, str(tmp_path / "out"), str(tmp_path / "state"), timeout_s=0.001)
     run_available(stream, lambda s: s, str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_the_state_is_asked_a_few_times_however_many_rows_come(monkeypatch):
+    """A part of a city costs some calls a batch: it has one timer, and rows are held as they came together."""
+    pd = pytest.importorskip("pandas")
+
+    class Held:
+        def __init__(self):
+            self.values = []
+
+        def get(self):
+            calls.append("get")
+            return list(self.values)
+
+        def appendValue(self, value):
+            calls.append("append")
+            self.values.append(value)
+
+        def clear(self):
+            self.values = []
+
+    class One(Held):
+        def get(self):
+            return self.values[-1] if self.values else None
+
+        update = Held.appendValue
+
+    class Handle:
+        getListState = lambda *_: Held()
+        getValueState = lambda *_: One()
+        registerTimer = lambda _, ms: timers.add(ms)
+        deleteTimer = lambda _, ms: timers.discard(ms)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    calls, timers = [], set()
+    part = state.AsOf(LIFETIME)
+    part.init(Handle())
+    n = 5000
+    rows = [(state.RUN, 1_000_000 * (i + 1), i, *[0.0] * 7) for i in range(n)] + [(state.OBSERVATION, 1_000_000 * i, -1, *[float(i)] * 7) for i in range(0, n, 9)]
+    list(part.handleInputRows(("Oslo", 0), iter([pd.DataFrame(rows, columns=["kind", "us", "run_id", *FIELDS])]), None))
+    assert len(timers) == 1
+    out = pd.concat(part.handleExpiredTimer(("Oslo", 0), At(2_000_000), At(min(timers))))
+    assert len(calls) < 20 and len(out) == 1999 and len(timers) == 2
+    out = pd.concat([out, *part.handleExpiredTimer(("Oslo", 0), At(10**9), At(max(timers)))])
+    assert out["run_id"].tolist() == list(range(n)) and out["ambient_temp_c"].tolist() == [float((i + 1) // 9 * 9 if i < n - 1 else (n - 1) // 9 * 9) for i in range(n)]
+    assert not part.seen.values and not part.waiting.values
