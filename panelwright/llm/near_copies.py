@@ -6,13 +6,11 @@ shares none in 3 of 100,000 cases), and every candidate is compared by its whole
 
 A group of many copies has too many pairs to look at. So the first rounds compare each text of a
 band's cell with one text of it only, and of two near copies the larger name takes no part in later
-rounds. Of the texts that are left, those that still share a cell with another one are joined by the
-prefixes of their shingles, the rarest first: two near copies share one of the first few, while what makes
-a text differ from all others comes first and matches nothing. So no two of the texts that stay and share a
-cell are near copies.
-
-A text that was dropped may resemble others than the one it was dropped for. Where a cell has texts of several groups, some of them
-linked, each is compared with a few picked ones of other groups; what links groups then is mostly found, but not always.
+rounds. What they link are groups; only links between groups are missing then. A cell with texts of several
+groups gives all its texts, dropped ones included, to an exact join: by the prefixes of their shingles, the rarest
+first: two near copies share one of the first few, while what makes a text differ from all others comes first
+and matches nothing. Pairs within a group aren't made there. So all near copies that share a cell are in one
+group in the end, as if all of their pairs had been compared.
 """
 
 from __future__ import annotations
@@ -33,8 +31,6 @@ NEAR = (4, 5)
 BANDS, ROWS = 20, 4
 #: Rounds in which a cell's texts are compared with one of them.
 ROUNDS = 3
-#: Texts of a cell that those of other groups are compared with in the end.
-PICKS = 3
 #: Shingles whose hashes are held at once.
 CHUNK = 256
 #: Of the minimum hashes: odd factors and shifts, for the upper halves of shingles' hashes.
@@ -167,34 +163,42 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs ``same``, ``other`` of sets that can be near copies: all of those that are.
+    """Pairs ``same``, ``other`` of sets that can be near copies: all of those that are, but for pairs within a ``group``, if there is such a column.
 
     Shingles are ordered by how many sets have them. Sets of n and m >= n shingles need ``(n + m) * 4 / 9`` in
     common; as n / m is at least 4 / 5, the first of these stands among the n - 8 n / 9 + 1 first ones of
     the smaller set and the m - 4 m / 5 + 1 first ones of the larger, with enough of both sets behind it.
+
+    Of a shingle's largest group no two sets meet: others are joined with all of its sets, so that about as many pairs are
+    made as there are between groups.
     """
     near, of = F.lit(NEAR[0]), F.lit(NEAR[1])
-    each = sets.select("same", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    if "group" not in sets.columns:
+        sets = sets.withColumn("group", F.col("same"))
+    each = sets.select("same", "group", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     held = each.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
-    ordered = each.join(held, "shingle").groupBy("same", "n").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("s"))
+    ordered = each.join(held.hint("merge"), "shingle").groupBy("same", "group", "n").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("s"))
     # a set's shingles that no other set has come before all others: their number is enough
     ordered = ordered.withColumn("alone", F.col("n") - F.size("s"))
     probe = (F.col("n") - F.ceil(near * F.col("n") / of) + 1 - F.col("alone")).cast("int")
-    firsts = ordered.select("same", "n", "alone", F.posexplode(F.slice("s", F.lit(1), F.greatest(probe, F.lit(0)))).alias("k", "x"))
-    firsts = stored(firsts.select("same", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("x.shingle").alias("shingle")), "prefixes")
-    small = firsts.where(F.col("at") <= F.col("n") - F.ceil(2 * near * F.col("n") / (near + of)))
-    large = firsts.select("shingle", F.col("same").alias("other"), F.col("n").alias("m"), F.col("at").alias("behind"))
+    firsts = ordered.select("same", "group", "n", "alone", F.posexplode(F.slice("s", F.lit(1), F.greatest(probe, F.lit(0)))).alias("k", "x"))
+    firsts = stored(firsts.select("same", "group", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("x.shingle").alias("shingle")), "prefixes")
+    by_group = firsts.groupBy("shingle", "group").agg(F.count("*").alias("held"))
+    several = by_group.groupBy("shingle").agg(F.max_by("group", F.struct("held", "group")).alias("major"), F.count("*").alias("groups")).where("groups > 1")
+    firsts = stored(firsts.join(several.select("shingle", "major"), "shingle"), "prefixes")
+    minor = firsts.where("group <> major").select("shingle", "same", "group", "n", "at")
+    other = firsts.select("shingle", F.col("same").alias("other"), F.col("group").alias("other_group"), F.col("n").alias("m"), F.col("at").alias("behind"), (F.col("group") == F.col("major")).alias("of_major"))
     needed = F.ceil(near * (F.col("n") + F.col("m")) / (near + of))
     enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("behind")) >= needed
+    # of the smaller set fewer of the first ones count
     smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("same") < F.col("other")))
-    return small.join(large, "shingle").where(smaller & enough & sizes_fit("n", "m")).select("same", "other")
+    first = F.when(smaller, F.col("at")).otherwise(F.col("behind")) <= F.least("n", "m") - F.ceil(2 * near * F.least("n", "m") / (near + of))
+    once = F.col("of_major") | (F.col("same") < F.col("other"))  # two that are both of smaller groups meet twice
+    return minor.join(other, "shingle").where((F.col("group") != F.col("other_group")) & once & first & enough & sizes_fit("n", "m")).select("same", "other")
 
 
 def near_copies(docs: DataFrame, prints: DataFrame, bare: Callable | None = None) -> DataFrame:
-    """Pairs ``a`` > ``b`` of set names that are near copies.
-
-    Every text is linked to one that stays, and no two that stay and share a cell are near copies. A link between a text that
-    was dropped and one of another group is found only if one of them is picked in the end: groups of a chain's ends may stay apart.
+    """Pairs ``a`` > ``b`` of set names that are near copies: enough of them to join whatever near copies that share a cell join.
 
     ``docs`` has ``doc_id`` (never null, see ``row_key``) and ``text``, ``prints`` are its sets with their bands,
     both made with the same ``bare``.
@@ -205,40 +209,33 @@ def near_copies(docs: DataFrame, prints: DataFrame, bare: Callable | None = None
     cells = stored(cells.join(shared, "cell"), "cells")
     of = docs.join(nodes.join(cells.select("same").distinct(), "same", "left_semi").select("doc_id"), "doc_id", "left_semi")
     sets = stored(described(of, "shingles", lambda s: s, bare=bare).dropDuplicates(["same"]), "sets")
-    spark = docs.sparkSession
-    tested = spark.createDataFrame([], "a long, b long, near boolean")
+    tested = docs.sparkSession.createDataFrame([], "a long, b long, near boolean")
     left = cells
-    for k in range(ROUNDS + 1):
-        if k < ROUNDS:
-            one = left.groupBy("cell").agg(F.min(F.struct(F.xxhash64("same", "cell", F.lit(k)), "same", "n")).alias("one"))
-            other = one.select("cell", F.col("one.same").alias("other"), F.col("one.n").alias("other_n"))
-            pairs = left.join(other, "cell").where((F.col("same") != F.col("other")) & sizes_fit("n", "other_n"))
-        else:
-            met = left.groupBy("cell").agg(F.count("*").alias("held")).where("held > 1").drop("held")
-            candidates = left.join(met, "cell", "left_semi").select("same").distinct()
-            pairs = prefix_pairs(sets.join(candidates, "same", "left_semi"))
-        pairs = pairs.select(F.greatest("same", "other").alias("a"), F.least("same", "other").alias("b")).distinct()
-        found = stored(_compared(pairs.join(tested, ["a", "b"], "left_anti"), sets), "tested")
+    for k in range(ROUNDS):
+        one = left.groupBy("cell").agg(F.min(F.struct(F.xxhash64("same", "cell", F.lit(k)), "same", "n")).alias("one"))
+        other = one.select("cell", F.col("one.same").alias("other"), F.col("one.n").alias("other_n"))
+        pairs = left.join(other, "cell").where((F.col("same") != F.col("other")) & sizes_fit("n", "other_n"))
+        found = _newly(pairs, tested, sets)
         tested = tested.union(found)
-        gone = found.where("near").select(F.col("a").alias("same")).distinct()
-        if k < ROUNDS:
-            left = stored(left.join(gone, "same", "left_anti"), "left")
-    return across_groups(cells, tested, sets).where("near").select("a", "b")
-
-
-def across_groups(cells: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
-    """``tested`` with comparisons of texts that share a cell, but aren't in one group: with PICKS of each cell."""
-    groups = connected_components(tested.where("near").select("a", "b")).withColumnRenamed("node", "same")
-    grouped = cells.join(groups, "same", "left").select("cell", "same", "n", F.coalesce("component", "same").alias("group"), F.col("component").isNotNull().alias("linked"))
-    several = grouped.groupBy("cell").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.max("linked").alias("linked"))
-    rows = stored(grouped.drop("linked").join(several.where("linked and least < most").select("cell"), "cell"), "several")
-    # all picks of a cell at once: one comparison job instead of one a round
-    picks = [F.min(F.struct(F.xxhash64("same", "cell", F.lit(ROUNDS + k)), "same", "n", "group")).alias(f"pick_{k}") for k in range(PICKS)]
-    one = rows.groupBy("cell").agg(*picks).select("cell", F.explode(F.array(*[f"pick_{k}" for k in range(PICKS)])).alias("one"))
-    other = one.select("cell", F.col("one.same").alias("other"), F.col("one.n").alias("other_n"), F.col("one.group").alias("other_group"))
-    pairs = rows.join(other, "cell").where((F.col("group") != F.col("other_group")) & sizes_fit("n", "other_n"))
+        if k + 1 < ROUNDS:
+            left = stored(left.join(found.where("near").select(F.col("a").alias("same")).distinct(), "same", "left_anti"), "left")
+    between = across_groups(cells, tested.where("near").select("a", "b"), sets)
+    return tested.union(_newly(between, tested, sets)).where("near").select("a", "b")
+
+
+def _newly(pairs: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
+    """Comparisons, stored, of the pairs ``same``, ``other`` that aren't among the tested ones."""
     pairs = pairs.select(F.greatest("same", "other").alias("a"), F.least("same", "other").alias("b")).distinct()
-    return tested.union(stored(_compared(pairs.join(tested, ["a", "b"], "left_anti"), sets), "tested"))
+    return stored(_compared(pairs.join(tested, ["a", "b"], "left_anti"), sets), "tested")
+
+
+def across_groups(cells: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``same``, ``other`` of different groups of linked texts: all that are near copies and share a cell are among them."""
+    groups = connected_components(links).withColumnRenamed("node", "same")
+    grouped = cells.join(groups, "same", "left").select("cell", "same", F.coalesce("component", "same").alias("group"))
+    several = grouped.groupBy("cell").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("cell")
+    candidates = grouped.join(several, "cell", "left_semi").select("same", "group").distinct()
+    return prefix_pairs(sets.join(candidates, "same"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -147,3 +147,42 @@ def test_links_of_chains_and_dropped_texts_are_found(spark, seed):
     name = {r.id: r.same for r in prints.collect()}
     kept = sum(group.get(name[i], name[i]) == group.get(name[j], name[j]) for i, j in links)
     assert len(links) > 100 and kept >= 0.99 * len(links)
+
+
+def linked(spark, texts):
+    """Pairs of texts that are near copies, and the group that each text is given."""
+    sets = [frozenset(N.shingle_set(t.encode()).tolist()) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] != sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = df.select(N.row_key().alias("doc_id"), df.doc_id.alias("id"), "text")
+    prints = N.stored(N.described(keyed, "bands", N.band_keys, ("id",)), "prints")
+    group = {r.node: r.component for r in N.connected_components(N.near_copies(keyed.select("doc_id", "text"), prints)).collect()}
+    return links, {r.id: group.get(r.same, r.same) for r in prints.collect()}
+
+
+def test_every_link_is_within_a_group(spark):
+    """Large families in which a text resembles only the few that were made next to it, so that dropped ones hold chains together."""
+    rng = random.Random(31)
+    texts = []
+    for f in range(4):
+        words = [f"f{f}w{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(60):
+            words = list(words)
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    links, group = linked(spark, texts)
+    assert len(links) > 200 and not [(i, j) for i, j in links if group[i] != group[j]]
+
+
+def test_prefixes_between_groups_lose_no_pair(spark):
+    rng = random.Random(10)
+    rows = []
+    for _ in range(40):
+        base = rng.sample(range(10**6), rng.randint(1, 60))
+        for _ in range(8):
+            some = [x for x in base if rng.random() > 0.06] + rng.sample(range(10**6), rng.randint(0, max(1, len(base) // 15)))
+            rows.append((len(rows), rng.randrange(5), sorted(set(some or base))))
+    found = [tuple(sorted(r)) for r in N.prefix_pairs(spark.createDataFrame(rows, "same long, group long, shingles array<long>")).distinct().collect()]
+    sets, groups = [set(s) for *_, s in rows], [g for _, g, _ in rows]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if groups[i] != groups[j] and similar(sets[i], sets[j])}
+    assert len(want) > 200 and want <= set(found) and all(groups[i] != groups[j] for i, j in found)
