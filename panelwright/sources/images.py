@@ -22,6 +22,8 @@ BAD_IMAGE = ("Could not decode image from byte buffer: ", ". Upload a valid imag
 #: Bytes of pixels that a task makes before it hands them on.
 FLUSH_BYTES = 32 << 20
 PARTS = ("pixels", "detector", "classifier")
+#: Bytes that an Arrow batch of images has, about, whatever the number of rows.
+BATCH_BYTES = 16 << 20
 
 
 def image_files(spark: SparkSession, path: str, pattern: str = "*.{png,jpg,jpeg}") -> DataFrame:
@@ -44,12 +46,21 @@ def png_size(content: str = "content") -> Column:
     return F.when(is_png & (F.length(content) >= 24), F.struct(number(17).alias("width"), number(21).alias("height")))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_BYTES if they are larger: by rows alone a task would hold as many as it has, up to 10,000 images."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark.conf.get(setting).lower().removesuffix("b")
+    if not found.isdigit() or not 0 < int(found) <= BATCH_BYTES:
+        spark.conf.set(setting, BATCH_BYTES)
+
+
 def with_parts(images: DataFrame, parts: Mapping[str, tuple[str, Callable[[np.ndarray], Any]]], content: str = "content", image: str = "image") -> DataFrame:
     """Adds the struct ``image``: ``ok``, ``error``, ``width``, ``height`` and the ``parts``, each a type and what makes it of the RGB bytes.
 
     An image is decoded once for all parts. A bad image is a row with an error and without parts; null and empty contents are
     errors, too, and so is a ValueError of a part, which keeps the size. All other columns stay.
     """
+    small_batches(images.sparkSession)
     names = images.columns
     at = names.index(content)
     fields = StructType.fromDDL("ok boolean, error string, width int, height int" + "".join(f", {name} {kind}" for name, (kind, _) in parts.items()))
@@ -110,9 +121,11 @@ def prepared(images: DataFrame, *parts: str, content: str = "content", image: st
 
 
 def encoded(images: DataFrame, content: str = "content") -> DataFrame:
-    """Adds PNG bytes made of ``width``, ``height``, ``colour`` (the format's number), ``palette`` (binary), ``samples``
-    (array of int, 8-bit) and ``first_filter``; the lines take the five filters in turn."""
+    """PNG bytes in place of ``samples`` (array of int, 8-bit), made of them, ``width``, ``height``, ``colour`` (the format's number),
+    ``palette`` (binary) and ``first_filter``; the lines take the five filters in turn. Batches are of BATCH_BYTES, see ``small_batches``."""
+    small_batches(images.sparkSession)
     names = images.columns
+    kept = [c for c in names if c != "samples"]
     place = {c: names.index(c) for c in ("width", "height", "colour", "palette", "samples", "first_filter")}
 
     def run(batches: Iterator) -> Iterator:
@@ -128,6 +141,6 @@ def encoded(images: DataFrame, content: str = "content") -> DataFrame:
                 width, height, colour, first = (row[c].as_py() for c in ("width", "height", "colour", "first_filter"))
                 samples = row["samples"].values.to_numpy().astype(np.uint8).reshape(height, width, -1)
                 made.append(encode_png(samples, colour, (np.arange(height) + first) % 5, row["palette"].as_py() or b""))
-            yield pa.record_batch([*batch.columns, pa.array(made, pa.binary())], [*names, content])
+            yield pa.record_batch([*(batch.column(names.index(c)) for c in kept), pa.array(made, pa.binary())], [*kept, content])
 
-    return images.mapInArrow(run, StructType([*images.schema.fields]).add(content, "binary"))
+    return images.mapInArrow(run, StructType([images.schema[c] for c in kept]).add(content, "binary"))

@@ -232,3 +232,22 @@ def test_production_inputs_of_the_table(spark, sf_dir):
         assert rows[r.run_id].classifier_md5 == hashlib.md5(R.center_cropped(pixels, 224).tobytes()).hexdigest()
         checked += 1
     assert checked
+
+
+def test_batches_of_images_are_bounded_by_bytes(spark):
+    """A task holds a batch of samples at once: its size follows BATCH_BYTES, not the rows of the task."""
+    from panelwright.sources import images as source
+
+    def counted(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows])], ["n"])
+
+    made = spark.range(600, numPartitions=1).selectExpr(
+        "id", "20000 AS width", "1 AS height", "0 AS colour", "CAST(null AS binary) AS palette", "0 AS first_filter", "transform(sequence(1, 20000), i -> cast(i % 2 as int)) AS samples"
+    )
+    done = source.encoded(made)
+    assert "samples" not in done.columns
+    sizes = [r.n for r in made.mapInArrow(counted, "n long").collect()]
+    assert sum(sizes) == 600 and max(sizes) * 80_000 <= 2 * source.BATCH_BYTES
