@@ -29,7 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest id.
 
-    Near copies share five-word shingles to a similarity of 0.8 or more. Rows that agree in id and text are one
+    Near copies share five-word shingles to a similarity of 0.8 or more. Their fingerprints give candidates by op9's
+    method, whole shingle sets decide, and near copies whose fingerprints are too far apart are joined exactly. Rows that agree in id and text are one
     document; rows of one id with different texts are different ones. Rows without an id come after all others.
     """
     return one_of_each(docs)

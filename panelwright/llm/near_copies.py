@@ -1,16 +1,21 @@
 """Near copies by word shingles: one document of each group of similar texts stays.
 
 Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of 0.8 or
-more. Candidates share one of BANDS bands of ROWS minimum hashes (a pair at the least similarity
-shares none in 3 of 100,000 cases), and every candidate is compared by its whole shingle sets.
+more. Candidates are compared by their whole shingle sets, whatever way they were found.
+
+``one_of_each`` takes them from fingerprints, as in ``simhash``: texts whose fingerprints are linked by at most
+RADIUS differing bits, over the grid on their bit counts, are a cell. Near copies may differ in more bits (at the
+least similarity 9.7 of 64 on average), so all texts, whatever their cell, are then joined between groups by
+prefixes of their shingles, which loses no pair. ``near_copies`` takes cells from BANDS bands of ROWS minimum hashes
+(a pair at the least similarity shares none in 3 of 100,000 cases).
 
 A group of many copies has too many pairs to look at. So the first rounds compare each text of a
-band's cell with one text of it only, and of two near copies the larger name takes no part in later
-rounds. What they link are groups; only links between groups are missing then. A cell with texts of several
-groups gives all its texts, dropped ones included, to an exact join: by the prefixes of their shingles, the rarest
+cell with one text of it only, and of two near copies the larger name takes no part in later
+rounds. What they link are groups; only links between groups are missing then. Texts of several
+groups, dropped ones included, go to an exact join: by the prefixes of their shingles, the rarest
 first: two near copies share one of the first few, while what makes a text differ from all others comes first
-and matches nothing. Pairs within a group aren't made there. So all near copies that share a cell are in one
-group in the end, as if all of their pairs had been compared.
+and matches nothing. Pairs within a group aren't made there. So all near copies (in ``near_copies``: that share a
+cell) are in one group in the end, as if all of their pairs had been compared.
 """
 
 from __future__ import annotations
@@ -19,16 +24,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import connected_components, stored
 from panelwright.llm.rolling import MOST, Rolling, mixed
+from panelwright.llm.simhash import components, majority
 
 SHINGLE_WORDS = 5
 #: Least similarity as a fraction: 4 / 5.
 NEAR = (4, 5)
 BANDS, ROWS = 20, 4
+#: Differing bits of two fingerprints that link them. Chance neighbours in the grid cost less than more cells.
+RADIUS = 5
+CHANCE = 64
+#: Texts, about, in which the commonest shingles are counted, and how many of these come last in prefixes. No result depends on them.
+SAMPLED, COMMONEST = 10_000, 1 << 16
 #: Rounds in which a cell's texts are compared with one of them.
 ROUNDS = 3
 #: Shingles whose hashes are held at once.
@@ -168,9 +179,6 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     Shingles are ordered by how many sets have them. Sets of n and m >= n shingles need ``(n + m) * 4 / 9`` in
     common; as n / m is at least 4 / 5, the first of these stands among the n - 8 n / 9 + 1 first ones of
     the smaller set and the m - 4 m / 5 + 1 first ones of the larger, with enough of both sets behind it.
-
-    Of a shingle's largest group no two sets meet: others are joined with all of its sets, so that about as many pairs are
-    made as there are between groups.
     """
     near, of = F.lit(NEAR[0]), F.lit(NEAR[1])
     if "group" not in sets.columns:
@@ -182,7 +190,16 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     ordered = ordered.withColumn("alone", F.col("n") - F.size("s"))
     probe = (F.col("n") - F.ceil(near * F.col("n") / of) + 1 - F.col("alone")).cast("int")
     firsts = ordered.select("same", "group", "n", "alone", F.posexplode(F.slice("s", F.lit(1), F.greatest(probe, F.lit(0)))).alias("k", "x"))
-    firsts = stored(firsts.select("same", "group", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("x.shingle").alias("shingle")), "prefixes")
+    return meeting(stored(firsts.select("same", "group", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("x.shingle").alias("shingle")), "prefixes"))
+
+
+def meeting(firsts: DataFrame) -> DataFrame:
+    """Pairs ``same``, ``other`` of different groups that can be near copies, by the ``shingle`` at place ``at`` of their prefixes.
+
+    Any order of the shingles does that is the same for all sets. Of a shingle's largest group no two sets meet: others are joined
+    with all of its sets, so that about as many pairs are made as there are between groups.
+    """
+    near, of = F.lit(NEAR[0]), F.lit(NEAR[1])
     by_group = firsts.groupBy("shingle", "group").agg(F.count("*").alias("held"))
     several = by_group.groupBy("shingle").agg(F.max_by("group", F.struct("held", "group")).alias("major"), F.count("*").alias("groups")).where("groups > 1")
     firsts = stored(firsts.join(several.select("shingle", "major"), "shingle"), "prefixes")
@@ -207,9 +224,21 @@ def near_copies(docs: DataFrame, prints: DataFrame, bare: Callable | None = None
     cells = nodes.select("same", "n", F.explode("bands").alias("cell"))
     shared = cells.groupBy("cell").agg(F.count("*").alias("held")).where("held > 1").drop("held")
     cells = stored(cells.join(shared, "cell"), "cells")
-    of = docs.join(nodes.join(cells.select("same").distinct(), "same", "left_semi").select("doc_id"), "doc_id", "left_semi")
-    sets = stored(described(of, "shingles", lambda s: s, bare=bare).dropDuplicates(["same"]), "sets")
-    tested = docs.sparkSession.createDataFrame([], "a long, b long, near boolean")
+    sets = whole_sets(docs, nodes, cells, bare)
+    tested = by_picks(cells, sets)
+    between = across_groups(cells, tested.where("near").select("a", "b"), sets)
+    return tested.union(_newly(between, tested, sets)).where("near").select("a", "b")
+
+
+def whole_sets(docs: DataFrame, nodes: DataFrame, names: DataFrame, bare: Callable | None = None) -> DataFrame:
+    """``same`` and ``shingles`` of the sets that ``names`` has, stored; ``nodes`` knows a row of each."""
+    of = docs.join(nodes.join(names.select("same").distinct(), "same", "left_semi").select("doc_id"), "doc_id", "left_semi")
+    return stored(described(of, "shingles", lambda s: s, bare=bare).dropDuplicates(["same"]), "sets")
+
+
+def by_picks(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Comparisons ``a``, ``b``, ``near`` of each text with one of its cell; of near ones the larger name is in no later round."""
+    tested = cells.sparkSession.createDataFrame([], "a long, b long, near boolean")
     left = cells
     for k in range(ROUNDS):
         one = left.groupBy("cell").agg(F.min(F.struct(F.xxhash64("same", "cell", F.lit(k)), "same", "n")).alias("one"))
@@ -219,8 +248,7 @@ def near_copies(docs: DataFrame, prints: DataFrame, bare: Callable | None = None
         tested = tested.union(found)
         if k + 1 < ROUNDS:
             left = stored(left.join(found.where("near").select(F.col("a").alias("same")).distinct(), "same", "left_anti"), "left")
-    between = across_groups(cells, tested.where("near").select("a", "b"), sets)
-    return tested.union(_newly(between, tested, sets)).where("near").select("a", "b")
+    return tested
 
 
 def _newly(pairs: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
@@ -238,6 +266,64 @@ def across_groups(cells: DataFrame, links: DataFrame, sets: DataFrame) -> DataFr
     return prefix_pairs(sets.join(candidates, "same"))
 
 
+def commonest(docs: DataFrame) -> np.ndarray:
+    """Shingles that several texts of a sample of ``docs`` have, the rarest first."""
+    every = max(1, docs.count() // SAMPLED)
+    sets = described(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), "shingles", lambda s: s).dropDuplicates(["same"])
+    held = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    rows = held.orderBy(F.desc("held"), "shingle").limit(COMMONEST).collect()
+    return np.array([r.shingle for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def marks(common: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """What describes a shingle set: its fingerprint, then its prefix. Shingles go by their hashes; those of ``common`` come last, as there."""
+    rank = np.argsort(common)
+    known = common[rank]
+
+    def describe(shingles: np.ndarray) -> np.ndarray:
+        n = len(shingles)
+        few = n + NEAR[0] * n // -NEAR[1] + 1
+        at = np.searchsorted(known, shingles)
+        late = np.zeros(n, bool)
+        inside = at < len(known)
+        late[inside] = known[at[inside]] == shingles[inside]
+        first = shingles[~late][:few]
+        if len(first) < few:
+            first = np.concatenate([first, common[np.sort(rank[at[late]])[: few - len(first)]]])
+        return np.concatenate([np.array([majority(shingles)], np.uint64), first])
+
+    return describe
+
+
+def fingerprint_cells(nodes: DataFrame) -> DataFrame:
+    """``same``, ``n``, ``cell`` (one each) of all sets whose fingerprints ``fp`` are linked with another set's, stored."""
+    of = components(nodes.select(F.col("same").alias("doc_id"), "fp"), RADIUS, CHANCE).select(F.col("doc_id").alias("same"), F.col("component_id").alias("cell"))
+    shared = of.groupBy("cell").agg(F.count("*").alias("held")).where("held > 1").select("cell")
+    return stored(nodes.select("same", "n").join(of.join(shared, "cell", "left_semi"), "same"), "cells")
+
+
+def fingerprint_copies(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs ``a`` > ``b`` of set names that are near copies: enough of them to join whatever near copies join.
+
+    ``docs`` has ``doc_id`` (never null, see ``row_key``) and ``text``, ``prints`` are its sets with their ``marks`` and a number
+    ``row`` of their own. Of the prefixes only shingles that several groups have are stored.
+    """
+    nodes = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first(F.col("marks")[0]).alias("fp"), F.min("row").alias("row"))
+    nodes = stored(nodes, "nodes")
+    cells = fingerprint_cells(nodes)
+    sets = whole_sets(docs, nodes, cells)
+    tested = by_picks(cells, sets)
+    groups = connected_components(tested.where("near").select("a", "b")).withColumnRenamed("node", "same")
+    grouped = nodes.join(groups, "same", "left").select("row", F.coalesce("component", "same").alias("group"))
+    firsts = F.posexplode(F.slice("marks", F.lit(2), F.size("marks"))).alias("at", "shingle")
+    firsts = prints.join(grouped, "row").select("same", "group", "n", firsts)
+    of_shingle = Window.partitionBy("shingle")
+    firsts = firsts.withColumn("apart", F.min("group").over(of_shingle) < F.max("group").over(of_shingle)).where("apart").drop("apart")
+    rest = stored(meeting(stored(firsts, "firsts")), "rest")
+    names = rest.select("same").union(rest.select("other")).distinct().join(sets, "same", "left_anti")
+    return tested.union(_newly(rest, tested, sets.unionByName(whole_sets(docs, nodes, names)))).where("near").select("a", "b")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of linked ones the row with the smallest ``doc_id`` stays.
 
@@ -245,8 +331,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that agree in id and text are one document. Wordless texts are copies of each other.
     """
     keyed = docs.select(row_key().alias("doc_id"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    prints = stored(described(keyed, "bands", band_keys, ("id",)), "prints")
-    groups = connected_components(near_copies(keyed.select("doc_id", "text"), prints))
+    prints = described(keyed, "marks", marks(commonest(keyed)), ("id",)).withColumn("row", F.monotonically_increasing_id())
+    prints = stored(prints, "prints")
+    groups = connected_components(fingerprint_copies(keyed.select("doc_id", "text"), prints))
     least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "doc_id")).alias("least")
     of = prints.groupBy("same").agg(least).join(groups, F.col("same") == F.col("node"), "left")
     key = "key"

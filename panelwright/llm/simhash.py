@@ -54,9 +54,9 @@ def shingle_hashes(text: bytes | None, size: int = SHINGLE_WORDS) -> list[int]:
     ]
 
 
-def majority(hashes: list[int]) -> int:
+def majority(hashes: list[int] | np.ndarray) -> int:
     """The bits set in over half of the hashes; 0 of none."""
-    if not hashes:
+    if not len(hashes):
         return 0
     bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8)).reshape(-1, 64)
     return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).tobytes(), "big")
@@ -92,13 +92,13 @@ class Grid(NamedTuple):
 GRIDS = (Grid(2, 8), Grid(1, 7), Grid(1, 8), Grid(1, 9), Grid(1, 10))
 
 
-def grid_for(n: int, max_bits: int = MAX_BITS) -> Grid:
-    """The first grid in which ``n`` random fingerprints have at most CHANCE candidates each."""
+def grid_for(n: int, max_bits: int = MAX_BITS, chance: int = CHANCE) -> Grid:
+    """The first grid in which ``n`` random fingerprints have at most ``chance`` candidates each."""
     if max_bits > GRIDS[-1].groups - 2:
         raise ValueError("more differing bits than the groups can cover")
     for width, groups in GRIDS:
         alike = groups - max_bits
-        if alike > 0 and n * comb(groups, alike) * EQUAL[width] ** (64 / width * alike / groups) <= CHANCE:
+        if alike > 0 and n * comb(groups, alike) * EQUAL[width] ** (64 / width * alike / groups) <= chance:
             return Grid(width, groups)
     return GRIDS[-1]
 
@@ -173,14 +173,14 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     )
 
 
-def components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def components(prints: DataFrame, max_bits: int = MAX_BITS, chance: int = CHANCE) -> DataFrame:
     """``doc_id``, ``fp``, ``component_id``: the smallest id reachable over links, itself included.
 
     The nodes are fingerprints. A row without an id takes part like any other, links others, and has the component's smallest
     id, or null if no row there has one. Rows of one id with different texts are joined only by what their texts are.
     """
     nodes = _nodes(prints)
-    groups = connected_components(print_links(nodes, grid_for(nodes.count(), max_bits), max_bits))
+    groups = connected_components(print_links(nodes, grid_for(nodes.count(), max_bits, chance), max_bits))
     of_print = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("root"))
     least = of_print.groupBy("root").agg(F.min("node").alias("component_id"))
     of_print = stored(of_print.join(least, "root").select("fp", "component_id"), "print-components")

@@ -186,3 +186,58 @@ def test_prefixes_between_groups_lose_no_pair(spark):
     sets, groups = [set(s) for *_, s in rows], [g for _, g, _ in rows]
     want = {(i, j) for j in range(len(sets)) for i in range(j) if groups[i] != groups[j] and similar(sets[i], sets[j])}
     assert len(want) > 200 and want <= set(found) and all(groups[i] != groups[j] for i, j in found)
+
+
+def test_fingerprint_cells_are_components(spark):
+    """Random fingerprints and changes of a few bits, against all pairs."""
+    rng = random.Random(12)
+    prints = []
+    for _ in range(60):
+        fp = rng.getrandbits(64)
+        for _ in range(5):
+            for _ in range(rng.choice([0, 1, 5, 6])):
+                fp ^= 1 << rng.randrange(64)
+            prints.append(fp)
+    parent = list(range(len(prints)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= N.RADIUS:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    roots = [find(i) for i in range(len(prints))]
+    df = spark.createDataFrame([(i, 1, fp - (1 << 64) if fp >> 63 else fp) for i, fp in enumerate(prints)], "same long, n long, fp long")
+    got = {r.same: r.cell for r in N.fingerprint_cells(df).collect()}
+    assert got == {i: r for i, r in enumerate(roots) if roots.count(r) > 1} and len(got) < len(prints)
+
+
+def test_pipeline_stage_takes_candidates_from_fingerprints(spark, sf_dir, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from panelwright.llm import simhash
+
+    radii, links = [], simhash.print_links
+    monkeypatch.setattr(simhash, "print_links", lambda nodes, grid, max_bits: radii.append(max_bits) or links(nodes, grid, max_bits))
+    monkeypatch.setattr(N, "band_keys", lambda shingles: pytest.fail("minimum hashes"))
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words), "en", "s", 1), (2, " ".join([*words, "more"]), "en", "s", 1), (3, " ".join(words[::-1]), "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, sf_dir).collect()) == [1, 3]
+    assert radii == [N.RADIUS]
+
+
+@pytest.mark.parametrize("common", [[], list(range(0, 4000, 3)), list(range(4000))])
+def test_marks_of_near_sets_meet(common):
+    """Whichever shingles are called common, prefixes of near copies share their first common shingle, where it counts."""
+    rng = random.Random(13)
+    describe = N.marks(N.np.array(common, N.np.uint64))
+    for _ in range(300):
+        base = rng.sample(range(4000), rng.randint(1, 60))
+        a, b = (sorted(set([x for x in base if rng.random() > 0.05] + rng.sample(range(4000), rng.randint(0, 3)))) for _ in "ab")
+        firsts = [describe(N.np.array(s, N.np.uint64))[1:].tolist() for s in (a, b)]
+        assert all(len(f) == len(set(f)) and set(f) <= set(s) for f, s in zip(firsts, (a, b)))
+        if a and b and similar(set(a), set(b)):
+            assert set(firsts[0]) & set(firsts[1])
