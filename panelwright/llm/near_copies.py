@@ -40,6 +40,8 @@ RADIUS = 5
 CHANCE = 64
 #: Texts, about, in which the commonest shingles are counted, and how many of these come last in prefixes. No result depends on them.
 SAMPLED, COMMONEST = 10_000, 1 << 16
+#: Bits of the filter in front of the join that looks up texts. No result depends on them.
+FILTER_BITS = 1 << 23
 #: Rounds in which a cell's texts are compared with one of them.
 ROUNDS = 3
 #: Shingles whose hashes are held at once.
@@ -197,7 +199,9 @@ def meeting(firsts: DataFrame) -> DataFrame:
     """Pairs ``same``, ``other`` of different groups that can be near copies, by the ``shingle`` at place ``at`` of their prefixes.
 
     Any order of the shingles does that is the same for all sets. Of a shingle's largest group no two sets meet: others are joined
-    with all of its sets, so that about as many pairs are made as there are between groups.
+    with all of its sets, so that about as many pairs are made as there are between groups. A pair meets once for each shingle that both
+    prefixes have. What else the sets share comes after the last of these in both and after the end of one prefix, so pairs
+    with too few of them aren't near copies and don't come out. Each pair comes once.
     """
     near, of = F.lit(NEAR[0]), F.lit(NEAR[1])
     by_group = firsts.groupBy("shingle", "group").agg(F.count("*").alias("held"))
@@ -206,12 +210,21 @@ def meeting(firsts: DataFrame) -> DataFrame:
     minor = firsts.where("group <> major").select("shingle", "same", "group", "n", "at")
     other = firsts.select("shingle", F.col("same").alias("other"), F.col("group").alias("other_group"), F.col("n").alias("m"), F.col("at").alias("behind"), (F.col("group") == F.col("major")).alias("of_major"))
     needed = F.ceil(near * (F.col("n") + F.col("m")) / (near + of))
-    enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("behind")) >= needed
+    behind = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("behind"))  # what can be common from here on
+    able = F.least("at", "behind") + behind >= needed
+    once = F.col("of_major") | (F.col("same") < F.col("other"))  # two that are both of smaller groups meet twice
+    met = minor.join(other, "shingle").where((F.col("group") != F.col("other_group")) & once & able & sizes_fit("n", "m"))
     # of the smaller set fewer of the first ones count
     smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("same") < F.col("other")))
     first = F.when(smaller, F.col("at")).otherwise(F.col("behind")) <= F.least("n", "m") - F.ceil(2 * near * F.least("n", "m") / (near + of))
-    once = F.col("of_major") | (F.col("same") < F.col("other"))  # two that are both of smaller groups meet twice
-    return minor.join(other, "shingle").where((F.col("group") != F.col("other_group")) & once & first & enough & sizes_fit("n", "m")).select("same", "other")
+    swap = F.col("same") > F.col("other")
+    sides = [F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("same", "other"), ("n", "m"))]
+    sides += [F.when(swap, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("same", "other"), ("n", "m"))]
+    met = met.select(*sides, behind.cast("int").alias("left"), (first & (behind >= needed)).alias("first"))
+    shared = met.groupBy("same", "other", "n", "m").agg(F.count("*").alias("held"), F.min("left").alias("left"), F.bool_or("first").alias("first"))
+    # the last one that they share in their prefixes is counted in both; where a prefix ends, so many of its set are left
+    most = F.col("held") + F.least(F.col("left") - 1, F.greatest(F.ceil(near * F.col("n") / of), F.ceil(near * F.col("m") / of)) - 1)
+    return shared.where(F.col("first") & (most >= needed)).select("same", "other")
 
 
 def near_copies(docs: DataFrame, prints: DataFrame, bare: Callable | None = None) -> DataFrame:
@@ -232,8 +245,21 @@ def near_copies(docs: DataFrame, prints: DataFrame, bare: Callable | None = None
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, names: DataFrame, bare: Callable | None = None) -> DataFrame:
     """``same`` and ``shingles`` of the sets that ``names`` has, stored; ``nodes`` knows a row of each."""
-    of = docs.join(nodes.join(names.select("same").distinct(), "same", "left_semi").select("doc_id"), "doc_id", "left_semi")
-    return stored(described(of, "shingles", lambda s: s, bare=bare).dropDuplicates(["same"]), "sets")
+    rows = stored(nodes.join(names.select("same").distinct(), "same", "left_semi").select("doc_id"), "rows")
+    of = docs.select("doc_id", "text").join(*perhaps_among(rows, "doc_id"), "left_semi").join(rows.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stored(described(of, "shingles", lambda s: s, bare=bare), "sets")
+
+
+def perhaps_among(rows: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """What tells rows that can have a ``key`` that is in ``rows`` from those that can't: a table to be joined, and on what.
+
+    Its FILTER_BITS bits, 1 MB at most, say which hashes of keys occur. So only few other rows need to go to an exact join.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    bits = rows.groupBy(bucket.alias(f"{key}_bucket")).agg(F.bitmap_construct_agg(bit).alias(f"{key}_bits"))
+    byte = F.conv(F.hex(F.substring(f"{key}_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.broadcast(bits), (bucket == F.col(f"{key}_bucket")) & (F.getbit(byte, (bit % 8).cast("int")) == 1)
 
 
 def by_picks(cells: DataFrame, sets: DataFrame) -> DataFrame:
@@ -306,7 +332,8 @@ def fingerprint_copies(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """Pairs ``a`` > ``b`` of set names that are near copies: enough of them to join whatever near copies join.
 
     ``docs`` has ``doc_id`` (never null, see ``row_key``) and ``text``, ``prints`` are its sets with their ``marks`` and a number
-    ``row`` of their own. Of the prefixes only shingles that several groups have are stored.
+    ``row`` of their own. Of the prefixes only shingles that several groups have are stored. There sets and groups go by rows' numbers,
+    which are near each other and so take less room than names.
     """
     nodes = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first(F.col("marks")[0]).alias("fp"), F.min("row").alias("row"))
     nodes = stored(nodes, "nodes")
@@ -314,12 +341,16 @@ def fingerprint_copies(docs: DataFrame, prints: DataFrame) -> DataFrame:
     sets = whole_sets(docs, nodes, cells)
     tested = by_picks(cells, sets)
     groups = connected_components(tested.where("near").select("a", "b")).withColumnRenamed("node", "same")
-    grouped = nodes.join(groups, "same", "left").select("row", F.coalesce("component", "same").alias("group"))
+    groups = groups.join(nodes.select(F.col("same").alias("component"), F.col("row").alias("group")), "component").select("same", "group")
+    grouped = nodes.join(groups, "same", "left").select("row", F.coalesce("group", "row").alias("group"))
     firsts = F.posexplode(F.slice("marks", F.lit(2), F.size("marks"))).alias("at", "shingle")
-    firsts = prints.join(grouped, "row").select("same", "group", "n", firsts)
+    firsts = prints.join(grouped, "row").select(F.col("row").alias("same"), "group", "n", firsts)
     of_shingle = Window.partitionBy("shingle")
     firsts = firsts.withColumn("apart", F.min("group").over(of_shingle) < F.max("group").over(of_shingle)).where("apart").drop("apart")
-    rest = stored(meeting(stored(firsts, "firsts")), "rest")
+    met = stored(meeting(stored(firsts, "firsts")), "met")
+    for side in met.columns:
+        met = met.join(nodes.select(F.col("row").alias(side), F.col("same").alias(f"{side}_name")), side)
+    rest = stored(met.select(F.col("same_name").alias("same"), F.col("other_name").alias("other")), "rest")
     names = rest.select("same").union(rest.select("other")).distinct().join(sets, "same", "left_anti")
     return tested.union(_newly(rest, tested, sets.unionByName(whole_sets(docs, nodes, names)))).where("near").select("a", "b")
 
@@ -328,7 +359,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of linked ones the row with the smallest ``doc_id`` stays.
 
     Rows without an id come after all others; among rows of one id, and of none, a hash of the text decides.
-    Rows that agree in id and text are one document. Wordless texts are copies of each other.
+    Rows that agree in id and text are one document. Wordless texts are copies of each other. Texts go to a join only
+    where their row may have to go.
     """
     keyed = docs.select(row_key().alias("doc_id"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     prints = described(keyed, "marks", marks(commonest(keyed)), ("id",)).withColumn("row", F.monotonically_increasing_id())
@@ -337,7 +369,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "doc_id")).alias("least")
     of = prints.groupBy("same").agg(least).join(groups, F.col("same") == F.col("node"), "left")
     key = "key"
-    while key in docs.columns:
+    while any(c.lower().startswith(key) for c in docs.columns):
         key += "_"
     stay = of.groupBy(F.coalesce("component", "same").alias("group")).agg(F.min("least").alias("least"))
-    return docs.withColumn(key, row_key()).join(stay.select(F.col("least.doc_id").alias(key)), key, "left_semi").dropDuplicates([key]).drop(key)
+    stay = stored(stay.select(F.col("least.doc_id").alias(key)), "stay")
+    rows = prints.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("held"))
+    out = stored(rows.join(stay.withColumn("stays", F.lit(True)), key, "left").where("stays is null or held > 1").select(key), "out")
+    marked, (bits, can_go) = docs.withColumn(key, row_key()), perhaps_among(out, key)
+    unsure = marked.join(bits, can_go, "left_semi").join(stay.hint("merge"), key, "left_semi").dropDuplicates([key])
+    return marked.join(bits, can_go, "left_anti").unionByName(unsure).drop(key)

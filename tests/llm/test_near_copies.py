@@ -241,3 +241,35 @@ def test_marks_of_near_sets_meet(common):
         assert all(len(f) == len(set(f)) and set(f) <= set(s) for f, s in zip(firsts, (a, b)))
         if a and b and similar(set(a), set(b)):
             assert set(firsts[0]) & set(firsts[1])
+
+
+def test_pairs_with_few_common_prefix_shingles_do_not_come_out(spark):
+    """A pair may share the first shingle of its prefixes and still too few others of them; such pairs would all be compared whole."""
+    one = list(range(100))
+    rows = [(1, 1, one), (2, 2, [0, *range(200, 299)]), (3, 3, [*range(1, 96), *range(300, 305)])]
+    firsts = [(same, group, 100, at, x) for same, group, s in rows for at, x in enumerate(s[:21])]
+    df = spark.createDataFrame(firsts, "same long, group long, n long, at int, shingle long")
+    assert [tuple(sorted(r)) for r in N.meeting(df).collect()] == [(1, 3)]
+
+
+def test_filter_loses_no_row_and_keeps_few_others(spark):
+    df = spark.range(20_000).select(N.F.unhex(N.F.md5(N.F.col("id").cast("string"))).alias("doc_id"), "id")
+    rows = df.where("id % 100 = 7").select("doc_id")
+    bits, held = N.perhaps_among(rows, "doc_id")
+    kept, rest = ({r.id for r in df.join(bits, held, how).collect()} for how in ("left_semi", "left_anti"))
+    assert set(range(7, 20_000, 100)) <= kept and len(kept) < 220
+    assert not kept & rest and len(kept) + len(rest) == 20_000
+    empty = N.perhaps_among(rows.where("doc_id is null"), "doc_id")
+    assert df.join(*empty, "left_anti").count() == 20_000 and df.join(*empty, "left_semi").count() == 0
+
+
+def test_few_texts_go_to_a_join(spark, tmp_path):
+    """All but the rows that may have to go stay where they are: the last step shuffles no text of theirs."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(5)] + [rows[7]] * 3
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    got = N.one_of_each(spark.read.parquet(f"{tmp_path}/docs"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(400))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "Union" in plan
