@@ -42,6 +42,8 @@ CHANCE = 64
 SAMPLED, COMMONEST = 10_000, 1 << 16
 #: Bits of the filter in front of the join that looks up texts. No result depends on them.
 FILTER_BITS = 1 << 23
+#: Longs of a set's sketch, and sets of a shingle from which on sketches are compared. No result depends on them.
+SKETCH, CROWDED = 8, 8
 #: Rounds in which a cell's texts are compared with one of them.
 ROUNDS = 3
 #: Shingles whose hashes are held at once.
@@ -123,24 +125,31 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return np.array([xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Whether the shingles that belong to a bit are odd in number. Two sets have at least as many shingles that aren't common as they have different bits."""
+    odd = np.bincount((shingles % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)))
 
 
 def described(
-    docs: DataFrame, column: str, describe: Callable, more: tuple[str, ...] = (), bare: Callable | None = None, words: bool = False
+    docs: DataFrame, column: str, describe: Callable, more: tuple[str, ...] = (), bare: Callable | None = None, words: bool = False, sketches: bool = False
 ) -> DataFrame:
     """``doc_id``, columns of ``more``, ``same`` (the shingle set's name), ``n`` (its size), a list of longs of every row.
 
-    ``bare`` is applied to the text's bytes first. With ``words`` there is a column ``size``, the words of the text as it was.
+    ``bare`` is applied to the text's bytes first. With ``words`` there is a column ``size``, the words of the text as it was,
+    with ``sketches`` a column ``bits``, the set's ``sketch``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):  # few sets at once
                 part = batch.slice(at, 256)
-                names, sizes, lists, counts = [], [], [], []
+                names, sizes, lists, counts, bits = [], [], [], [], []
                 for t in part.column(len(more) + 1).cast(pa.binary()):
                     text = t.as_py() or b""
                     shingles = shingle_set(bare(text) if bare else text)
@@ -149,15 +158,17 @@ def described(
                     lists.append(describe(shingles))
                     if words:
                         counts.append(len(text.split()))
+                    if sketches:
+                        bits.append(sketch(shingles))
                 made = [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(lists)]
                 yield pa.record_batch(
-                    [*part.columns[:-1], *made, *([pa.array(counts, pa.int64())] if words else [])],
-                    ["doc_id", *more, "same", "n", column, *(["size"] if words else [])],
+                    [*part.columns[:-1], *made, *([pa.array(counts, pa.int64())] if words else []), *([_lists(bits)] if sketches else [])],
+                    ["doc_id", *more, "same", "n", column, *(["size"] if words else []), *(["bits"] if sketches else [])],
                 )
 
     kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *more))
     return docs.select("doc_id", *more, "text").mapInArrow(
-        run, f"{kept}, same long, n long, {column} array<long>" + (", size long" if words else "")
+        run, f"{kept}, same long, n long, {column} array<long>" + (", size long" if words else "") + (", bits array<long>" if sketches else "")
     )
 
 
@@ -166,6 +177,18 @@ def sizes_fit(a: str, b: str) -> Column:
     return F.least(a, b) * NEAR[1] >= F.greatest(a, b) * NEAR[0]
 
 
+def sketches_fit(a: str, b: str, n: str, m: str) -> Column:
+    """Whether sets of these sketches and sizes can be near copies."""
+    apart = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH)), F.lit(0))
+    return apart * (NEAR[0] + NEAR[1]) <= (F.col(n) + F.col(m)) * (NEAR[1] - NEAR[0])
+
+
+def can_be_first(n: str, at: str, m: str, behind: str) -> Column:
+    """Whether what stands at these places of two sets can be the first thing common to near copies: enough of both follows."""
+    needed = F.ceil(F.lit(NEAR[0]) * (F.col(n) + F.col(m)) / F.lit(NEAR[0] + NEAR[1]))
+    return F.least(F.col(n) - F.col(at), F.col(m) - F.col(behind)) >= needed
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a``, ``b`` and whether they are near copies, by their whole shingle sets."""
     a = sets.select(F.col("same").alias("a"), F.col("shingles").alias("sa"))
@@ -192,39 +215,67 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     ordered = ordered.withColumn("alone", F.col("n") - F.size("s"))
     probe = (F.col("n") - F.ceil(near * F.col("n") / of) + 1 - F.col("alone")).cast("int")
     firsts = ordered.select("same", "group", "n", "alone", F.posexplode(F.slice("s", F.lit(1), F.greatest(probe, F.lit(0)))).alias("k", "x"))
-    return meeting(stored(firsts.select("same", "group", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("x.shingle").alias("shingle")), "prefixes"))
+    firsts = firsts.select("same", "group", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("x.shingle").alias("shingle"))
+    return meeting(stored(firsts, "prefixes"), sets.select("same", "bits") if "bits" in sets.columns else None)
 
 
-def meeting(firsts: DataFrame) -> DataFrame:
+def meeting(firsts: DataFrame, bits: DataFrame | None = None) -> DataFrame:
     """Pairs ``same``, ``other`` of different groups that can be near copies, by the ``shingle`` at place ``at`` of their prefixes.
 
     Any order of the shingles does that is the same for all sets. Of a shingle's largest group no two sets meet: others are joined
-    with all of its sets, so that about as many pairs are made as there are between groups. A pair meets once for each shingle that both
-    prefixes have. What else the sets share comes after the last of these in both and after the end of one prefix, so pairs
+    with all of its sets, so that about as many pairs are made as there are between groups. A pair meets only where a shingle can be the first
+    that it has in common; where CROWDED sets have the shingle, and ``bits`` has the sets' sketches, these have to fit, too. What such pairs share of
+    their prefixes is then counted. What else the sets share comes after the last of these in both and after the end of one prefix, so pairs
     with too few of them aren't near copies and don't come out. Each pair comes once.
     """
     near, of = F.lit(NEAR[0]), F.lit(NEAR[1])
     by_group = firsts.groupBy("shingle", "group").agg(F.count("*").alias("held"))
-    several = by_group.groupBy("shingle").agg(F.max_by("group", F.struct("held", "group")).alias("major"), F.count("*").alias("groups")).where("groups > 1")
-    firsts = stored(firsts.join(several.select("shingle", "major"), "shingle"), "prefixes")
-    minor = firsts.where("group <> major").select("shingle", "same", "group", "n", "at")
-    other = firsts.select("shingle", F.col("same").alias("other"), F.col("group").alias("other_group"), F.col("n").alias("m"), F.col("at").alias("behind"), (F.col("group") == F.col("major")).alias("of_major"))
-    needed = F.ceil(near * (F.col("n") + F.col("m")) / (near + of))
-    behind = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("behind"))  # what can be common from here on
-    able = F.least("at", "behind") + behind >= needed
+    several = by_group.groupBy("shingle").agg(F.max_by("group", F.struct("held", "group")).alias("major"), F.count("*").alias("groups"), F.sum("held").alias("held")).where("groups > 1")
+    firsts = stored(firsts.join(several.select("shingle", "major", "held"), "shingle"), "prefixes")
+    if bits is None:
+        sketched = firsts.withColumn("bits", F.lit(None).cast("array<long>"))
+    else:
+        few = firsts.where(F.col("held") < CROWDED).withColumn("bits", F.lit(None).cast("array<long>"))
+        sketched = few.unionByName(firsts.where(F.col("held") >= CROWDED).join(bits, "same"))
+    minor = sketched.where("group <> major").select("shingle", "same", "group", "n", "at", "bits")
+    other = sketched.select("shingle", F.col("same").alias("other"), F.col("group").alias("other_group"), F.col("n").alias("m"), F.col("at").alias("behind"), F.col("bits").alias("other_bits"), (F.col("group") == F.col("major")).alias("of_major"))
     once = F.col("of_major") | (F.col("same") < F.col("other"))  # two that are both of smaller groups meet twice
-    met = minor.join(other, "shingle").where((F.col("group") != F.col("other_group")) & once & able & sizes_fit("n", "m"))
-    # of the smaller set fewer of the first ones count
-    smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("same") < F.col("other")))
-    first = F.when(smaller, F.col("at")).otherwise(F.col("behind")) <= F.least("n", "m") - F.ceil(2 * near * F.least("n", "m") / (near + of))
+    fit = sizes_fit("n", "m") & can_be_first("n", "at", "m", "behind") & (F.col("bits").isNull() | sketches_fit("bits", "other_bits", "n", "m"))
+    met = minor.join(other, "shingle").where((F.col("group") != F.col("other_group")) & once & fit)
     swap = F.col("same") > F.col("other")
     sides = [F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("same", "other"), ("n", "m"))]
     sides += [F.when(swap, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("same", "other"), ("n", "m"))]
-    met = met.select(*sides, behind.cast("int").alias("left"), (first & (behind >= needed)).alias("first"))
-    shared = met.groupBy("same", "other", "n", "m").agg(F.count("*").alias("held"), F.min("left").alias("left"), F.bool_or("first").alias("first"))
+    return sharing(stored(met.select(*sides).distinct(), "pairs"), firsts).select("same", "other")
+
+
+def sharing(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (``same``, ``other``, their sizes ``n`` and ``m``) whose prefixes have enough in common for near copies."""
+    near, of = F.lit(NEAR[0]), F.lit(NEAR[1])
+    names = pairs.select("same").union(pairs.select(F.col("other").alias("same"))).distinct()
+    lists = firsts.join(names, "same", "left_semi").groupBy("same").agg(F.sort_array(F.collect_list(F.struct("at", "shingle"))).alias("s"))
+    a = lists.select("same", F.col("s.at").alias("at"), F.col("s.shingle").alias("sa"))
+    b = lists.select(F.col("same").alias("other"), F.col("s.at").alias("behind"), F.col("s.shingle").alias("sb"))
+    both = pairs.join(a, "same").join(b, "other").withColumn("common", F.array_intersect("sa", "sb")).where(F.size("common") > 0)
+    last = F.element_at("common", -1)  # the lists are in the order of all sets
+    place = lambda at, among: F.element_at(at, F.array_position(among, last).cast("int"))
+    left = F.least(F.col("n") - place("at", "sa"), F.col("m") - place("behind", "sb"))  # of the last one on
     # the last one that they share in their prefixes is counted in both; where a prefix ends, so many of its set are left
-    most = F.col("held") + F.least(F.col("left") - 1, F.greatest(F.ceil(near * F.col("n") / of), F.ceil(near * F.col("m") / of)) - 1)
-    return shared.where(F.col("first") & (most >= needed)).select("same", "other")
+    most = F.size("common") + F.least(left - 1, F.greatest(F.ceil(near * F.col("n") / of), F.ceil(near * F.col("m") / of)) - 1)
+    return both.where(most >= F.ceil(near * (F.col("n") + F.col("m")) / (near + of))).select(*pairs.columns)
+
+
+def first_picks(firsts: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs ``same``, ``other`` of different groups that can be near copies: sets of a crowded shingle, each with one of them, stored.
+
+    That is the set that has the fewest rarer ones, so it resembles most others. There are no more pairs than rows. ``group`` and
+    ``into`` are the groups of both.
+    """
+    of = firsts.groupBy("shingle").agg(F.min(F.struct("at", "same", "n", "group")).alias("pick"), F.count("*").alias("held")).where(F.col("held") >= CROWDED)
+    of = of.select("shingle", F.col("pick.same").alias("other"), F.col("pick.n").alias("m"), F.col("pick.at").alias("behind"), F.col("pick.group").alias("into"))
+    met = firsts.join(of, "shingle").where((F.col("group") != F.col("into")) & sizes_fit("n", "m") & can_be_first("n", "at", "m", "behind"))
+    pairs = met.select("same", "other", "n", "m", "group", "into").distinct()
+    pairs = pairs.join(bits, "same").join(bits.select(F.col("same").alias("other"), F.col("bits").alias("other_bits")), "other")
+    return stored(sharing(stored(pairs.where(sketches_fit("bits", "other_bits", "n", "m")).drop("bits", "other_bits"), "pairs"), firsts), "picks")
 
 
 def near_copies(docs: DataFrame, prints: DataFrame, bare: Callable | None = None) -> DataFrame:
@@ -247,7 +298,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, names: DataFrame, bare: Callab
     """``same`` and ``shingles`` of the sets that ``names`` has, stored; ``nodes`` knows a row of each."""
     rows = stored(nodes.join(names.select("same").distinct(), "same", "left_semi").select("doc_id"), "rows")
     of = docs.select("doc_id", "text").join(*perhaps_among(rows, "doc_id"), "left_semi").join(rows.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stored(described(of, "shingles", lambda s: s, bare=bare), "sets")
+    return stored(described(of, "shingles", lambda s: s, bare=bare, sketches=True), "sets")
 
 
 def perhaps_among(rows: DataFrame, key: str) -> tuple[DataFrame, Column]:
@@ -335,7 +386,7 @@ def fingerprint_copies(docs: DataFrame, prints: DataFrame) -> DataFrame:
     ``row`` of their own. Of the prefixes only shingles that several groups have are stored. There sets and groups go by rows' numbers,
     which are near each other and so take less room than names.
     """
-    nodes = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first(F.col("marks")[0]).alias("fp"), F.min("row").alias("row"))
+    nodes = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first(F.col("marks")[0]).alias("fp"), F.min("row").alias("row"), F.first("bits").alias("bits"))
     nodes = stored(nodes, "nodes")
     cells = fingerprint_cells(nodes)
     sets = whole_sets(docs, nodes, cells)
@@ -347,12 +398,27 @@ def fingerprint_copies(docs: DataFrame, prints: DataFrame) -> DataFrame:
     firsts = prints.join(grouped, "row").select(F.col("row").alias("same"), "group", "n", firsts)
     of_shingle = Window.partitionBy("shingle")
     firsts = firsts.withColumn("apart", F.min("group").over(of_shingle) < F.max("group").over(of_shingle)).where("apart").drop("apart")
-    met = stored(meeting(stored(firsts, "firsts")), "met")
-    for side in met.columns:
-        met = met.join(nodes.select(F.col("row").alias(side), F.col("same").alias(f"{side}_name")), side)
-    rest = stored(met.select(F.col("same_name").alias("same"), F.col("other_name").alias("other")), "rest")
-    names = rest.select("same").union(rest.select("other")).distinct().join(sets, "same", "left_anti")
-    return tested.union(_newly(rest, tested, sets.unionByName(whole_sets(docs, nodes, names)))).where("near").select("a", "b")
+    firsts = stored(firsts, "firsts")
+    bits = nodes.select(F.col("row").alias("same"), "bits")
+
+    def named(pairs: DataFrame) -> DataFrame:
+        for side in ("same", "other"):
+            pairs = pairs.join(nodes.select(F.col("row").alias(side), F.col("same").alias(f"{side}_name")), side)
+        return stored(pairs.drop("same", "other").withColumnsRenamed({"same_name": "same", "other_name": "other"}), "named")
+
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        names = pairs.select("same").union(pairs.select("other")).distinct().join(sets, "same", "left_anti")
+        return sets.unionByName(whole_sets(docs, nodes, names))
+
+    picks = named(first_picks(firsts, bits))
+    sets = with_sets(picks)
+    found = _newly(picks, tested, sets)
+    tested = tested.union(found)
+    linked = picks.join(found.where("near"), (F.greatest("same", "other") == F.col("a")) & (F.least("same", "other") == F.col("b")))
+    groups = connected_components(linked.select(F.col("group").alias("a"), F.col("into").alias("b")))
+    firsts = firsts.join(groups, F.col("group") == F.col("node"), "left").withColumn("group", F.coalesce("component", "group")).drop("node", "component")
+    rest = named(meeting(firsts, bits))
+    return tested.union(_newly(rest, tested, with_sets(rest))).where("near").select("a", "b")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -363,7 +429,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     where their row may have to go.
     """
     keyed = docs.select(row_key().alias("doc_id"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    prints = described(keyed, "marks", marks(commonest(keyed)), ("id",)).withColumn("row", F.monotonically_increasing_id())
+    prints = described(keyed, "marks", marks(commonest(keyed)), ("id",), sketches=True).withColumn("row", F.monotonically_increasing_id())
     prints = stored(prints, "prints")
     groups = connected_components(fingerprint_copies(keyed.select("doc_id", "text"), prints))
     least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "doc_id")).alias("least")
